@@ -8,21 +8,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate
 from .common import table
+from .lattice_lm import lattice_scores
 from .ngram_join import jaccard_components
+from .packing import pack
+
+
+def _vocabulary() -> str:
+    """Where the public vocabulary lies on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(table(spark, sf_dir, "documents"), _vocabulary())
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), _vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_decontamination": op4_decontamination,
+        "op5_lattice_lm": op5_lattice_lm,
         "op7_ngram_join": op7_ngram_join,
+        "op10_packing": op10_packing,
     }
 
 
