@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, url_filter
+from . import decontaminate, language_id, line_dedup, pii, url_filter
 from .common import table
 from .embedding_dedup import near_duplicates
 from .lattice_lm import lattice_scores
@@ -37,10 +37,18 @@ def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.report(table(spark, sf_dir, "pages"))
 
@@ -55,7 +63,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_embedding_dedup": op2_embedding_dedup,
         "op4_decontamination": op4_decontamination,
         "op5_lattice_lm": op5_lattice_lm,
+        "op6_pii": op6_pii,
         "op7_ngram_join": op7_ngram_join,
+        "op8_language_id": op8_language_id,
         "op9_url_filter": op9_url_filter,
         "op10_packing": op10_packing,
     }
