@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, pii, url_filter
+from . import decontaminate, html_text, language_id, line_dedup, pii, url_filter
 from .common import table
 from .embedding_dedup import near_duplicates
 from .lattice_lm import lattice_scores
@@ -29,6 +29,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.report(table(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_embedding_dedup": op2_embedding_dedup,
+        "op3_html_text": op3_html_text,
         "op4_decontamination": op4_decontamination,
         "op5_lattice_lm": op5_lattice_lm,
         "op6_pii": op6_pii,
