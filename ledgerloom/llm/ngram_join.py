@@ -2,27 +2,34 @@
 
 Texts of equal shingle sets are one node.  A node can reach the threshold only with nodes
 that share one of its rarest shingles (a prefix whose length follows from its size), so
-those incidences alone are grouped by shingle; what stays alone there is discarded.  The
-shingles that remain chain nodes into candidate blocks, and inside a block the incidence
-matrix is multiplied by its transpose, slice by slice, to count overlaps.  Blocks beyond
-``block`` nodes are cut into tiles and every pair of tiles is its own group, so no group
-grows with the data, and a tile pair reports a spanning forest of its links, not the links.
+those incidences alone are grouped by shingle; what stays alone there is discarded.  For
+the order, all shingles are counted, and a filter of fixed size and the ``frequent`` most
+common ones are told to all tasks; any order gives the same links.
+
+Shingles of at most ``few`` nodes add up pair counts, and a pair goes on only if its size
+allows the rest; shingles of more nodes tie each to their smallest one.  What is tied
+makes candidate blocks, and inside a block the incidence matrix is multiplied by its
+transpose, slice by slice, to count overlaps.  Blocks beyond ``block`` nodes are cut into
+tiles and every pair of tiles is its own group, so no group grows with the data, and a
+tile pair reports a spanning forest of its links, not the links.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
 from .common import broadcast_if_small, materialize
 from .graph import components
 
-#: Sketch of shingle frequencies: 64 slices of 65,536 counters.  It only orders shingles.
-_SLICE_BITS, _SLICES = 16, 64
+#: Shingles are counted under the first 32 bits of their hashes.  Counts only order them.
+_FLUSH, _FREQUENT = 8 << 20, 4
 
 
 def _sets(raw, at, n):
@@ -40,69 +47,96 @@ def _node(s: np.ndarray) -> int:
     return int(words.mix(np.array([words.mix(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def _bucket(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - 22)).astype(np.int64)
+def _cell(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(32)).astype(np.uint32)
+
 
+def _packed(cells: np.ndarray, parts: int):
+    """``(part, gaps, counts)``: sorted cells as 16-bit gaps, 65,535 standing for a longer one that follows."""
+    cells, count = np.unique(cells, return_counts=True)
+    count = np.minimum(count, 65535).astype(np.uint16)
+    cut = np.searchsorted(cells, (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
+    for k in range(parts):
+        own = cells[cut[k] : cut[k + 1]]
+        if len(own):
+            gap = np.diff(own, prepend=np.uint32(0))
+            short = np.minimum(gap, 65535).astype(np.uint16)
+            yield k, short.tobytes(), gap[short == 65535].tobytes(), zlib.compress(count[cut[k] : cut[k + 1]].tobytes(), 1)
 
-def _describe(batches, n):
-    """Per row its id, key, set size and node, and at the end of the partition its counters."""
-    count, cells = np.zeros(_SLICES << _SLICE_BITS, np.int32), 0
 
-    def out(ids=(), key=(), size=(), node=(), part=(), where=(), times=()):
-        k = max(len(ids), len(part))
-        pad = lambda x, kind: pa.array(x if len(x) else [None] * k, kind)
-        return pa.RecordBatch.from_arrays(
-            [pad(ids, pa.int64()), pad(key, pa.int64()), pad(size, pa.int64()), pad(node, pa.int64()), pad(part, pa.int32()), pad(where, pa.binary()), pad(times, pa.binary())],
-            names=["id", "key", "size", "node", "part", "cells", "times"],
-        )
+def _describe(batches, n, parts):
+    """Per row its id, key, set size and node, and from time to time counts of shingles."""
+    kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.binary()] * 3
+    names = ["id", "key", "size", "node", "part", "gaps", "wide", "counts"]
 
+    def counted(cells):
+        cols = list(zip(*_packed(np.concatenate(cells), parts), strict=True))
+        none = [None] * len(cols[0])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([none] * 4 + cols, kinds, strict=True)], names=names)
+
+    cells, held = [], 0
     for batch in batches:
         for i, j, raw, at in words.pieces(batch.column(2)):
-            size, node, seen = [], [], []
+            size, node = [], []
             for s in _sets(raw, at, n):
                 size.append(len(s))
                 node.append(_node(s))
-                seen.append(s)
-            b = _bucket(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
-            where, times = np.unique(b, return_counts=True)
-            count[where] += times.astype(np.int32)
-            cells += len(b)
-            yield out(*(batch.column(k).slice(i, j - i).to_pylist() for k in (0, 1)), size, node)
+                if len(s):
+                    cells.append(_cell(s))
+                    held += len(s)
+            none = [None] * (j - i)
+            cols = [*(batch.column(k).slice(i, j - i) for k in (0, 1)), pa.array(size, pa.int64()), pa.array(node, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(none, k) for k in kinds[4:])], names=names)
+            if held > _FLUSH:
+                yield counted(cells)
+                cells, held = [], 0
     if cells:
-        part, where, times = [], [], []
-        for k in range(_SLICES):
-            own = count[k << _SLICE_BITS : (k + 1) << _SLICE_BITS]
-            at = np.flatnonzero(own)
-            if len(at):
-                part.append(k)
-                where.append(at.astype(np.uint16).tobytes())
-                times.append(own[at].tobytes())
-        yield out(part=part, where=where, times=times)
-
-
-def _add(frame: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(1 << _SLICE_BITS, np.int64)
-    for where, times in zip(frame["cells"], frame["times"], strict=True):
-        total[np.frombuffer(where, np.uint16)] += np.frombuffer(times, np.int32)
-    return pd.DataFrame({"part": frame["part"][:1], "total": [np.minimum(total, (1 << 31) - 1).astype(np.int32).tobytes()]})
-
-
-def _prefixes(batches, n, percent, sketch):
-    count = np.zeros(_SLICES << _SLICE_BITS, np.int32)
-    for part, total in sketch.value:
-        count[part << _SLICE_BITS : (part + 1) << _SLICE_BITS] = np.frombuffer(total, np.int32)
+        yield counted(cells)
+
+
+def _frequent(frame: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Of one part: which cells hold two documents or more, and the most frequent cells with their counts."""
+    cells, counts = [], []
+    for gaps, wide, count in zip(frame["gaps"], frame["wide"], frame["counts"], strict=True):
+        gap = np.frombuffer(gaps, np.uint16).astype(np.uint32)
+        gap[gap == 65535] = np.frombuffer(wide, np.uint32)
+        cells.append(np.cumsum(gap, dtype=np.uint32))
+        counts.append(np.frombuffer(zlib.decompress(count), np.uint16))
+    cell, which = np.unique(np.concatenate(cells), return_inverse=True)
+    total = np.bincount(which, weights=np.concatenate(counts)).astype(np.int64)
+    first = int(cell[0]) >> 8  # a byte of the filter stands for 256 cells
+    bits = np.zeros(((int(cell[-1]) >> 8) - first + 1) * 8, np.uint8)
+    bits[(cell[total > 1] >> np.uint32(5)).astype(np.int64) - first * 8] = 1
+    keep = np.flatnonzero(total >= _FREQUENT)
+    keep = np.sort(keep[np.argsort(-total[keep], kind="stable")[:most]])
+    totals = np.minimum(total[keep], (1 << 31) - 1).astype(np.int32)
+    return pd.DataFrame({"first": [first], "bits": [np.packbits(bits).tobytes()], "cells": [cell[keep].tobytes()], "totals": [totals.tobytes()]})
+
+
+def _prefixes(batches, n, percent, shared):
+    """The incidences of each node's rarest shingles; shingles of one document alone are left out."""
+    bits, cells, totals = shared.value
     for batch in batches:
         for _, _, raw, at in words.pieces(batch.column(0)):
-            token, node = [], []
+            out = []
             for s in _sets(raw, at, n):
-                if len(s):
-                    keep = len(s) - (percent * len(s) + 99) // 100 + 1
-                    rare = np.argsort(count[_bucket(s)], kind="stable")[:keep]
-                    token.append(s[rare])
-                    node.append(np.full(keep, _node(s), np.int64))
-            if token:
+                if not len(s):
+                    continue
+                keep = len(s) - (percent * len(s) + 99) // 100 + 1
+                cell = _cell(s)
+                often = (bits[cell >> np.uint32(8)] >> (np.uint8(7) - (cell >> np.uint32(5) & np.uint32(7)).astype(np.uint8)) & np.uint8(1)).astype(np.int32)
+                if len(cells):
+                    k = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+                    often = np.maximum(often, np.where(cells[k] == cell, totals[k], 0))
+                rare = np.argsort(often, kind="stable")[:keep]
+                place = np.flatnonzero(often[rare] > 0)
+                if len(place):
+                    out.append((s[rare[place]], np.full(len(place), _node(s)), place, np.full(len(place), len(s))))
+            if out:
+                token, node, place, size = map(np.concatenate, zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(node))], names=["token", "node"]
+                    [pa.array(token.view(np.int64)), pa.array(node, pa.int64()), pa.array(place, pa.int32()), pa.array(size, pa.int32())],
+                    names=["token", "node", "place", "size"],
                 )
 
 
@@ -184,6 +218,8 @@ def jaccard_components(
     n: int = 5,
     percent: int = 80,
     block: int = 512,
+    frequent: int = 2_000_000,
+    few: int = 32,
     broadcast_rows: int = 400_000,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col, n_shingles, component_id``.
@@ -198,24 +234,46 @@ def jaccard_components(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("id", F.xxhash64("id", "text").alias("key"), "text")
-    described = rows.mapInArrow(lambda it: _describe(it, n), "id long, key long, size long, node long, part int, cells binary, times binary")
+    # about a shingle for each six bytes; a part counts some two million
+    bytes_ = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = 1 << max(0, int(bytes_ // (12 << 20)).bit_length() - 1)
+    described = rows.mapInArrow(
+        lambda it: _describe(it, n, parts), "id long, key long, size long, node long, part int, gaps binary, wide binary, counts binary"
+    )
     described = materialize(described, "sets")
     nodes = described.where("part is null").select("id", "key", "size", "node")
-    sketch = (
-        described.where("part is not null")
-        .select("part", "cells", "times")
-        .groupBy("part")
-        .applyInPandas(_add, "part int, total binary")
-    )
-    shared = spark.sparkContext.broadcast([tuple(r) for r in sketch.collect()])  # 64 rows, 16 MB at most
+    counts = described.where("part is not null").select("part", "gaps", "wide", "counts")
+    each = max(1, frequent // parts)
+    found = counts.groupBy("part").applyInPandas(lambda f: _frequent(f, each), "first long, bits binary, cells binary, totals binary")
+    bits = np.zeros(1 << 24, np.uint8)  # of fixed size
+    hot = [(np.zeros(0, np.uint32), np.zeros(0, np.int32))]  # `frequent` cells at most
+    for r in found.collect():
+        own = np.frombuffer(r["bits"], np.uint8)
+        bits[r["first"] : r["first"] + len(own)] |= own
+        hot.append((np.frombuffer(r["cells"], np.uint32), np.frombuffer(r["totals"], np.int32)))
+    cells, totals = map(np.concatenate, zip(*hot, strict=True))
+    order = np.argsort(cells)
+    shared = spark.sparkContext.broadcast((bits, cells[order], totals[order]))
+    token = Window.partitionBy("token")
     postings = (
         rows.select("text")
-        .mapInArrow(lambda it: _prefixes(it, n, percent, shared), "token long, node long")
+        .mapInArrow(lambda it: _prefixes(it, n, percent, shared), "token long, node long, place int, size int")
         .repartition("token")
         .dropDuplicates(["token", "node"])
+        .select("*", F.count("*").over(token).alias("times"), F.min("node").over(token).alias("low"))
+        .where("times > 1")
+    )
+    postings = materialize(postings, "postings")
+    stars = postings.where(F.col("times") > few).select(F.col("node").alias("src"), F.col("low").alias("dst"))
+    # rare shingles: count what each pair shares, and bound what it can share from where the last one stands
+    rare = postings.where(F.col("times") <= few).groupBy("token").agg(F.collect_list(F.struct("node", "place", "size")).alias("all"))
+    rare = rare.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a.node < b.node")
+    pairs = rare.groupBy(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).agg(
+        F.count("*").alias("shared"), F.max("a.place").alias("p"), F.max("b.place").alias("q"), F.max("a.size").alias("m"), F.max("b.size").alias("k")
     )
-    heads = postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
-    edges = postings.join(heads, "token").where("node != low").select(F.col("node").alias("src"), F.col("low").alias("dst"))
+    bound = F.col("shared") + F.least(F.col("m") - F.col("p"), F.col("k") - F.col("q")) - 1
+    pairs = pairs.where(bound * (100 + percent) >= percent * (F.col("m") + F.col("k"))).select("src", "dst")
+    edges = stars.union(pairs)
     clusters = materialize(components(edges).select("node", F.col("component").alias("cluster")), "clusters")
     counted = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("tiles"))
     one = nodes.groupBy("node").agg(F.min("key").alias("key"))

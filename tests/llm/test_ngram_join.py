@@ -66,3 +66,24 @@ def test_product_counts_overlaps():
     for columns in (8192, 7):
         got = overlaps(sets[:4], sets[4:], columns)
         assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:4]]
+
+
+def test_candidates_lose_no_link(spark):
+    """Groups of near copies, shared passages and every setting of the candidate search give the same classes."""
+    rng = random.Random(8)
+    vocab = ["w%d" % i for i in range(5000)]
+    say = lambda k: [rng.choice(vocab) for _ in range(k)]
+    passages = [say(40) for _ in range(5)]
+    texts = []
+    for _ in range(25):
+        base = say(rng.randint(60, 150)) + rng.choice(passages) + say(20)
+        for _ in range(rng.choice([1, 2, 30])):
+            copy = list(base)
+            for _ in range(rng.randint(0, 5)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            texts.append(" ".join(copy))
+    rows = [(i, t, "x", 0) for i, t in enumerate(texts)]
+    want = brute(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    for options in ({}, {"few": 1}, {"few": 1000, "frequent": 1}, {"block": 7}):
+        assert sorted(map(tuple, jaccard_components(df, **options).collect())) == want
