@@ -211,7 +211,7 @@ def _product(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"src": node[[a for a, _ in kept]], "dst": node[[b for _, b in kept]]}, dtype="int64")
 
 
-def jaccard_components(
+def _labelled(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -222,15 +222,7 @@ def jaccard_components(
     few: int = 32,
     broadcast_rows: int = 400_000,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``id_col, n_shingles, component_id``.
-
-    Texts are lower-cased (A-Z) and split at ASCII white space.  Two link when
-    ``100 * overlap >= percent * union`` of their sets of n-word shingles; a text of fewer
-    words is one shingle.  ``component_id`` is the smallest id reachable.  Texts without
-    words (null or blank) link with nothing and stay their own component; a null id gives a
-    null component where it is alone.  Repeated rows stay and share their result; other
-    columns are ignored; an empty table gives an empty one.
-    """
+    """``(id, key, size, root)`` of every row; ``root`` is one for all nodes that links join."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("id", F.xxhash64("id", "text").alias("key"), "text")
@@ -287,10 +279,41 @@ def jaccard_components(
     tiles = tiles.select("node", "cluster", "items", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
     links = tiles.groupBy("cluster", "i", "j").applyInPandas(lambda f: _product(f, percent), "src long, dst long")
     joined = components(links).select("node", F.col("component").alias("root"))
-    labelled = nodes.join(joined, "node", "left").select("id", "size", "node", F.coalesce("root", "node").alias("root"))
-    labelled = materialize(labelled, "roots")
+    labelled = nodes.join(joined, "node", "left").select("id", "key", "size", F.coalesce("root", "node").alias("root"))
+    return materialize(labelled, "roots")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of ``docs``: ``id_col, n_shingles, component_id``.
+
+    Texts are lower-cased (A-Z) and split at ASCII white space.  Two link when
+    ``100 * overlap >= percent * union`` of their sets of n-word shingles; a text of fewer
+    words is one shingle.  ``component_id`` is the smallest id reachable.  Texts without
+    words (null or blank) link with nothing and stay their own component; a null id gives a
+    null component where it is alone.  Repeated rows stay and share their result; other
+    columns are ignored; an empty table gives an empty one.
+    """
+    labelled = _labelled(docs, id_col, text_col, **options)
     least = labelled.where("size > 0").groupBy("root").agg(F.min("id").alias("low"))
     got: Column = F.when(F.col("size") > 0, F.col("low")).otherwise(F.col("id"))
     return labelled.join(least, "root", "left").select(
         F.col("id").alias(id_col), F.col("size").alias("n_shingles"), got.alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 400_000, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, less all but one of each class of near copies.
+
+    The row of the smallest id stays, of rows repeated with id and text one.  Texts without
+    words have no class and stay.
+    """
+    rows = _labelled(docs, id_col, text_col, broadcast_rows=broadcast_rows, **options)
+    best = rows.where("size > 0").groupBy("root").agg(F.min(F.struct("id", "key")).alias("best")).select("root", F.col("best.key").alias("stays"))
+    judged = rows.where("size > 0").join(best, "root").select("key", (F.col("key") == F.col("stays")).alias("stays"))
+    judged = judged.groupBy("key").agg(F.max("stays").alias("stays"), F.count("*").alias("times"))
+    judged = materialize(judged.where("not stays or times > 1"), "judged")
+    hidden = docs.select(F.struct(*docs.columns).alias("row"))
+    hidden = hidden.withColumn("key", F.xxhash64(F.col("row").getField(id_col).cast("long"), F.col("row").getField(text_col).cast("string")))
+    alone = hidden.join(broadcast_if_small(judged.select("key"), broadcast_rows), "key", "left_anti")
+    repeated = hidden.join(broadcast_if_small(judged.where("stays").select("key"), broadcast_rows), "key", "left_semi").dropDuplicates(["key"])
+    return alone.union(repeated).select("row.*")

@@ -14,7 +14,7 @@ from .ngram_join import jaccard_components
 from .packing import pack
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     """Where the public vocabulary lies on the driver."""
     import public_tokenizers
 
@@ -38,7 +38,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_scores(table(spark, sf_dir, "documents"), _vocabulary())
+    return lattice_scores(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), _vocabulary())
+    return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from ledgerloom.llm.ngram_join import jaccard_components, overlaps
+from ledgerloom.llm.ngram_join import jaccard_components, keep_one, overlaps
 
 SCHEMA = "doc_id long, text string, node string, key int"
 
@@ -87,3 +87,15 @@ def test_candidates_lose_no_link(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     for options in ({}, {"few": 1}, {"few": 1000, "frequent": 1}, {"block": 7}):
         assert sorted(map(tuple, jaccard_components(df, **options).collect())) == want
+
+
+def test_keep_one(spark):
+    rows = [*made(), (0, "a b c d e f", "y", 1), (0, "a b c d e f", "y", 1), (1, "A b c d e f", "z", 2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = keep_one(df)
+    assert got.columns == df.columns
+    want = brute(rows)
+    kept = [tuple(r) for r in got.collect()]
+    assert len(kept) == sum(size == 0 for _, size, _ in want) + len({c for _, size, c in want if size})
+    assert sum(r[1] in ("a b c d e f", "A b c d e f") for r in kept) == 1
+    assert keep_one(df, broadcast_rows=0).count() == len(kept)
