@@ -11,6 +11,7 @@ then meet the slots of the best packing by (shard, length, rank).
 
 from __future__ import annotations
 
+import os
 import random
 import re
 import zlib
@@ -38,6 +39,7 @@ class Encoder:
     """Token ids of many texts as little-endian bytes; words met before are looked up."""
 
     def __init__(self, vocabulary: str, most: int = 800_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_str(vocabulary), most, {}
@@ -60,6 +62,16 @@ class Encoder:
         return [whole[k] if k in odd else b"".join(map(self.known.__getitem__, p)) for k, p in enumerate(parts)]
 
 
+_encoders: dict[int, Encoder] = {}  # of this worker; tasks that follow find its words
+
+
+def _encoder(vocabulary: str) -> Encoder:
+    key = zlib.crc32(vocabulary.encode())
+    if key not in _encoders:
+        _encoders[key] = Encoder(vocabulary)
+    return _encoders[key]
+
+
 def _runs(texts: list[str], chars: int = 2_000_000):
     """Runs of whole texts of about so many characters."""
     first, total = 0, 0
@@ -73,7 +85,7 @@ def _runs(texts: list[str], chars: int = 2_000_000):
 
 
 def _pieces(batches, vocabulary, end: int, most: int):
-    encode, tail = Encoder(vocabulary.value), end.to_bytes(4, "little")
+    encode, tail = _encoder(vocabulary.value), end.to_bytes(4, "little")
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
         for low, texts in _runs([t or "" for t in batch.column(1).to_pylist()]):
@@ -257,6 +269,7 @@ def pack(
         F.lit(None).cast("array<binary>").alias("packings"),
     )
     for _ in range(epochs):
+        state = state.repartition(shards * islands, "shard", "island")
         state = state.groupBy("shard", "island").applyInPandas(lambda k, f: _epoch(k, f, most, islands, size, generations), _STATE)
     slots = state.groupBy("shard").applyInPandas(lambda k, f: _slots(k, f, most), "shard long, length long, slot long, bin long, offset long")
     rank = F.row_number().over(Window.partitionBy("shard", "length").orderBy("row")).cast("long").alias("slot")
