@@ -244,8 +244,8 @@ def _asked(spark, sf):
 
 
 def _best(extra: str) -> str:
-    return f"""WITH {PRICES}, l AS (SELECT event_id AS leg, user_id AS asset, ts AS at FROM events WHERE event_type = 'purchase'),
-m AS (SELECT leg, price_id, price FROM l JOIN prices USING (asset) WHERE source_type <> 'DEXSCREENER' AND observed_at + INTERVAL 1 DAY >= at AND confidence >= 0.5 {extra}
+    return f"""WITH {PRICES}, l AS (SELECT event_id AS leg, user_id AS asset, ts AS asked FROM events WHERE event_type = 'purchase'),
+m AS (SELECT leg, price_id, price FROM l JOIN prices USING (asset) WHERE source_type <> 'DEXSCREENER' AND observed_at + INTERVAL 1 DAY >= asked AND confidence >= 0.5 {extra}
   QUALIFY row_number() OVER (PARTITION BY leg ORDER BY CASE source_type WHEN 'ONCHAIN_POOL' THEN 5 WHEN 'ONCHAIN_ROUTE' THEN 4 WHEN 'ORACLE' THEN 3 ELSE 2 END DESC, confidence DESC, observed_at DESC, price_id) = 1)
 SELECT leg, asset, price_id, price FROM l LEFT JOIN m USING (leg)"""
 
@@ -255,7 +255,7 @@ def best_price_asof(spark, sf):
     return pricing.best_prices(_asked(spark, sf), prices(spark, sf))
 
 
-@_query(_best("AND observed_at <= at"))
+@_query(_best("AND observed_at <= asked"))
 def best_price_strict(spark, sf):
     return pricing.best_prices(_asked(spark, sf), prices(spark, sf), strict=True)
 
