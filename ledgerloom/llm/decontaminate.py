@@ -202,7 +202,7 @@ def _scan(batches, shared, n: int, at: int, later: bool):
     test = ItemWindows(*shared.value, n)
     for batch in batches:
         width = batch.num_columns - (len(_KINDS) if later else 0)
-        for i, j, raw, offsets in words.pieces(batch.column(at)):
+        for i, j, raw, offsets in words.pieces(batch.column(at), 2 << 20):
             before = [batch.column(width + k).slice(i, j - i).to_pylist() for k in range(len(_KINDS))] if later else None
             out: list[list] = [[] for _ in _KINDS]
             for r, (count, spans, items, best) in enumerate(_shard(test, raw, offsets)):

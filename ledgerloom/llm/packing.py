@@ -21,6 +21,7 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ _OTHER = re.compile("[^\x00-ɏ‐-‧‰-⁞€]|<\\|endoftext\\|>")
 class Encoder:
     """Token ids of many texts as little-endian bytes; words met before are looked up."""
 
-    def __init__(self, vocabulary: str, most: int = 800_000):
+    def __init__(self, vocabulary: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
         from tokenizers import Tokenizer
 
@@ -72,23 +73,21 @@ def _encoder(vocabulary: str) -> Encoder:
     return _encoders[key]
 
 
-def _runs(texts: list[str], chars: int = 2_000_000):
-    """Runs of whole texts of about so many characters."""
-    first, total = 0, 0
-    for k, t in enumerate(texts):
-        total += len(t)
-        if total >= chars:
-            yield first, texts[first : k + 1]
-            first, total = k + 1, 0
-    if first < len(texts):
-        yield first, texts[first:]
+def _runs(column: pa.Array, size: int = 500_000):
+    """First row and texts of runs of whole texts of about so many bytes; null counts as empty."""
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))])
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + size, side="right")) - 1)
+        yield i, [t or "" for t in column.slice(i, j - i).to_pylist()]
+        i = j
 
 
 def _pieces(batches, vocabulary, end: int, most: int):
     encode, tail = _encoder(vocabulary.value), end.to_bytes(4, "little")
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
-        for low, texts in _runs([t or "" for t in batch.column(1).to_pylist()]):
+        for low, texts in _runs(batch.column(1)):
             out, owner = [], []
             for k, ids in enumerate(encode(texts)):
                 data = ids + tail

@@ -54,7 +54,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at
 
 
-def pieces(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, last row, bytes, offsets from 0)`` of runs of whole texts of about ``limit`` bytes."""
     raw, at = buffers(column)
     i = 0
