@@ -2,9 +2,12 @@
 
 Equal lines are one.  Each distinct line is cut into character shingles by a generator
 over its UTF-16 form, where a shingle is a slice at a fixed place, and one aggregation
-keeps ``bands * rows`` minima of the shingles' hashes.  A band's minima name a bucket; in
-a bucket every line is tied to the first and to the one before it, never all to all.  The
-pairs so tied are compared by their exact shingle sets, and what passes joins components.
+keeps ``bands * rows`` minima of the shingles' hashes.  A band's minima name a bucket.
+Pairs are compared by their exact shingle sets, and what passes joins components, in two
+rounds.  First every line of a bucket meets the first and the one before it, which joins
+groups of near copies at a cost in proportion to their size.  Then all pairs of a bucket
+that are still in different components meet: a bucket is cut into tiles of about ``tile``
+lines and each pair of tiles is its own group, so no group grows with the data.
 """
 
 from __future__ import annotations
@@ -33,24 +36,52 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _signatures(lines: DataFrame, n: int, k: int) -> DataFrame:
-    """``(h, m0, m1, ...)``: minima under ``k`` orders of the shingles' hashes, made by flipping fixed bits."""
+    """``(h, m0, m1, ...)``: minima under ``k`` orders of the shingles' hashes.
+
+    An order multiplies the 32-bit hash by an odd number modulo 2^32; a product stays below
+    2^62, so that it cannot overflow.
+    """
     rng = random.Random(7)
-    flips = [rng.randrange(-(1 << 31), 1 << 31) for _ in range(k)]
+    odd = [rng.randrange(-(1 << 31) + 1, 1 << 31, 2) for _ in range(k)]
     wide = lines.groupBy("h").agg(F.first("norm").alias("norm")).select("h", F.encode("norm", "UTF-16BE").alias("wide"))
     each = wide.select("h", "wide", F.explode(_starts(F.col("wide"), n)).alias("i"))
-    each = each.select("h", F.hash(F.substring("wide", F.col("i") * 2 + 1, F.lit(2 * n))).alias("x"))
-    return each.groupBy("h").agg(*(F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(flips)))
+    each = each.select("h", F.hash(F.substring("wide", F.col("i") * 2 + 1, F.lit(2 * n))).cast("long").alias("x"))
+    return each.groupBy("h").agg(*(F.min((F.col("x") * F.lit(c).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"m{i}") for i, c in enumerate(odd)))
 
 
-def _ties(signatures: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Distinct pairs ``(a, b)``, a before b, that some bucket ties."""
+def _tied(signatures: DataFrame, bands: int, rows: int) -> DataFrame:
+    """``(bucket, h, n)`` of the lines that are not alone in a bucket of ``n``."""
     keys = [F.xxhash64(F.lit(b), *(F.col(f"m{b * rows + r}") for r in range(rows))) for b in range(bands)]
     spread = signatures.select("h", F.explode(F.array(*keys)).alias("bucket"))
-    w = Window.partitionBy("bucket").orderBy("h")
+    return spread.select("bucket", "h", F.count("*").over(Window.partitionBy("bucket")).alias("n")).where("n > 1")
+
+
+def _chained(tied: DataFrame) -> DataFrame:
+    """Distinct pairs ``(a, b)``: every line with the first of its bucket and the one before it.
+
+    First stand the lines that meet most others, as the model of many near copies does.
+    """
+    met = tied.groupBy("h").agg(F.sum("n").alias("met"))
+    w = Window.partitionBy("bucket").orderBy(F.desc("met"), "h")
     first = F.first("h").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    tied = spread.select("h", first.alias("first"), F.lag("h").over(w).alias("before")).where("before is not null")
-    pairs = tied.select(F.explode(F.array_distinct(F.array("first", "before"))).alias("a"), F.col("h").alias("b"))
-    return pairs.where("a != b").distinct()
+    near = tied.join(met, "h").select("h", first.alias("first"), F.lag("h").over(w).alias("before")).where("before is not null")
+    pairs = near.select(F.explode(F.array_distinct(F.array("first", "before"))).alias("x"), "h")
+    return pairs.select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b")).distinct()
+
+
+def _apart(tied: DataFrame, near: DataFrame, tile: int) -> DataFrame:
+    """Distinct pairs ``(a, b)``, a before b: all that share a bucket and no component of ``near``."""
+    found = tied.select("bucket", "h").join(near.withColumnRenamed("node", "h"), "h", "left")
+    found = found.select("bucket", "h", F.coalesce("component", "h").alias("c"))
+    mixed = found.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
+    cut = found.join(mixed.select("bucket", F.ceil(F.col("n") / tile).alias("tiles")), "bucket")
+    cut = cut.select("bucket", "h", "c", "tiles", F.pmod(F.xxhash64("h"), F.col("tiles")).alias("t"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    cut = cut.select("bucket", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"), F.struct("h", "c", "t").alias("x"))
+    group = cut.groupBy("bucket", "i", "j").agg(F.collect_list("x").alias("all"))
+    pairs = group.select("i", "j", "all", F.explode("all").alias("a")).select("i", "j", "a", F.explode("all").alias("b"))
+    pairs = pairs.where("a.h < b.h and a.c != b.c and (i = j or a.t != b.t)")
+    return pairs.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct()
 
 
 def _shingled(wide: Column, n: int) -> Column:
@@ -76,12 +107,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return both.where(F.exists(F.array(F.struct("left", "right")), lambda w: F.exists(sets(w), like))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def line_components(lines: DataFrame, n: int = 8, percent: int = 80, bands: int = 6, rows: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
+def line_components(lines: DataFrame, n: int = 8, percent: int = 80, bands: int = 12, rows: int = 4, tile: int = 64, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``(node, component)`` of the distinct lines ``(h, norm)`` that near copies tie together."""
-    pairs = materialize(_ties(_signatures(lines, n, bands * rows), bands, rows), "ties")
-    wanted = materialize(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "tied")
+    tied = materialize(_tied(_signatures(lines, n, bands * rows), bands, rows), "ties")
+    wanted = materialize(tied.select("h").distinct(), "tied")
     texts = lines.join(broadcast_if_small(wanted, broadcast_rows), "h", "left_semi").groupBy("h").agg(F.first("norm").alias("norm"))
-    return components(_verified(pairs, texts, n, percent))
+    texts = materialize(texts, "texts")
+    near = components(_verified(_chained(tied), texts, n, percent))
+    more = materialize(_verified(_apart(tied, near, tile), texts, n, percent), "links")
+    if more.isEmpty():
+        return near
+    return components(near.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(more))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

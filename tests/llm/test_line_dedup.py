@@ -61,6 +61,34 @@ def test_equals_brute_force(spark):
         assert sorted((r.doc_id, r.text) for r in got.collect()) == want
 
 
+def templated(rng, families, pairs):
+    """Lines of templates, at about 0.6 to each other, each with one partner at 0.80 to 0.85."""
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    made = lambda k: "".join(rng.choice(letters) for _ in range(k))
+    out = []
+    for _ in range(families):
+        head = made(187)
+        for _ in range(pairs):
+            line = head + made(60)
+            at = 187 + rng.randrange(10, 28)
+            other = line[:at] + made(16) + line[at + 16 :]
+            like = len(shingles(line) & shingles(other)) / len(shingles(line) | shingles(other))
+            assert 0.8 <= like <= 0.85
+            out += [line, other]
+    rng.shuffle(out)
+    return out
+
+
+def recall(spark, rng, families, pairs):
+    lines = templated(rng, families, pairs)
+    got = report(spark.createDataFrame([(i, x, "", 0) for i, x in enumerate(lines)], SCHEMA))
+    return sum(r.n_dropped for r in got.collect()) / (families * pairs)
+
+
+def test_recall_on_a_templated_family(spark):
+    assert recall(spark, random.Random(5), 1, 150) >= 0.98
+
+
 def test_edge_cases(spark):
     rows = [(5, "same line here\nother", "k", 1), (5, "same line here\nother", "k", 1), (None, "same line here", "", 2)]
     got = report(spark.createDataFrame(rows, SCHEMA)).collect()
