@@ -16,8 +16,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicate lines go; documents stay, with ``n_chars`` of what is left."""
-    got = line_dedup.dedup_lines(docs)
+    """Near-duplicate lines go, and documents that this leaves without words; ``n_chars`` is of what is left."""
+    got = line_dedup.dedup_lines(docs, emptied=False)
     return got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

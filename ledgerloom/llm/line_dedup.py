@@ -147,7 +147,7 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, broadcast_rows: int =
     return joined.select("row", clean.alias("clean"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("lost"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", emptied: bool = True, **options) -> DataFrame:
     """The rows of ``docs`` with all columns, their near-duplicate lines taken out of ``text_col``.
 
     Lines are split at line feeds and compared lower-cased and trimmed, by the Jaccard
@@ -155,9 +155,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component stays: the occurrence of the smallest id, then place.  Blank lines stay.
     Null and empty texts stay as they are, so do other columns.  Rows repeated with id and
     text are one document: each such row gets the same text.  An empty table gives an
-    empty one.
+    empty one.  Without ``emptied``, rows that lost lines and have no words left go.
     """
     got = _cleaned(docs, id_col, text_col, **options)
+    if not emptied:
+        got = got.where("lost = 0 or clean rlike '\\\\S'")
     return got.select(*(F.col("clean").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
