@@ -40,20 +40,34 @@ _GAP = r"(?:[\x20-]|,\x20|\x20?-\x20?)"
 _SPELLED = re.compile(rf"(?<!\w)(?:plus\x20|\+\x20?)?(?:{_UNIT}(?:{_GAP}?|\x20(?:dot|point)\x20|\.))*?{_UNIT}(?:(?:{_GAP}?|\x20(?:dot|point)\x20|\.){_UNIT}){{3,}}(?!\w)", re.I)
 #: A digit's name takes the gap to the next digit with it, so do digits before a name.
 _ONE = re.compile(rf"(?P<name>{_NUMBER})(?:{_GAP}(?={_UNIT}))?|(?<=[0-9]){_GAP}(?=(?:{_NUMBER}))|plus\x20|\x20(?:dot|point)\x20", re.I)
-_AT = r"\x20?(?:\(at\)|\[at\]|\{at\}|<at>|_at_|\(@\)|\[@\])\x20?"
-_DOT = r"\x20?(?:\(dot\)|\[dot\]|\{dot\}|<dot>|_dot_|\(\.\)|\[\.\])\x20?"
+#: How the corpus languages say the signs.
+_AT_WORD, _DOT_WORD = "at|ät|arroba|arobase", "dot|punkt|punto|point"
+_AT = rf"\x20?(?:\((?:{_AT_WORD}|@)\)|\[(?:{_AT_WORD}|@)\]|\{{(?:{_AT_WORD})\}}|<(?:{_AT_WORD})>|_(?:{_AT_WORD})_)\x20?"
+_DOT = rf"\x20?(?:\((?:{_DOT_WORD}|\.)\)|\[(?:{_DOT_WORD}|\.)\]|\{{(?:{_DOT_WORD})\}}|<(?:{_DOT_WORD})>|_(?:{_DOT_WORD})_)\x20?"
 _NAME = r"[A-Za-z0-9%+-]+"
-#: Ends of addresses that bare words may spell.
-_END = "com|org|net|edu|gov|mil|int|info|biz|io|co|tv|eu|uk|de|fr|es|nl|ch|pt|pl|se|ru|br|mx|ar|ca|au|jp|cn|example|test"
-#: Marked signs count alone; bare " at " counts only with a disguised dot after it, as it is a common word.
+_DOTS = rf"(?:\.|{_DOT}|\x20(?:{_DOT_WORD})\x20)"
+_host = lambda name, end: rf"(?P<{name}>[A-Za-z0-9-]+)(?:{_DOTS}[A-Za-z0-9-]+)*?{_DOTS}(?P<{end}>[A-Za-z]{{2,24}})(?!{_DOTS}?[A-Za-z0-9-])"
+#: Words of prose around a bare "at": before it or as the name of a host, and as the end of one.
+_PROSE = frozenset(
+    "a an the this that these those my your his her its our their me you him us them it one ones is are was were be been look looked looking looks stay stayed live lives lived work works worked "
+    "working available found find hosted located online website site page pages here there visit read more see seen stop stopped start starts home noon night all least most first last once only and or not "
+    "now order buy sold start shop published posted listed store details info hosted people time times arrive arrived meet met down up out back over le la el un une der die das".split()
+)
+_NO_END = frozenset("the a an and or your my this that on is was to of for with".split())
+#: Marked signs count alone; after a bare "at" the domain ends in letters, and no word of prose may stand around it.
 _ADDRESS = re.compile(
-    rf"{_NAME}(?:(?:\.|{_DOT}|\x20dot\x20){_NAME})*(?:{_AT}[A-Za-z0-9-]+(?:(?:\.|{_DOT}|\x20dot\x20)[A-Za-z0-9-]+)+"
-    rf"|\x20at\x20[A-Za-z0-9-]+(?:(?:{_DOT}|\x20dot\x20)[A-Za-z0-9-]+)*(?:{_DOT}|\x20dot\x20)(?:{_END})(?![A-Za-z0-9-])"
-    rf"|\x20?@\x20?[A-Za-z0-9-]+(?:(?:{_DOT}|\x20dot\x20)[A-Za-z0-9-]+)+)",
+    rf"(?P<name>{_NAME}(?:{_DOTS}{_NAME})*)(?:{_AT}[A-Za-z0-9-]+(?:{_DOTS}[A-Za-z0-9-]+)+"
+    rf"|\x20(?:{_AT_WORD})\x20{_host('bare', 'bare_end')}"
+    rf"|\x20?@\x20?(?:{_host('host', 'host_end')}|[A-Za-z0-9-]+(?:(?:{_DOT}|\x20(?:{_DOT_WORD})\x20)[A-Za-z0-9-]+)+))",
     re.I,
 )
-_SIGN = re.compile(rf"{_AT}|{_DOT}|\x20at\x20|\x20dot\x20|\x20?@\x20?", re.I)
-_MAYBE_ADDRESS = re.compile(r"[(\[{<_](?:at|@)[)\]}>_]|(?:\x20at\x20|@).{1,80}?(?:\x20dot\x20|[(\[{<_](?:dot|\.)[)\]}>_])", re.I | re.S)
+_AT_SIGN = re.compile(rf"{_AT}|\x20(?:{_AT_WORD})\x20|\x20?@\x20?", re.I)
+_SIGN = re.compile(rf"{_AT}|{_DOT}|\x20(?:{_AT_WORD}|{_DOT_WORD})\x20|\x20?@\x20?", re.I)
+_MAYBE_ADDRESS = re.compile(
+    rf"[(\[{{<_](?:{_AT_WORD}|@)[)\]}}>_]|\x20(?:{_AT_WORD})\x20[A-Za-z0-9-]+(?:\.[A-Za-z0-9]|\x20?[(\[{{<_](?:{_DOT_WORD}|\.)|\x20(?:{_DOT_WORD})\x20)"
+    rf"|\x20@|@\x20|@.{{1,80}}?(?:\x20(?:{_DOT_WORD})\x20|[(\[{{<_](?:{_DOT_WORD}|\.)[)\]}}>_])",
+    re.I | re.S,
+)
 _MAYBE_NUMBER = re.compile(rf"(?<!\w)(?:{_NUMBER})(?:{_GAP}|\x20(?:dot|point)\x20)(?:{_UNIT})(?!\w)|[0-9]{_GAP}(?:{_NUMBER})(?!\w)", re.I)
 
 
@@ -128,8 +142,12 @@ class Rewritten:
     def addresses(self) -> None:
         edits = []
         for m in _ADDRESS.finditer(self.text):
+            if m["bare"] and (m["name"].lower() in _PROSE or m["bare"].lower() in _PROSE or m["bare"].lower() == "www"):
+                continue
+            if (m["bare_end"] or m["host_end"] or "").lower() in _NO_END:
+                continue
             for s in _SIGN.finditer(self.text, m.start(), m.end()):
-                edits.append((s.start(), s.end(), "@" if "at" in s[0].lower() or "@" in s[0] else "."))
+                edits.append((s.start(), s.end(), "@" if _AT_SIGN.fullmatch(s[0]) else "."))
         self.replace(edits)
 
     def numbers(self) -> None:
@@ -144,7 +162,7 @@ class Rewritten:
 
 
 def find_disguised(text: str, plain: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Spans that only a rewritten text shows and that touch no plain span of their kind."""
+    """Spans that only a rewritten text shows and that are not equal to or inside a plain span of their kind."""
     odd = _ODD.search(text)
     seen = Rewritten(text)
     if odd:
@@ -164,7 +182,7 @@ def find_disguised(text: str, plain: list[tuple[int, str, int]]) -> list[tuple[i
         if seen.text[a:b] == text[start:end]:
             continue
         whole = not (start and text[start - 1].isalnum()) and not (end < len(text) and text[end].isalnum())
-        if whole and not any(k == kind and x < end and start < y for x, k, y in plain):
+        if whole and not any(k == kind and x <= start and end <= y for x, k, y in plain):
             out.append((start, kind, end))
     return out
 

@@ -64,3 +64,28 @@ def test_report_and_mask(spark):
     assert report(df.where("false")).collect() == []
     texts = [r.text for r in mask(df).where("doc_id = 3 or doc_id is null").collect()]
     assert sorted(texts) == ["[email]", "[email] and [ip]", "[email] and [ip]"]
+
+
+REMAINDERS = {
+    "email": ["pаul@example.com", "john@mail.exаmple.com", "jane@mail.example dot com", "john at example.com", "x @ example.com", "bob at mail.example dot it", "uwe (ät) example punkt de", "ana arroba example punto es", "luc arobase example point fr"]
+    + [f"bob at example dot {end}" for end in "it at be dk no fi in me dev app".split()],
+    "ip": ["1９2.168.1.20"],
+    "phone": ["+1 415 555 26７1"],
+}
+PROSE = ["look at example.com", "available at www.example.com", "we met at noon.", "5 apples @ 3.50 each", "stay at the dot com hotel"]
+
+
+def test_disguises_with_a_plain_remainder_are_found():
+    for kind, said in REMAINDERS.items():
+        for text in said:
+            whole = f"Write to: {text}, thanks"
+            got = find_disguised(whole, find(whole))
+            assert (10, kind, 10 + len(text)) in got, (text, got)
+    for text in PROSE:
+        assert find(text) == [] and find_disguised(text, []) == [], text
+
+
+def test_mask_leaves_no_remainder(spark):
+    rows = [(1, f"to {text}, thanks", "", 0) for said in REMAINDERS.values() for text in said]
+    want = sorted(f"to [{kind}], thanks" for kind, said in REMAINDERS.items() for _ in said)
+    assert sorted(r.text for r in mask(spark.createDataFrame(rows, SCHEMA)).collect()) == want
