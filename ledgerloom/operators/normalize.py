@@ -68,6 +68,11 @@ def stake_starts(rows: DataFrame) -> DataFrame:
     return _exploded(rows, ["tx", "stake"], legs)
 
 
+def stake_locks(rows: DataFrame) -> DataFrame:
+    """``tx, stake, asset, locked`` to one STAKE_LOCK leg."""
+    return _exploded(rows, ["tx", "stake"], [_leg("STAKE_LOCK", "OUT", F.col("asset"), F.col("locked"))])
+
+
 def stake_ends(rows: DataFrame) -> DataFrame:
     """``tx, stake, asset, locked (null if unknown), total, fee``.
 

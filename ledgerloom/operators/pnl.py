@@ -1,32 +1,59 @@
-"""Average-cost profit and loss: an ordered fold per wallet and asset, inside the JVM."""
+"""Average-cost profit and loss of single legs: an ordered fold per wallet and asset, as a stream."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_FOLDED = "holdings double, avg_cost double, realized double, skipped long"
+
+
+def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    key, state, out = None, None, []
+    names = ["wallet", "asset", "holdings", "avg_cost", "realized", "skipped"]
+
+    def close():
+        h, c, r, s = state
+        out.append((*key, h, c / h if h != 0 else None, r, s))
+
+    for frame in frames:
+        for wallet, asset, direction, quantity, value in zip(*(frame[c].tolist() for c in ("wallet", "asset", "direction", "quantity", "value")), strict=True):
+            if (wallet, asset) != key:
+                if key is not None:
+                    close()
+                key, state = (wallet, asset), [0.0, 0.0, 0.0, 0]
+            h, c, r, s = state
+            if direction != "OUT":
+                state = [h + quantity, c + value, r, s]
+            elif quantity > h:
+                state = [h, c, r, s + 1]
+            else:
+                taken = c / (h or 1.0) * quantity
+                state = [h - quantity, c - taken, r + (value - taken), s]
+        if out:
+            yield pd.DataFrame(out, columns=names)
+            out.clear()
+    if key is not None:
+        close()
+        yield pd.DataFrame(out, columns=names)
+
+
 def average_cost(legs: DataFrame, order: list[str]) -> DataFrame:
     """``wallet, asset, holdings, avg_cost, realized, skipped``.
 
     ``legs`` has ``wallet, asset, direction, quantity, value``.  Legs are folded in the order
     of the columns ``order``.  An IN leg adds its value to the cost; an OUT leg takes cost at
     the average and realises the difference; one beyond the holdings is skipped and counted.
+    Each fold depends on the one before, so a key is one task's; it reads its legs as a
+    stream that Spark has sorted, and holds four numbers, however long the history.
     """
-    leg = F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), "direction", "quantity", "value")
-    zero = F.struct(F.lit(0.0).alias("h"), F.lit(0.0).alias("c"), F.lit(0.0).alias("r"), F.lit(0).cast("long").alias("s"))
-
-    def step(a: Column, x: Column) -> Column:
-        out, short = x["direction"] == "OUT", x["quantity"] > a["h"]
-        taken = a["c"] / F.when(a["h"] == 0, 1.0).otherwise(a["h"]) * x["quantity"]
-        sold = F.struct((a["h"] - x["quantity"]).alias("h"), (a["c"] - taken).alias("c"), (a["r"] + (x["value"] - taken)).alias("r"), a["s"].alias("s"))
-        skip = F.struct(a["h"].alias("h"), a["c"].alias("c"), a["r"].alias("r"), (a["s"] + 1).alias("s"))
-        bought = F.struct((a["h"] + x["quantity"]).alias("h"), (a["c"] + x["value"]).alias("c"), a["r"].alias("r"), a["s"].alias("s"))
-        return F.when(out & short, skip).when(out, sold).otherwise(bought)
-
-    got = legs.groupBy("wallet", "asset").agg(F.aggregate(F.array_sort(F.collect_list(leg)), zero, step).alias("f"))
-    mean = F.when(F.col("f.h") != 0, F.col("f.c") / F.when(F.col("f.h") == 0, 1.0).otherwise(F.col("f.h")))
-    return got.select("wallet", "asset", F.col("f.h").alias("holdings"), mean.alias("avg_cost"), F.col("f.r").alias("realized"), F.col("f.s").alias("skipped"))
+    kinds = {f.name: f.dataType.simpleString() for f in legs.schema.fields}
+    ordered = legs.select("wallet", "asset", *[c for c in order if c not in ("quantity", "value")], "direction", "quantity", "value").repartition("wallet", "asset").sortWithinPartitions("wallet", "asset", *order)
+    return ordered.select("wallet", "asset", "direction", "quantity", "value").mapInPandas(_fold, f"wallet {kinds['wallet']}, asset {kinds['asset']}, {_FOLDED}")
 
 
 def coupled(legs: DataFrame) -> DataFrame:

@@ -24,19 +24,41 @@ def reject_reason(at: Column, least: float) -> Column:
     )
 
 
-def best_prices(legs: DataFrame, prices: DataFrame, least: float = 0.5, strict: bool = False) -> DataFrame:
+def series(prices: DataFrame, chain: int, asset, quote: str) -> DataFrame:
+    """Observations of an asset in one quote, the newest first, then the last stored."""
+    return prices.where((F.col("chain_id") == chain) & (F.col("asset") == asset) & (F.col("quote") == quote)).orderBy(F.desc("observed_at"), F.desc("created_at"))
+
+
+def _rank(prices: DataFrame) -> Column:
+    """The order among eligible observations: source, confidence, time, liquidity (unknown as zero), then id."""
+    liquidity = F.coalesce(F.col("liquidity"), F.lit(0.0)) if "liquidity" in prices.columns else F.lit(0.0)
+    return F.struct(source_rank(F.col("source_type")).alias("s"), "confidence", "observed_at", liquidity.alias("l"), (-F.col("price_id")).alias("i"), "price_id", "price")
+
+
+def best_prices(legs: DataFrame, prices: DataFrame, least: float = 0.5, strict: bool = False, width_s: int = 86_400) -> DataFrame:
     """The best eligible observation for every leg ``leg, asset, at``; null where there is none.
 
-    Ranks by source, confidence, time (latest first) and id.  An observation after ``at``
-    counts unless ``strict``; only the time at which it goes stale bounds it.
+    An observation after ``at`` counts unless ``strict``; only the time at which it goes
+    stale bounds it.  Legs and observations of an asset then stand in one order, by time and
+    expiry, and a running maximum finds the best: no leg meets every observation.  With both
+    bounds, observations meet legs in spans of ``width_s`` seconds that their validity touches.
     """
-    asked = legs.select("leg", F.col("asset").alias("a"), "at")
-    meets = (F.col("a") == F.col("asset")) & reject_reason(F.col("at"), least).isNull()
+    ok = prices.where(F.col("source_type").isin(*SOURCE_PRIORITY) & (F.col("confidence") >= least))
+    expiry = F.unix_micros("observed_at") + F.col("stale_after_seconds").cast("long") * 1_000_000
+    ok = ok.select("asset", _rank(ok).alias("rank"), F.unix_micros("observed_at").alias("since"), expiry.alias("until"))
+    asked = legs.select("leg", "asset", "at", F.unix_micros("at").alias("t"))
     if strict:
-        meets = meets & (F.col("observed_at") <= F.col("at"))
-    rank = F.struct(source_rank(F.col("source_type")).alias("s"), "confidence", "observed_at", (-F.col("price_id")).alias("i"))
-    best = asked.join(prices, meets).groupBy("leg").agg(F.max_by(F.struct("price_id", "price"), rank).alias("best"))
-    return legs.join(best, "leg", "left").select("leg", "asset", F.col("best.price_id").alias("price_id"), F.col("best.price").alias("price"))
+        width = width_s * 1_000_000
+        cell = lambda c: F.floor(F.col(c) / width).cast("long")
+        spread = ok.select("*", F.explode(F.sequence(cell("since"), cell("until"))).alias("cell"))
+        got = asked.withColumn("cell", cell("t")).join(spread, ["asset", "cell"]).where("since <= t and t <= until").groupBy("leg").agg(F.max("rank").alias("best"))
+        return legs.join(got, "leg", "left").select("leg", "asset", F.col("best.price_id").alias("price_id"), F.col("best.price").alias("price"))
+    kind = ok.schema["rank"].dataType
+    rows = asked.select("leg", "asset", F.col("t").alias("key"), F.lit(1).alias("asks"), F.lit(None).cast(kind).alias("rank"))
+    rows = rows.unionByName(ok.select(F.lit(None).cast(legs.schema["leg"].dataType).alias("leg"), "asset", F.col("until").alias("key"), F.lit(0).alias("asks"), "rank"))
+    w = Window.partitionBy("asset").orderBy(F.desc("key"), "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    got = rows.withColumn("best", F.max("rank").over(w)).where("asks = 1")
+    return got.select("leg", "asset", F.col("best.price_id").alias("price_id"), F.col("best.price").alias("price"))
 
 
 def pricing_status(sources: DataFrame, prices: DataFrame, now: Column, least: float = 0.5) -> DataFrame:

@@ -36,7 +36,7 @@ def page(groups: DataFrame, entries: DataFrame, size: int, after: tuple | None =
     """A page of transactions, newest first then by id, after a cursor ``(time, id)``, with their entries."""
     rows = groups if after is None else groups.where((F.col("occurred_at") < F.lit(after[0])) | ((F.col("occurred_at") == F.lit(after[0])) & (F.col("id") > F.lit(after[1]))))
     top = rows.orderBy(F.desc("occurred_at"), "id").limit(size)
-    legs = entries.groupBy("id").agg(F.count("*").alias("n_entries"), F.sum("quantity").alias("quantity"))
+    legs = entries.join(F.broadcast(top.select("id")), "id", "left_semi").groupBy("id").agg(F.count("*").alias("n_entries"), F.sum("quantity").alias("quantity"))
     return top.join(legs, "id", "left").select("id", "occurred_at", source_family(F.col("action_type")).alias("family"), F.coalesce("n_entries", F.lit(0)).alias("n_entries"), "quantity")
 
 
@@ -66,3 +66,12 @@ def onboarding(runs: DataFrame) -> DataFrame:
 def blockers(runs: DataFrame, now: Column) -> DataFrame:
     got = run_status(runs.where(F.col("state").isin("PENDING", "RUNNING")), now)
     return got.groupBy("state").agg(F.count("*").alias("runs"), F.count_if("stale").alias("stale_runs"), F.min("age_s").alias("min_age_s"), F.max("age_s").alias("max_age_s"))
+
+
+def conflicting(wanted: DataFrame, runs: DataFrame) -> DataFrame:
+    """Whether an operation on a wallet and chain is blocked: by a rebuild anywhere, or a run of its own wallet and chain."""
+    live = runs.where(F.col("state").isin("PENDING", "RUNNING"))
+    own = live.select("wallet", "chain_id").distinct().withColumn("own", F.lit(True))
+    rebuild = live.where("kind = 'REBUILD'").agg((F.count("*") > 0).alias("rebuild"))
+    got = wanted.join(own, ["wallet", "chain_id"], "left").crossJoin(F.broadcast(rebuild))  # one row
+    return got.select("wallet", "chain_id", (F.coalesce("own", F.lit(False)) | F.col("rebuild")).alias("blocked"))

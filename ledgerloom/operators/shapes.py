@@ -31,7 +31,7 @@ def swap_shape(transfers: DataFrame) -> DataFrame:
 
 
 def lp_shape(transfers: DataFrame) -> DataFrame:
-    """``tx, kind, lp_asset, asset0, asset1, reason``: two out and one in add, one out and two in remove."""
+    """``tx, kind, lp_asset, asset0, asset1, reason, lp, amount0, amount1``: two out and one in add, one out and two in remove."""
     n_out, n_in = F.size("out"), F.size("in")
     overlap = F.arrays_overlap(F.transform("out", lambda x: x["asset"]), F.transform("in", lambda x: x["asset"]))
     kind = F.when((n_out == 2) & (n_in == 1), "LP_ADD").when((n_out == 1) & (n_in == 2), "LP_REMOVE")
@@ -39,7 +39,9 @@ def lp_shape(transfers: DataFrame) -> DataFrame:
     one = F.when(F.col("kind") == "LP_ADD", F.col("in")).when(F.col("kind") == "LP_REMOVE", F.col("out"))
     pair = F.when(F.col("kind") == "LP_ADD", F.col("out")).when(F.col("kind") == "LP_REMOVE", F.col("in"))
     at = lambda side, k: F.try_element_at(side, F.lit(k))["asset"]
-    return got.select("tx", "kind", at(one, 1).alias("lp_asset"), at(pair, 1).alias("asset0"), at(pair, 2).alias("asset1"), "reason")
+    amount = lambda side, k: F.try_element_at(side, F.lit(k))["quantity"]
+    amounts = [amount(one, 1).alias("lp"), amount(pair, 1).alias("amount0"), amount(pair, 2).alias("amount1")]
+    return got.select("tx", "kind", at(one, 1).alias("lp_asset"), at(pair, 1).alias("asset0"), at(pair, 2).alias("asset1"), "reason", *amounts)
 
 
 def stake_shape(transfers: DataFrame) -> DataFrame:

@@ -6,6 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def wide_floor(shares: Column, payout: Column, total: Column) -> Column:
+    """``floor(shares * payout / total)`` of integers whose product has up to 38 digits, exactly; null if ``total`` is 0.
+
+    Less its rest the product divides evenly, so the quotient needs no places.
+    """
+    s, p, t = (c.cast("decimal(38,0)") for c in (shares, payout, total))
+    t = F.nullif(t, F.lit(0).cast("decimal(38,0)"))
+    product = (s * p).cast("decimal(38,0)")
+    return ((product - product % t) / t).cast("decimal(38,0)")
+
+
 def stake_yield(stakes: DataFrame, days: DataFrame) -> DataFrame:
     """Sum over a stake's days of ``floor(shares * payout / total)``; days without shares add nothing.
 
@@ -13,11 +24,20 @@ def stake_yield(stakes: DataFrame, days: DataFrame) -> DataFrame:
     """
     each = stakes.select("stake", "shares", F.explode(F.sequence("locked_day", F.col("locked_day") + F.col("staked_days") - 1)).alias("day"))
     got = each.join(days, "day")
-    part = F.when(F.col("total_shares") > 0, F.floor(F.col("shares") * F.col("payout") / F.when(F.col("total_shares") == 0, 1).otherwise(F.col("total_shares"))))
-    summed = got.groupBy("stake").agg(F.sum(F.coalesce(part.cast("long"), F.lit(0))).alias("yield_units"), F.count("*").alias("days_seen"))
+    part = F.when(F.col("total_shares") > 0, wide_floor(F.col("shares"), F.col("payout"), F.col("total_shares")))
+    summed = got.groupBy("stake").agg(F.sum(F.coalesce(part, F.lit(0).cast("decimal(38,0)"))).cast("long").alias("yield_units"), F.count("*").alias("days_seen"))
     return stakes.join(summed, "stake", "left").select("stake", "staked_days", F.coalesce("days_seen", F.lit(0)).alias("days_seen"), "yield_units")
 
 
+def payload_days(payloads: DataFrame) -> DataFrame:
+    """One row per day of a payload's range: ``day, payout, shares, sats``, from the packed words in order."""
+    from ..functions.scalars import decode_packed
+
+    words = F.from_json("payload", "schemaVersion string, dailyData array<string>")["dailyData"]
+    each = payloads.select("from_day", F.posexplode(words).alias("place", "packed"))
+    return each.select((F.col("from_day") + F.col("place")).alias("day"), decode_packed("packed").alias("d")).select("day", "d.payout", "d.shares", "d.sats")
+
+
 def elapsed_end(now: Column) -> Column:
     return F.least(now - 1, F.col("locked_day") + F.col("staked_days") - 1)
 

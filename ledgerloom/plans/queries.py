@@ -97,7 +97,7 @@ lp AS (SELECT tx, CASE WHEN NOT lap THEN k END AS kind, CASE WHEN k IS NULL THEN
 
 @_query(_LP + "SELECT tx, kind, one[1].a AS lp_asset, two[1].a AS asset0, two[2].a AS asset1, reason FROM lp")
 def lp_shape(spark, sf):
-    return shapes.lp_shape(_transfers(spark, sf))
+    return shapes.lp_shape(_transfers(spark, sf)).drop("lp", "amount0", "amount1")
 
 
 @_query(f"""WITH {LEGS}, n AS (SELECT tx, count(*) FILTER (WHERE direction = 'OUT') AS n_out, count(*) FILTER (WHERE direction = 'IN') AS n_in FROM legs GROUP BY tx)
@@ -138,10 +138,7 @@ def normalize_swaps(spark, sf):
 
 
 def _lp_actions(spark, sf):
-    got = shapes._sides(_transfers(spark, sf)).join(shapes.lp_shape(_transfers(spark, sf)).where("reason is null"), "tx")
-    add = F.col("kind") == "LP_ADD"
-    one, two = F.when(add, F.col("in")).otherwise(F.col("out")), F.when(add, F.col("out")).otherwise(F.col("in"))
-    return got.select("tx", "kind", "lp_asset", "asset0", "asset1", one[0]["quantity"].alias("lp"), two[0]["quantity"].alias("amount0"), two[1]["quantity"].alias("amount1"))
+    return shapes.lp_shape(_transfers(spark, sf)).where("reason is null").drop("reason")
 
 
 @_query(_LP + f""", {_FEES}, w AS (SELECT lp.*, fee FROM lp JOIN fees USING (tx) WHERE reason IS NULL),
@@ -191,8 +188,9 @@ def fee_owner(spark, sf):
 
 
 def _evidence(spark, sf, k):
-    rows = legs(spark, sf).where(F.col("supplier") % 3 == k)
-    return rows.select(F.col("tx").alias("transfer"), "status", F.when(F.col("line") <= 2, "RECORDED").otherwise("VERIFIED_EMPTY").alias("evidence"))
+    rows = read(spark, sf, "lineitem").where(F.col("l_suppkey") % 3 == k)
+    status = F.when(F.col("l_linestatus") == "F", "REORGED").otherwise("ACTIVE").alias("status")
+    return rows.select(F.col("l_orderkey").alias("transfer"), status, F.when(F.col("l_linenumber") <= 2, "RECORDED").otherwise("VERIFIED_EMPTY").alias("evidence"))
 
 
 @_query(f"""WITH {LEGS}, used AS (SELECT DISTINCT tx FROM legs WHERE status = 'ACTIVE' AND line <= 2 AND supplier % 3 IN (0, 1, 2))
@@ -412,10 +410,10 @@ def blocker_summary(spark, sf):
     return reports.blockers(_runs(spark, sf).where(F.col("started_at") <= _utc(AT)), _utc(AT))
 
 
-@_query(f"""WITH {_RUNS}, g AS (SELECT wallet, count(*) AS runs, arg_max(state, started_at) AS l, bool_or(state = 'SUCCESS') AS ok FROM runs WHERE run % 50 <> 2 GROUP BY 1)
+@_query(f"""WITH {_RUNS}, g AS (SELECT wallet, count(*) AS runs, arg_max(state, started_at) AS l, bool_or(state = 'SUCCESS') AS ok FROM runs GROUP BY 1)
 SELECT wallet, runs, CASE WHEN l = 'FAILED' AND NOT ok THEN 'failed' WHEN l = 'RUNNING' AND NOT ok THEN 'syncing' WHEN l = 'RUNNING' AND ok THEN 'syncing-again' WHEN ok THEN 'ready' ELSE 'waiting' END AS onboarding FROM g""")
 def onboarding_status(spark, sf):
-    return reports.onboarding(_runs(spark, sf).where("run % 50 <> 2"))
+    return reports.onboarding(_runs(spark, sf))
 
 
 @_query(f"""WITH r AS (SELECT o_custkey AS wallet, {_DAY.format("o_orderdate")}::BIGINT AS f, {_DAY.format("o_orderdate")}::BIGINT + o_orderkey % 90 AS t FROM orders),
@@ -501,3 +499,8 @@ def events_session(spark, sf):
 @_query("SELECT DISTINCT user_id, event_type FROM events")
 def events_dedupe(spark, sf):
     return windows.first_seen(_events(spark, sf), ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+from . import evidence as _evidence  # noqa: E402, F401  the modules register their queries
+from . import states as _states  # noqa: E402, F401
+from . import accounting as _accounting  # noqa: E402, F401

@@ -63,3 +63,34 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRICES = """prices AS (
   SELECT event_id AS price_id, user_id AS asset, value AS price, ['ONCHAIN_POOL', 'ONCHAIN_ROUTE', 'ORACLE', 'MANUAL', 'DEXSCREENER'][event_id % 5 + 1] AS source_type,
          (event_id % 100) / 100 AS confidence, ts AS observed_at, 86400 AS stale FROM events WHERE event_type = 'view')"""
+
+
+def raw_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trade lines as raw token transfers: an order is a block of one transaction, customers and suppliers are addresses."""
+    line = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    address = lambda key, base: F.concat(F.lit("0x"), F.lpad((F.col(key) + base).cast("string"), 40, "0"))
+    out = F.col("l_returnflag") == "R"
+    return line.select(
+        F.lit(369).alias("chain_id"),
+        F.concat(F.lit("0x"), F.lpad(F.col("l_orderkey").cast("string"), 64, "0")).alias("tx"),
+        F.col("l_orderkey").alias("block_number"),
+        F.concat(F.lit("0xb"), F.lpad(F.col("l_orderkey").cast("string"), 63, "0")).alias("block_hash"),
+        F.col("l_linenumber").alias("log_index"),
+        F.when(out, address("o_custkey", 0)).otherwise(address("l_suppkey", 10**9)).alias("from_address"),
+        F.when(out, address("l_suppkey", 10**9)).otherwise(address("o_custkey", 0)).alias("to_address"),
+        F.concat(F.lit("chain:369:erc20:0x"), F.lpad((F.col("l_partkey") % 25).cast("string"), 40, "0")).alias("asset"),
+        F.round(F.col("l_extendedprice") * 100).cast("long").cast("string").alias("amount_raw"),
+        F.when(F.col("l_linestatus") == "F", "REORGED").otherwise("ACTIVE").alias("status"),
+        F.col("l_partkey").alias("part"),
+        F.col("l_suppkey").alias("supplier"),
+        F.col("l_shipdate").alias("occurred_at"),
+    )
+
+
+RAW = """raw AS (
+  SELECT 369 AS chain_id, '0x' || lpad(l_orderkey::VARCHAR, 64, '0') AS tx, l_orderkey AS block_number, '0xb' || lpad(l_orderkey::VARCHAR, 63, '0') AS block_hash, l_linenumber AS log_index,
+         '0x' || lpad((CASE WHEN l_returnflag = 'R' THEN o_custkey ELSE l_suppkey + 1000000000 END)::VARCHAR, 40, '0') AS from_address,
+         '0x' || lpad((CASE WHEN l_returnflag = 'R' THEN l_suppkey + 1000000000 ELSE o_custkey END)::VARCHAR, 40, '0') AS to_address,
+         'chain:369:erc20:0x' || lpad((l_partkey % 25)::VARCHAR, 40, '0') AS asset, round(l_extendedprice * 100)::BIGINT::VARCHAR AS amount_raw,
+         CASE WHEN l_linestatus = 'F' THEN 'REORGED' ELSE 'ACTIVE' END AS status, l_partkey AS part, l_suppkey AS supplier, l_shipdate AS occurred_at
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""

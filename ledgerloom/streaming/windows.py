@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,9 @@ def append_batches(stream: DataFrame, path: str, key: list[str], checkpoint: str
         spark: SparkSession = batch.sparkSession
         try:
             old = spark.read.schema(batch.schema).parquet(path).select(*key)
-        except Exception:  # noqa: BLE001  the first batch finds no table
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # only the first batch finds no table
+                raise
             old = batch.select(*key).limit(0)
         batch.dropDuplicates(key).join(old, key, "left_anti").write.mode("append").parquet(path)
 
