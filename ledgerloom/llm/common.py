@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +64,24 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
 def signed(column):
     """uint64 array seen as int64, the type Spark stores."""
     return column.view("int64")
+
+
+def release() -> None:
+    """Give what a task has freed back to the machine: Python workers outlive their tasks."""
+    from . import words
+
+    words.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        pass
+
+
+def freed(rows):
+    """The rows of a task; when they end, what the task held goes back to the machine."""
+    try:
+        yield from rows
+    finally:
+        release()

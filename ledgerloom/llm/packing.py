@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import os
 import random
-import re
 import zlib
 from collections import Counter
 from math import ceil
@@ -21,84 +20,187 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import freed, materialize
+from .words import buffers, hashes
+from .words import pieces as text_pieces
+
+#: The vocabulary's own splitting rule is
+#: ``'s|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?[^\\sLN]+|\\s+(?!\\S)|\\s+``, L letters, N numbers.  These are the
+#: classes of texts up to U+024F and general punctuation, which do not differ between Unicode versions.
+_SPACE, _LETTER, _NUMBER, _SIGN = 0, 1, 2, 3
+_CLASS = np.full(256, _SIGN, np.uint8)  # of ASCII bytes
+_CLASS[[*range(9, 14), 32]] = _SPACE
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASS[48:58] = _NUMBER
+_LATIN = np.full((2, 256), _SIGN, np.uint8)  # of what follows the bytes C2 and C3
+_LATIN[0, [0x85, 0xA0]] = _SPACE
+_LATIN[0, [0xAA, 0xB5, 0xBA]] = _LETTER
+_LATIN[0, [0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = _NUMBER
+_LATIN[1, 0x80:0xC0] = _LETTER
+_LATIN[1, [0x97, 0xB7]] = _SIGN
+_SPECIAL = b"<|endoftext|>"
+#: The vocabulary shows a byte as the character of its number, or from U+0100 on, in order, if that is no visible one.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = dict(zip([*_PLAIN, *(b for b in range(256) if b not in _PLAIN)], [*_PLAIN, *range(256, 512)], strict=False))
+_ONE, _TWO = frozenset(b"stmd"), frozenset((b"re", b"ve", b"ll"))
+
+
+def _odd(raw: np.ndarray, at: np.ndarray) -> set[int]:
+    """Texts with characters beyond those classes, or with a special token: the tokenizer reads these whole."""
+    beyond = raw >= 0xCA
+    wide = np.flatnonzero(raw == 0xE2)  # U+2010-2027, U+2030-205E and the euro sign
+    if len(wide):
+        x, y = raw[wide + 1], raw[wide + 2]
+        beyond[wide[((x == 0x80) & (((y >= 0x90) & (y <= 0xA7)) | (y >= 0xB0))) | ((x == 0x81) & (y <= 0x9E)) | ((x == 0x82) & (y == 0xAC))]] = False
+    out = set((np.searchsorted(at, np.flatnonzero(beyond), side="right") - 1).tolist())
+    data, k = raw.tobytes(), -1
+    while (k := data.find(_SPECIAL, k + 1)) >= 0:
+        out.add(int(np.searchsorted(at, k, side="right")) - 1)
+    return out
+
 
-#: The vocabulary's own splitting rule, written for texts up to U+024F (Latin
-#: letters) and general punctuation, whose classes do not differ between Unicode versions.
-_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_S = "\t-\r \x85\xa0"
-_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_OTHER = re.compile("[^\x00-ɏ‐-‧‰-⁞€]|<\\|endoftext\\|>")
+def _word_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the splitting rule starts a word, in the UTF-8 bytes of texts that begin at ``at``."""
+    kind = _CLASS[raw]
+    for low in (0xC2, 0xC3):
+        p = np.flatnonzero(raw == low)
+        kind[p] = kind[p + 1] = _LATIN[low - 0xC2, raw[p + 1]]
+    p = np.flatnonzero((raw >= 0xC4) & (raw <= 0xC9))
+    kind[p] = kind[p + 1] = _LETTER
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[at] = True  # texts part, so no run reaches over their ends
+    edge[1:-1] |= kind[1:] != kind[:-1]
+    starts = edge.copy()
+    run = np.flatnonzero(edge)
+    begin, end = run[:-1], run[1:]
+    inner = np.ones(len(raw) + 1, bool)
+    inner[at] = False
+    # white space before something else: its last character stands alone, or leads the next word if it is a blank
+    led = (kind[begin] == _SPACE) & inner[end]
+    last = end[led] - 1
+    last = last - ((raw[last] & 0xC0) == 0x80)
+    starts[last] = True
+    starts[end[led][raw[last] == 32]] = False
+    # an apostrophe alone takes s, t, m, d, re, ve or ll
+    for q in begin[(raw[begin] == 39) & (end == begin + 1) & inner[end]].tolist():
+        if not starts[q] or kind[q + 1] != _LETTER:
+            continue
+        k = q + 2 if raw[q + 1] in _ONE else q + 3 if raw[q + 1 : q + 3].tobytes() in _TWO else 0
+        if k and not edge[q + 2 : k].any():
+            starts[q + 1], starts[k] = False, True
+    return np.flatnonzero(starts[:-1])
 
 
 class Encoder:
-    """Token ids of many texts as little-endian bytes; words met before are looked up."""
+    """Token ids of many texts; words met before are found by a 64-bit hash in sorted arrays.
+
+    At ``most`` words those go that were not met since the last time; about 40 bytes a word.
+    """
 
-    def __init__(self, vocabulary: str, most: int = 150_000):
+    def __init__(self, vocabulary: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_str(vocabulary), most, {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        self.tokenizer, self.most = Tokenizer.from_str(vocabulary), most
+        self.key, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool, self.met = np.zeros(0, np.uint32), np.zeros(0, bool)
+
+    def _learn(self, key: np.ndarray, data: bytes, begin: np.ndarray, end: np.ndarray) -> None:
+        """Add distinct new words, given by rising keys and their places in ``data``."""
+        tokenize = self.tokenizer.model.tokenize
+        shown = b"".join(data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)).decode("latin-1").translate(_SHOWN)
+        last = np.cumsum(end - begin)
+        ids = [[t.id for t in tokenize(shown[a:b])] for a, b in zip((last - (end - begin)).tolist(), last.tolist(), strict=True)]
+        size = np.array([len(x) for x in ids], np.int32)
+        place = np.searchsorted(self.key, key)
+        at = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate([self.pool, np.array([x for w in ids for x in w], np.uint32)])
+        self.key, self.at, self.size = (np.insert(x, place, y) for x, y in ((self.key, key), (self.at, at), (self.size, size)))
+        self.met = np.insert(self.met, place, True)
+
+    def _evict(self) -> None:
+        keep = self.met if self.met.sum() <= self.most // 2 else np.zeros(len(self.met), bool)
+        self.key, self.at, self.size = self.key[keep], self.at[keep], self.size[keep]
+        used = _ragged(self.at, self.size)
+        self.pool, self.at = self.pool[used], np.cumsum(self.size.astype(np.int64)) - self.size
+        self.met = np.zeros(len(self.key), bool)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        odd = {k for k, t in enumerate(texts) if _OTHER.search(t)}
-        whole = dict(zip(odd, self._encode([texts[k] for k in odd]), strict=True))
-        parts = [() if k in odd else _SPLIT.findall(t) for k, t in enumerate(texts)]
-        used = set().union(*parts)
-        new = list(used - self.known.keys())
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(used)
-        for k in range(0, len(new), 10_000):
-            self.known.update(zip(new[k : k + 10_000], self._encode(new[k : k + 10_000]), strict=True))
-        return [whole[k] if k in odd else b"".join(map(self.known.__getitem__, p)) for k, p in enumerate(parts)]
-
-
-_encoders: dict[int, Encoder] = {}  # of this worker; tasks that follow find its words
-
-
-def _encoder(vocabulary: str) -> Encoder:
-    key = zlib.crc32(vocabulary.encode())
-    if key not in _encoders:
-        _encoders[key] = Encoder(vocabulary)
-    return _encoders[key]
-
-
-def _runs(column: pa.Array, size: int = 500_000):
-    """First row and texts of runs of whole texts of about so many bytes; null counts as empty."""
-    ends = np.concatenate([[0], np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))])
-    i = 0
-    while i < len(column):
-        j = max(i + 1, int(np.searchsorted(ends, ends[i] + size, side="right")) - 1)
-        yield i, [t or "" for t in column.slice(i, j - i).to_pylist()]
-        i = j
+        """The ids of each text as little-endian bytes."""
+        raw, at = buffers(pa.array(texts, pa.string()))
+        ids, size = self.ids(raw, at - at[0])
+        data, last = ids.astype("<u4").tobytes(), np.cumsum(size) * 4
+        return [data[a:b] for a, b in zip((last - size * 4).tolist(), last.tolist(), strict=True)]
+
+    def ids(self, raw: np.ndarray, at: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each with ``end`` behind it if there is one, and how many each has."""
+        closed = [] if end is None else [end]
+        odd = _odd(raw, at)
+        start = _word_starts(raw, at) if len(raw) else np.zeros(0, np.int64)
+        h = hashes(raw, start, np.append(start[1:], len(raw))) if len(start) else np.zeros(0, np.uint64)
+        if odd:
+            inside = np.isin(np.searchsorted(at, start, side="right") - 1, list(odd))
+            start, h, ends = start[~inside], h[~inside], np.append(start[1:], len(raw))[~inside]
+        else:
+            ends = np.append(start[1:], len(raw))
+        want, first, which = np.unique(h, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.key, want), max(len(self.key) - 1, 0))
+        new = self.key[place] != want if len(self.key) else np.ones(len(want), bool)
+        if new.any():
+            if len(self.key) + int(new.sum()) > self.most:
+                self._evict()
+                place = np.minimum(np.searchsorted(self.key, want), max(len(self.key) - 1, 0))
+                new = self.key[place] != want if len(self.key) else np.ones(len(want), bool)
+            at_new = first[new]
+            self._learn(want[new], raw.tobytes(), start[at_new], ends[at_new])
+            place = np.searchsorted(self.key, want)
+        self.met[place] = True
+        # ids of the words in their order, then the odd texts' own, an end after each text
+        word_at, word_size = self.at[place][which], self.size[place][which].astype(np.int64)
+        tails = np.searchsorted(start, at[1:])
+        pool, extra, length = [self.pool, np.array(closed, np.uint32)], len(self.pool), np.full(len(at) - 1, len(closed))
+        tail_at = np.full(len(at) - 1, extra)
+        extra += len(closed)
+        for k in sorted(odd):
+            text = raw[at[k] : at[k + 1]].tobytes().decode()
+            ids = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, *closed], np.uint32)
+            pool.append(ids)
+            tail_at[k], length[k], extra = extra, len(ids), extra + len(ids)
+        all_at, all_size = np.insert(word_at, tails, tail_at), np.insert(word_size, tails, length)
+        closing = tails + np.arange(len(tails))
+        total = np.cumsum(all_size)[closing]
+        return np.concatenate(pool)[_ragged(all_at, all_size)], np.diff(total, prepend=0)
+
+
+def _ragged(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of stretches of ``size`` that begin at ``at``, one after the other."""
+    size = size.astype(np.int64)
+    return np.arange(int(size.sum())) + np.repeat(at - np.cumsum(size) + size, size)
 
 
 def _pieces(batches, vocabulary, end: int, most: int):
-    encode, tail = _encoder(vocabulary.value), end.to_bytes(4, "little")
+    encode = Encoder(vocabulary.value)
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
-        for low, texts in _runs(batch.column(1)):
-            out, owner = [], []
-            for k, ids in enumerate(encode(texts)):
-                data = ids + tail
-                n, start, number = len(data) // 4, 0, 0
-                while start < n:
-                    size = (n % most or most) if not number else most
-                    out.append((row, number, start, size, zlib.crc32(data[4 * start : 4 * (start + size)])))
-                    owner.append(low + k)
-                    start, number, row = start + size, number + 1, row + 1
+        for i, j, raw, at in text_pieces(batch.column(1), 1 << 20):
+            ids, size = encode.ids(raw, at, end)
+            count = -(-size // most)
+            owner = np.repeat(np.arange(j - i), count)
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            lead = size - (count - 1) * most  # the first piece takes what is over
+            start = np.where(number == 0, 0, lead[owner] + (number - 1) * most)
+            length = np.where(number == 0, lead[owner], most)
+            data = memoryview(ids.astype("<u4").tobytes())
+            low = (np.repeat(np.cumsum(size) - size, count) + start) * 4
+            crc = [zlib.crc32(data[a:b]) for a, b in zip(low.tolist(), (low + length * 4).tolist(), strict=True)]
+            columns = [np.arange(row, row + len(owner)), number, start, length, np.array(crc, np.int64)]
+            row += len(owner)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner, pa.int32())), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))],
+                [batch.column(0).slice(i, j - i).take(pa.array(owner, pa.int32())), *(pa.array(c, pa.int64()) for c in columns)],
                 names=["id", "row", "piece", "start", "length", "crc"],
             )
 
@@ -252,7 +354,7 @@ def pack(
         shared = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    pieces = rows.mapInArrow(lambda it: _pieces(it, shared, end, most), f"id {kind}, row long, piece long, start long, length long, crc long")
+    pieces = rows.mapInArrow(lambda it: freed(_pieces(it, shared, end, most)), f"id {kind}, row long, piece long, start long, length long, crc long")
     pieces = materialize(pieces, "pieces")
     open_ = pieces.where(F.col("length") < most)
     shards = max(1, ceil(open_.count() / shard_items))

@@ -39,6 +39,12 @@ def _power_table(n: int) -> np.ndarray:
     return _powers[:, :n]
 
 
+def forget() -> None:
+    """Drop the table of powers, which is as long as the longest text met."""
+    global _powers
+    _powers = np.ones((2, 1), np.uint64)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)

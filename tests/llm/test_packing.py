@@ -75,3 +75,25 @@ def test_children_hold_the_same_pieces():
     best = evolve(items, [], 1024, random.Random(2), 4, 30)
     assert fitness(best[0], 1024) >= first and len(best) <= 4
     assert evolve([], [], 1024, rng, 4, 3) == [[]]
+
+
+def test_the_population_beats_best_fit():
+    # each sequence holds three pieces that sum to its size, which longest-first best fit tears apart
+    rng = random.Random(20)
+    items = []
+    for _ in range(20):
+        a = rng.randint(180, 430)
+        b = rng.randint(180, 1024 - a - 180)
+        items += [a, b, 1024 - a - b]
+    plain = best_fit([], items, 1024)
+    best = evolve(items, [], 1024, random.Random(3), 8, 300)[0]
+    assert Counter(x for y in best for x in y) == Counter(items) and max(map(sum, best)) <= 1024
+    assert len(best) < len(plain)
+
+
+def test_recurring_words_survive_evictions():
+    encode = Encoder(open(PATH, encoding="utf-8").read(), most=40)
+    whole = Tokenizer.from_file(PATH)
+    for k in range(6):
+        said = [f"common words {k} word{k * 7 + j} stay" for j in range(9)]
+        assert encode(said) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in said]
