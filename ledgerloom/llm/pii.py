@@ -23,8 +23,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: Letters that look like ASCII ones, Cyrillic and Greek; and the digits' names.
-LOOK_ALIKE = dict(zip("АВЕКМНОРСТХІЈЅаеорсухіјѕԁһΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαν", "ABEKMHOPCTXIJSaeopcyxijsdhABEZHIKMNOPTYXoav", strict=True))
+#: Letters that look like ASCII ones, Cyrillic, Greek, Armenian and Cherokee; and the digits' names.
+LOOK_ALIKE = dict(zip("АВЕКМНОРСТХІЈЅаеорсухіјѕԁһΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανικρυωօսհոցԛԝᎪᏴᏟᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃᏀᎠ", "ABEKMHOPCTXIJSaeopcyxijsdhABEZHIKMNOPTYXoavikpuwouhngqwABCEHJKLMPRSTVWZGD", strict=True))
 DIGIT_WORDS = {
     "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "oh": "0",
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
@@ -32,21 +32,22 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 
-_ODD = re.compile("[²³¹­Ͱ-ԯ٠-٩۰-۹​-‍․⁠⁰-₉①-⑳﻿﹒﹫！-～\U0001d400-\U0001d7ff]")
+_ODD = re.compile("[²³¹­Ͱ-ԯՠ-ևᎠ-Ᏼ٠-٩۰-۹​-‍․⁠⁰-₉①-⑳﻿﹒﹫！-～\U0001d400-\U0001d7ff]")
 _NUMBER = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _UNIT = rf"(?:{_NUMBER}|[0-9])"
 _GAP = r"(?:[\x20-]|,\x20|\x20?-\x20?)"
-#: Four digits or more, names among them, parted or not; "plus" before and "dot" between are read as signs.
-_SPELLED = re.compile(rf"(?<!\w)(?:plus\x20|\+\x20?)?(?:{_UNIT}(?:{_GAP}?|\x20(?:dot|point)\x20|\.))*?{_UNIT}(?:(?:{_GAP}?|\x20(?:dot|point)\x20|\.){_UNIT}){{3,}}(?!\w)", re.I)
+_PART = rf"(?:{_GAP}?|\x20(?:dot|point)\x20|\.)"
+#: A run of digits and their names, parted or not, with its sign before it; a run is read once, as no part of it is given back.
+_SPELLED = re.compile(rf"(?<!\w)(?P<plus>plus\x20|\+\x20?)?{_UNIT}(?:{_PART}{_UNIT})*+", re.I)
+_UNITS = re.compile(_UNIT, re.I)
 #: A digit's name takes the gap to the next digit with it, so do digits before a name.
 _ONE = re.compile(rf"(?P<name>{_NUMBER})(?:{_GAP}(?={_UNIT}))?|(?<=[0-9]){_GAP}(?=(?:{_NUMBER}))|plus\x20|\x20(?:dot|point)\x20", re.I)
 #: How the corpus languages say the signs.
 _AT_WORD, _DOT_WORD = "at|ät|arroba|arobase", "dot|punkt|punto|point"
 _AT = rf"\x20?(?:\((?:{_AT_WORD}|@)\)|\[(?:{_AT_WORD}|@)\]|\{{(?:{_AT_WORD})\}}|<(?:{_AT_WORD})>|_(?:{_AT_WORD})_)\x20?"
 _DOT = rf"\x20?(?:\((?:{_DOT_WORD}|\.)\)|\[(?:{_DOT_WORD}|\.)\]|\{{(?:{_DOT_WORD})\}}|<(?:{_DOT_WORD})>|_(?:{_DOT_WORD})_)\x20?"
-_NAME = r"[A-Za-z0-9%+-]+"
 _DOTS = rf"(?:\.|{_DOT}|\x20(?:{_DOT_WORD})\x20)"
-_host = lambda name, end: rf"(?P<{name}>[A-Za-z0-9-]+)(?:{_DOTS}[A-Za-z0-9-]+)*?{_DOTS}(?P<{end}>[A-Za-z]{{2,24}})(?!{_DOTS}?[A-Za-z0-9-])"
+_PLACE = r"[A-Za-z0-9-]+"
 #: Words of prose around a bare "at": before it or as the name of a host, and as the end of one.
 _PROSE = frozenset(
     "a an the this that these those my your his her its our their me you him us them it one ones is are was were be been look looked looking looks stay stayed live lives lived work works worked "
@@ -54,20 +55,64 @@ _PROSE = frozenset(
     "now order buy sold start shop published posted listed store details info hosted people time times arrive arrived meet met down up out back over le la el un une der die das".split()
 )
 _NO_END = frozenset("the a an and or your my this that on is was to of for with".split())
-#: Marked signs count alone; after a bare "at" the domain ends in letters, and no word of prose may stand around it.
-_ADDRESS = re.compile(
-    rf"(?P<name>{_NAME}(?:{_DOTS}{_NAME})*)(?:{_AT}[A-Za-z0-9-]+(?:{_DOTS}[A-Za-z0-9-]+)+"
-    rf"|\x20(?:{_AT_WORD})\x20{_host('bare', 'bare_end')}"
-    rf"|\x20?@\x20?(?:{_host('host', 'host_end')}|[A-Za-z0-9-]+(?:(?:{_DOT}|\x20(?:{_DOT_WORD})\x20)[A-Za-z0-9-]+)+))",
-    re.I,
-)
-_AT_SIGN = re.compile(rf"{_AT}|\x20(?:{_AT_WORD})\x20|\x20?@\x20?", re.I)
+#: What stands before a sign, read backwards from it, and after it: after a bare "at" the domain ends in letters.
+_NAME_BEFORE, _DOTS_BEFORE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789%+-"), re.compile(rf"{_DOTS}\Z", re.I)
+_LONGEST_DOTS = 12
+_MARKED = re.compile(rf"{_PLACE}(?:{_DOTS}{_PLACE})+", re.I)
+_HOST = re.compile(rf"(?P<host>{_PLACE})(?:{_DOTS}{_PLACE})*?{_DOTS}(?P<end>[A-Za-z]{{2,24}})(?!{_DOTS}?[A-Za-z0-9-])", re.I)
+_SIGNED_HOST = re.compile(rf"{_PLACE}(?:(?:{_DOT}|\x20(?:{_DOT_WORD})\x20){_PLACE})+", re.I)
+_AT_SIGN = re.compile(rf"(?P<marked>{_AT})|(?P<bare>\x20(?:{_AT_WORD})\x20)|\x20?@\x20?", re.I)
 _SIGN = re.compile(rf"{_AT}|{_DOT}|\x20(?:{_AT_WORD}|{_DOT_WORD})\x20|\x20?@\x20?", re.I)
-_MAYBE_ADDRESS = re.compile(
-    rf"[(\[{{<_](?:{_AT_WORD}|@)[)\]}}>_]|\x20(?:{_AT_WORD})\x20[A-Za-z0-9-]+(?:\.[A-Za-z0-9]|\x20?[(\[{{<_](?:{_DOT_WORD}|\.)|\x20(?:{_DOT_WORD})\x20)"
-    rf"|\x20@|@\x20|@.{{1,80}}?(?:\x20(?:{_DOT_WORD})\x20|[(\[{{<_](?:{_DOT_WORD}|\.)[)\]}}>_])",
-    re.I | re.S,
-)
+_ANY_AT = re.compile(rf"@|[(\[{{<_](?:{_AT_WORD})[)\]}}>_]|\x20(?:{_AT_WORD})\x20", re.I)
+_ANY_DOT = re.compile(rf"[(\[{{<_](?:{_DOT_WORD}|\.)[)\]}}>_]|\x20(?:{_DOT_WORD})\x20", re.I)
+#: Without a disguised dot only a disguised "at" before a host can be one.
+_DISGUISED_AT = re.compile(rf"\x20@|@\x20|(?:[(\[{{<_](?:{_AT_WORD}|@)[)\]}}>_]\x20?|\x20(?:{_AT_WORD})\x20){_PLACE}\.[A-Za-z0-9]", re.I)
+
+
+def _maybe_address(text: str) -> bool:
+    """Whether a text, however long, holds both signs of an address and one of them is disguised."""
+    return bool(_DISGUISED_AT.search(text) or (_ANY_AT.search(text) and _ANY_DOT.search(text)))
+
+
+def _name_start(text: str, end: int) -> int:
+    """Where the name that ends there begins, with the parts that dots join to it; ``end`` if there is none."""
+    begin = at = end
+    while True:
+        while at and text[at - 1] in _NAME_BEFORE:
+            at -= 1
+        if at == begin and begin != end or at == end:
+            return begin
+        begin = at
+        dots = _DOTS_BEFORE.search(text, max(0, at - _LONGEST_DOTS), at)
+        if not dots or not dots.start() or text[dots.start() - 1] not in _NAME_BEFORE:
+            return begin
+        at = dots.start()
+
+
+def _addresses(text: str):
+    """Stretches of disguised addresses, each from its name to the end of its domain."""
+    last = 0
+    for sign in _AT_SIGN.finditer(text):
+        if sign.start() < last:
+            continue
+        if sign["marked"]:
+            host, bare = _MARKED.match(text, sign.end()), None
+        elif sign["bare"]:
+            host = bare = _HOST.match(text, sign.end())
+        else:
+            host = _HOST.match(text, sign.end()) or _SIGNED_HOST.match(text, sign.end())
+            bare = None
+        begin = max(last, _name_start(text, sign.start()))
+        if not host or begin == sign.start():
+            continue
+        if bare and (text[begin : sign.start()].lower() in _PROSE or bare["host"].lower() in _PROSE or bare["host"].lower() == "www"):
+            continue
+        if host.re is _HOST and host["end"].lower() in _NO_END:
+            continue
+        yield begin, host.end()
+        last = host.end()
+
+
 _MAYBE_NUMBER = re.compile(rf"(?<!\w)(?:{_NUMBER})(?:{_GAP}|\x20(?:dot|point)\x20)(?:{_UNIT})(?!\w)|[0-9]{_GAP}(?:{_NUMBER})(?!\w)", re.I)
 
 
@@ -141,20 +186,21 @@ class Rewritten:
 
     def addresses(self) -> None:
         edits = []
-        for m in _ADDRESS.finditer(self.text):
-            if m["bare"] and (m["name"].lower() in _PROSE or m["bare"].lower() in _PROSE or m["bare"].lower() == "www"):
-                continue
-            if (m["bare_end"] or m["host_end"] or "").lower() in _NO_END:
-                continue
-            for s in _SIGN.finditer(self.text, m.start(), m.end()):
+        for begin, end in _addresses(self.text):
+            for s in _SIGN.finditer(self.text, begin, end):
                 edits.append((s.start(), s.end(), "@" if _AT_SIGN.fullmatch(s[0]) else "."))
         self.replace(edits)
 
     def numbers(self) -> None:
         edits = []
         for m in _SPELLED.finditer(self.text):
-            if any(c.isalpha() for c in m[0]):
-                for s in _ONE.finditer(self.text, m.start(), m.end()):
+            if not any(map(str.isalpha, m[0])):
+                continue
+            ends = [u.end() for u in _UNITS.finditer(self.text, m.end("plus") if m["plus"] else m.start(), m.end())]
+            while ends and ends[-1] < len(self.text) and (self.text[ends[-1]].isalnum() or self.text[ends[-1]] == "_"):
+                ends.pop()  # a number ends where a word does
+            if len(ends) >= 4 and any(map(str.isalpha, self.text[m.start() : ends[-1]])):
+                for s in _ONE.finditer(self.text, m.start(), ends[-1]):
                     word = s[0].lower()
                     new = DIGIT_WORDS[s["name"].lower()] if s["name"] else "+" if "plus" in word else "." if word.strip(" -,") else ""
                     edits.append((s.start(), s.end(), new))
@@ -167,7 +213,7 @@ def find_disguised(text: str, plain: list[tuple[int, str, int]]) -> list[tuple[i
     seen = Rewritten(text)
     if odd:
         seen.look_alikes()
-    address, number = _MAYBE_ADDRESS.search(seen.text), _MAYBE_NUMBER.search(seen.text)
+    address, number = _maybe_address(seen.text), _MAYBE_NUMBER.search(seen.text)
     if not (odd or address or number):
         return []
     if address:
