@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+import pytest
 
 from ledgerloom.llm.pii import KINDS, find, find_disguised, joined, luhn, mask, report
 
@@ -89,3 +92,26 @@ def test_mask_leaves_no_remainder(spark):
     rows = [(1, f"to {text}, thanks", "", 0) for said in REMAINDERS.values() for text in said]
     want = sorted(f"to [{kind}], thanks" for kind, said in REMAINDERS.items() for _ in said)
     assert sorted(r.text for r in mask(spark.createDataFrame(rows, SCHEMA)).collect()) == want
+
+
+@pytest.mark.parametrize("text", ["joe at " + "m" * 90 + " dot com", "joe@" + "m" * 5000 + " dot com", "joe (at) " + "a dot " * 900 + "com"])
+def test_signs_may_stand_far_apart(text):
+    assert find_disguised(text, find(text)) == [(0, "email", len(text))]
+
+
+LONG = 200_000
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["one two " + "1" * LONG + "x", "one two " + "1 " * (LONG // 2) + "x", "a at b.com " + "q" * LONG, "x at y.com " + "a dot " * (LONG // 6), " at " * (LONG // 4) + "x.com", "j at k.com " + "a." * (LONG // 2), "@ " * (LONG // 2), "one" * (LONG // 3) + "z"],
+)
+def test_very_long_texts_end(text):
+    start = time.perf_counter()
+    find_disguised(text, find(text))
+    assert time.perf_counter() - start < 10
+
+
+def test_letters_of_other_scripts():
+    text = "mail Ꭺnna@exaмрle.com and օsсar@site.org".replace("м", "m")
+    assert [k for _, k, _ in find_disguised(text, find(text))] == ["email", "email"]
