@@ -9,6 +9,8 @@ tile by tile, so a large group of near copies loses none.
 
 from __future__ import annotations
 
+from math import acos, ceil, log, log2, pi
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .graph import components
+from .ngram_join import forest
 
 
 def _unit(column: pa.Array) -> list[np.ndarray | None]:
@@ -102,8 +105,9 @@ def _windows(batches, window: int, least: float, edge: bool):
                 a, b = np.nonzero(x @ x.T >= least)
                 place = np.array(ks)
                 ok = (place[b] < place[a]) & (place[a] - place[b] <= window) & (place[a] + at >= low)
-                src += [own[k][3] for k in place[a[ok]].tolist()]
-                dst += [own[k][3] for k in place[b[ok]].tolist()]
+                kept = forest(place[a[ok]], place[b[ok]], len(own))  # what joins the same vectors; all links are counted later
+                src += [own[k][3] for k, _ in kept]
+                dst += [own[k][3] for _, k in kept]
         if src:
             none = [None] * len(src)
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), *(pa.array(none, k) for k in kinds[2:])], names=names)
@@ -131,13 +135,26 @@ def _count(frame: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame({"id": np.concatenate([ids[own], ids[~own]]), "n": np.concatenate([close @ times[~own], close.T @ times[own]])})
 
 
+def needed(n: int, least: float, window: int, recall: float = 0.99) -> tuple[int, int]:
+    """Passes and bits of a key so that ``n`` spread vectors show a pair at the threshold with probability ``recall``.
+
+    A random plane parts such a pair with probability ``acos(least) / pi``.  In a pass the
+    pair meets if it shares about log2(n / window) bits, after which a window holds all that
+    share them; keys are twice as long as ids need, so that dense regions part as well.
+    """
+    depth = max(1.0, log2(max(2.0, n / window)))
+    share = (1 - acos(min(1.0, max(-1.0, least))) / pi) ** depth
+    passes = 1 if share >= recall else ceil(log(1 - recall) / log(1 - share))
+    return max(24, passes), min(62, max(40, ceil(2 * log2(max(2, n)))))
+
+
 def near_duplicates(
     vectors: DataFrame,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     least: float = 0.95,
-    passes: int = 24,
-    bits: int = 40,
+    passes: int | None = None,
+    bits: int | None = None,
     window: int = 48,
     block: int = 1024,
     seed: int = 11,
@@ -148,7 +165,8 @@ def near_duplicates(
     counts the other rows with cosine ``least`` or more, those equal to it included.
     Vectors that are null, empty, zero, or hold null or non-finite components link with
     nothing, and neither do vectors of different length.  ``component_id`` is the smallest
-    id reachable.  Rows with a null id get null links of their own; repeated ids are
+    id reachable.  Unless given, ``bits`` and ``passes`` follow the number of vectors: see
+    :func:`needed`.  Rows with a null id get null links of their own; repeated ids are
     separate rows that share the id.  An empty table gives an empty one.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
@@ -158,6 +176,8 @@ def near_duplicates(
     times = nodes.where("node is not null").groupBy("node").agg(F.sum("rows").alias("times"))
     one = keyed.where("node is not null").groupBy("node").agg(F.first("v").alias("v"))
     one = materialize(one, "vectors")
+    asked = needed(one.count(), least, window)
+    passes, bits = passes or asked[0], bits or asked[1]
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = one.select("node", "v").mapInArrow(lambda it: _project(it, passes, bits, seed), "pass int, dim int, key long, id long, unit binary")
     ordered = spread.repartitionByRange(max(parts, passes), "pass", "dim", "key", "id").sortWithinPartitions("pass", "dim", "key", "id")

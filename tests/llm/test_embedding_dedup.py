@@ -1,6 +1,6 @@
 import numpy as np
 
-from ledgerloom.llm.embedding_dedup import near_duplicates
+from ledgerloom.llm.embedding_dedup import near_duplicates, needed
 
 SCHEMA = "vec_id long, embedding array<float>, kept string, label int"
 
@@ -43,3 +43,26 @@ def test_edge_cases(spark):
     rows = [(4, [1.0, 1.0], "", 0), (4, [1.0, 1.0], "", 0), (None, [1.0, -1.0], "", 0)]
     got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(4, 1, 4, True), (4, 1, 4, True), (None, 0, None, None)]))
+
+
+def test_passes_follow_the_number_of_vectors():
+    assert needed(1000, 0.95, 48) == (24, 40)
+    few, many = needed(10**6, 0.95, 48), needed(10**9, 0.95, 48)
+    assert 24 <= few[0] < many[0] < 100 and few[1] == 40 and many[1] == 60
+
+
+def test_recall_at_the_threshold(spark):
+    rng = np.random.default_rng(7)
+    n, dim, pairs = 12_000, 64, 300
+    base = rng.standard_normal((n, dim))
+    base[:4000] = base[0] + 0.33 * base[:4000]  # a dense region, at cosine about 0.9
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    noise = rng.standard_normal((pairs, dim))
+    at = rng.choice(n, pairs, replace=False)
+    noise -= (noise * unit[at]).sum(1, keepdims=True) * unit[at]
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cosine = rng.uniform(0.951, 0.96, (pairs, 1))
+    near = cosine * unit[at] + np.sqrt(1 - cosine**2) * noise
+    rows = [(k, v.tolist(), "", 0) for k, v in enumerate(np.concatenate([unit, near]).astype(np.float32))]
+    got = {r.vec_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(got[n + k] == got[int(a)] for k, a in enumerate(at)) >= 0.95 * pairs
