@@ -261,7 +261,14 @@ def lattice_scores(
     shared = spark.sparkContext.broadcast(lattice)
     scored = materialize(seen.mapInArrow(lambda it: _marginals(it, shared), "h long, c long, n long, logp double"), "marginals")
 
-    top = scored.orderBy(F.desc("n"), "h").limit(head).select("h", "c", "logp").toPandas()  # at most `head` rows
+    # the most frequent words, `head` at most: counts fall into a few hundred bands, and whole bands are taken
+    band = F.floor(F.log2("n") * 16).cast("int")
+    least, room = None, head
+    for at, words_in in sorted(scored.groupBy(band.alias("band")).count().collect(), reverse=True):
+        if words_in > room:
+            break
+        least, room = at, room - words_in
+    top = scored.where(band >= least if least is not None else F.lit(False)).select("h", "c", "logp").toPandas()
     top = top.iloc[np.argsort(top["h"].to_numpy(np.int64).view(np.uint64))]
     h, c, logp = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), top["logp"].to_numpy(float)
     sent = spark.sparkContext.broadcast((h, c, logp, np.log10((c + 0.5) / below), lattice.end / np.log(10)))
