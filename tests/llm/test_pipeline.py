@@ -55,7 +55,10 @@ def test_stages_equal_brute_force(spark, tmp_path):
             assert sorted(r[0] for r in after) == sorted(r[0] for r in before if judged[r[0]][2] != "und" and judged[r[0]][3] >= 0.5)
             assert {900, 901, 902}.isdisjoint(r[0] for r in after)
         elif name == "line_dedup":
-            assert sorted(r[:2] for r in after) == test_line_dedup.brute(short)
+            # a document that loses all its words is a copy and goes; one that was blank before stays
+            text = dict(short)
+            want = [(i, t) for i, t in test_line_dedup.brute(short) if t == text[i] or (t or "").split()]
+            assert sorted(r[:2] for r in after) == want and len(want) < len(short)
             assert all(r[4] == len(r[1]) for r in after)
         elif name == "ngram_join":
             want = test_ngram_join.brute(short)
