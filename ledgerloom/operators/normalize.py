@@ -9,7 +9,7 @@ from ..functions.scalars import stake_split
 
 
 def _leg(kind: str, direction: str, asset, quantity, when: Column | None = None) -> Column:
-    leg = F.struct(F.lit(kind).alias("entry_type"), F.lit(direction).alias("direction"), asset.alias("asset"), quantity.cast("double").alias("quantity"))
+    leg = F.struct(F.lit(kind).alias("entry_type"), F.lit(direction).alias("direction"), asset.alias("asset"), quantity.cast("decimal(38,18)").alias("quantity"))
     return leg if when is None else F.when(when, leg)
 
 

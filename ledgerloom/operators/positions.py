@@ -5,43 +5,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import trim_decimal
+
+
+#: Quantities have 18 places; sums are exact, whatever the order of the rows.
+QUANTITY = "decimal(38,18)"
+
 
 def signed(quantity: str = "quantity") -> Column:
-    return F.when(F.col("direction") == "IN", F.col(quantity)).when(F.col("direction") == "OUT", -F.col(quantity)).otherwise(0)
+    exact = F.col(quantity).cast(QUANTITY)
+    return F.when(F.col("direction") == "IN", exact).when(F.col("direction") == "OUT", -exact).otherwise(F.lit(0).cast(QUANTITY))
 
 
 def token_balances(entries: DataFrame) -> DataFrame:
     """``wallet, asset, balance, warning``: IN less OUT, fees too, INTERNAL not; zeros go, negatives stay with a warning."""
     sums = entries.groupBy("wallet", "asset").agg(F.sum(signed()).alias("balance")).where("balance != 0")
-    text = F.concat_ws(":", F.lit("negative-token-balance"), "asset", F.col("balance").cast("string"))
+    text = F.concat_ws(":", F.lit("negative-token-balance"), "asset", trim_decimal(F.col("balance").cast("string")))
     return sums.withColumn("warning", F.when(F.col("balance") < 0, text))
 
 
-def liquidity_positions(entries: DataFrame) -> DataFrame:
-    """Two levels: each action's legs pivot to one LP leg and two others by asset, then sums by LP asset."""
+def _liquidity_groups(entries: DataFrame) -> DataFrame:
+    """Each action's LP leg (that of an addition, else of a removal), its sum, and the other legs by asset."""
     lp_in, lp_out = F.col("entry_type") == "LP_ADD_IN", F.col("entry_type") == "LP_REMOVE_OUT"
     other = F.when(F.col("entry_type").isin("LP_ADD_OUT", "LP_REMOVE_IN"), F.struct("asset", (-signed()).alias("quantity")))
-    groups = entries.where(F.col("entry_type").startswith("LP_")).groupBy("wallet", "tx").agg(
+    return entries.where(F.col("entry_type").startswith("LP_")).groupBy("wallet", "tx").agg(
         F.coalesce(F.min(F.when(lp_in, F.col("asset"))), F.min(F.when(lp_out, F.col("asset")))).alias("lp_asset"),
         F.sum(F.when(lp_in | lp_out, signed())).alias("lp"),
-        F.array_sort(F.collect_list(other)).alias("legs"),
+        F.array_sort(F.collect_list(other)).alias("legs"),  # of one action
     )
-    ok = groups.where(F.col("lp_asset").isNotNull() & (F.size("legs") == 2))
+
+
+def liquidity_positions(entries: DataFrame) -> DataFrame:
+    """Two levels: each action's legs pivot to one LP leg and two others by asset, then sums by LP asset.
+
+    The first action of an LP asset names its two others.
+    """
+    ok = _liquidity_groups(entries).where(F.col("lp_asset").isNotNull() & (F.size("legs") == 2))
     legs = [F.col("legs")[k] for k in (0, 1)]
     got = ok.groupBy("wallet", "lp_asset").agg(
         F.sum("lp").alias("lp"),
-        *(F.min(leg["asset"]).alias(f"asset{k}") for k, leg in enumerate(legs)),
+        *(F.min_by(leg["asset"], "tx").alias(f"asset{k}") for k, leg in enumerate(legs)),
         *(F.sum(leg["quantity"]).alias(f"amount{k}") for k, leg in enumerate(legs)),
     )
     return got.where("lp != 0 or amount0 != 0 or amount1 != 0")
 
 
+def liquidity_warnings(entries: DataFrame) -> DataFrame:
+    """``wallet, tx, warning`` of the actions that no position holds: without an LP leg, or without just two others."""
+    ambiguous = F.concat(F.lit("lp-position-ambiguous-underlyings:"), F.size("legs").cast("string"))
+    warning = F.when(F.col("lp_asset").isNull(), "lp-position-missing-lp-leg").when(F.size("legs") != 2, ambiguous)
+    return _liquidity_groups(entries).select("wallet", "tx", warning.alias("warning")).where("warning is not null")
+
+
+def stake_warnings(entries: DataFrame) -> DataFrame:
+    """``wallet, tx, warning`` of staking entries that name no stake."""
+    rows = entries.where(F.col("entry_type").startswith("STAKE_") & F.col("stake").isNull())
+    return rows.select("wallet", "tx", F.concat_ws(":", F.lit("stake-key-missing"), "entry_type").alias("warning"))
+
+
 def stake_positions(entries: DataFrame) -> DataFrame:
     """Conditional sums by stake; without a leg of a kind its sum stays null, as unknown is not zero."""
-    total = lambda kind: F.sum(F.when(F.col("entry_type") == kind, F.col("quantity")))
+    total = lambda kind: F.sum(F.when(F.col("entry_type") == kind, F.col("quantity").cast(QUANTITY)))
     seen = lambda kind: F.bool_or(F.col("entry_type") == kind)
-    return entries.groupBy("wallet", "stake").agg(
-        F.coalesce(total("STAKE_PRINCIPAL_LOCKED"), F.lit(0.0)).alias("principal"),
+    return entries.where("stake is not null").groupBy("wallet", "stake").agg(
+        F.coalesce(total("STAKE_PRINCIPAL_LOCKED"), F.lit(0).cast(QUANTITY)).alias("principal"),
         total("STAKE_PRINCIPAL_RETURNED").alias("returned"),
         total("STAKE_YIELD_RECEIVED").alias("yield_received"),
         total("STAKE_PENALTY").alias("penalty"),

@@ -75,3 +75,22 @@ def conflicting(wanted: DataFrame, runs: DataFrame) -> DataFrame:
     rebuild = live.where("kind = 'REBUILD'").agg((F.count("*") > 0).alias("rebuild"))
     got = wanted.join(own, ["wallet", "chain_id"], "left").crossJoin(F.broadcast(rebuild))  # one row
     return got.select("wallet", "chain_id", (F.coalesce("own", F.lit(False)) | F.col("rebuild")).alias("blocked"))
+
+
+def recent(runs: DataFrame, most: int = 25) -> DataFrame:
+    """The newest runs."""
+    return runs.orderBy(F.desc("started_at"), "run").limit(most)
+
+
+def page_with_entries(groups: DataFrame, entries: DataFrame, size: int, after: tuple | None = None) -> DataFrame:
+    """A page as :func:`page` has it, each transaction with its entries in order, and whether more follow.
+
+    One row more than a page is read, so that the last row of a full page is the next cursor
+    only if something stands behind it.  Entries are read for the page alone.
+    """
+    rows = groups if after is None else groups.where((F.col("occurred_at") < F.lit(after[0])) | ((F.col("occurred_at") == F.lit(after[0])) & (F.col("id") > F.lit(after[1]))))
+    order = (F.desc("occurred_at"), F.col("id"))
+    top = rows.orderBy(*order).limit(size + 1)
+    top = top.withColumn("place", F.row_number().over(Window.orderBy(*order))).withColumn("more", F.count("*").over(Window.partitionBy()) > size)  # of a page
+    own = entries.join(F.broadcast(top.select("id")), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in entries.columns if c != "id"]))).alias("entries"))
+    return top.where(F.col("place") <= size).join(own, "id", "left").select("id", "occurred_at", "place", "entries", ((F.col("place") == size) & F.col("more")).alias("is_cursor"))

@@ -350,3 +350,36 @@ def lp_evidence(spark, sf):
 @_query(f"""WITH {LEGS} SELECT tx, count(*) AS transfers FROM legs GROUP BY ALL HAVING count(*) > 4""")
 def transfers_per_transaction(spark, sf):
     return quality.duplicates(legs(spark, sf), ["tx"]).where("times > 4").select("tx", F.col("times").alias("transfers"))
+
+
+@_query(f"WITH {LEGS} SELECT tx AS group_id FROM legs GROUP BY tx HAVING bool_and(part % 2 = 0)")
+def removable_groups(spark, sf):
+    e = legs(spark, sf).select(F.col("tx").alias("group_id"), F.col("part").alias("transfer"))
+    return ledger.removable_groups(e, e.where("transfer % 2 = 0").select("transfer").distinct())
+
+
+@_query(f"WITH {LEGS}, n AS (SELECT o_orderkey AS tx FROM orders WHERE o_orderkey % 4 = 0) SELECT count(*) AS native FROM n WHERE tx NOT IN (SELECT tx FROM legs WHERE direction = 'OUT')")
+def native_without_protocol(spark, sf):
+    native = read(spark, sf, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("tx"))
+    return ledger.without_protocol(native, legs(spark, sf).where("direction = 'OUT'").select("tx").distinct()).agg(F.count("*").alias("native"))
+
+
+@_query("SELECT o_orderkey AS run, o_orderstatus AS state FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25")
+def recent_runs(spark, sf):
+    from ..operators.reports import recent
+
+    return recent(read(spark, sf, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("state"), F.col("o_orderdate").alias("started_at"))).select("run", "state")
+
+
+@_query("""WITH top AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' OR (o_orderdate = TIMESTAMP '1996-01-01' AND o_orderkey > 5000) QUALIFY place <= 41)
+SELECT o_orderkey AS id, place, coalesce(string_agg(l_linenumber || '/' || l_partkey, ',' ORDER BY l_linenumber, l_partkey), '') AS entries, place = 40 AND (SELECT count(*) FROM top) > 40 AS is_cursor FROM top LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE place <= 40 GROUP BY o_orderkey, place""")
+def transactions_with_entries(spark, sf):
+    import datetime
+
+    from ..operators.reports import page_with_entries
+
+    groups = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("occurred_at"))
+    entries = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
+    got = page_with_entries(groups, entries, 40, (datetime.datetime(1996, 1, 1), 5000))
+    text = F.array_join(F.transform("entries", lambda x: F.concat_ws("/", x.line, x.part)), ",")
+    return got.select("id", F.col("place").cast("long").alias("place"), F.coalesce(text, F.lit("")).alias("entries"), "is_cursor")

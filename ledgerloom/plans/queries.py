@@ -41,6 +41,11 @@ def _transfers(spark, sf):
     return legs(spark, sf).select("tx", "asset", "direction", "quantity")
 
 
+def _doubles(df):
+    """Decimals as doubles, which both engines show alike."""
+    return df.select(*(F.col(f.name).cast("double") if f.dataType.typeName() == "decimal" else F.col(f.name) for f in df.schema.fields))
+
+
 _FOLD = f"""WITH RECURSIVE {LEGS},
 seq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY wallet, asset ORDER BY {", ".join(ORDER)}) AS n FROM legs),
 fold AS (
@@ -210,22 +215,30 @@ def protocol_tx_union(spark, sf):
 @_query(f"""WITH {LEGS}, b AS (SELECT wallet, asset, sum(CASE direction WHEN 'IN' THEN quantity ELSE -quantity END) AS balance FROM legs WHERE status = 'ACTIVE' GROUP BY ALL)
 SELECT * FROM b WHERE balance <> 0""")
 def token_balances(spark, sf):
-    return positions.token_balances(legs(spark, sf).where("status = 'ACTIVE'")).drop("warning")
+    return _doubles(positions.token_balances(legs(spark, sf).where("status = 'ACTIVE'")).drop("warning"))
 
 
 @_query(f"""WITH {LEGS}, b AS (SELECT tx AS wallet, asset, sum(CASE direction WHEN 'IN' THEN quantity ELSE -quantity END) AS balance FROM legs GROUP BY ALL)
 SELECT wallet, count(*) AS negative, sum(balance) AS short FROM b WHERE balance < 0 GROUP BY wallet""")
 def negative_balances(spark, sf):
     got = positions.token_balances(legs(spark, sf).withColumn("wallet", F.col("tx"))).where("warning is not null")
-    return got.groupBy("wallet").agg(F.count("*").alias("negative"), F.sum("balance").alias("short"))
+    return got.groupBy("wallet").agg(F.count("*").alias("negative"), F.sum("balance").cast("double").alias("short"))
 
 
-@_query(_LP + """SELECT one[1].a AS lp_asset, sum(CASE kind WHEN 'LP_ADD' THEN one[1].q ELSE -one[1].q END) AS lp, min(two[1].a) AS asset0, min(two[2].a) AS asset1,
+@_query(_LP + """SELECT one[1].a AS lp_asset, sum(CASE kind WHEN 'LP_ADD' THEN one[1].q ELSE -one[1].q END) AS lp, arg_min(two[1].a, tx) AS asset0, arg_min(two[2].a, tx) AS asset1,
   sum(CASE kind WHEN 'LP_ADD' THEN two[1].q ELSE -two[1].q END) AS amount0, sum(CASE kind WHEN 'LP_ADD' THEN two[2].q ELSE -two[2].q END) AS amount1
 FROM lp WHERE reason IS NULL GROUP BY ALL HAVING lp <> 0 OR amount0 <> 0 OR amount1 <> 0""")
 def lp_positions(spark, sf):
     drafts = normalize.liquidity(_lp_actions(spark, sf).withColumn("fee", F.lit(0.0)))
-    return positions.liquidity_positions(drafts.withColumn("wallet", F.lit(1))).drop("wallet")
+    return _doubles(positions.liquidity_positions(drafts.withColumn("wallet", F.lit(1))).drop("wallet"))
+
+
+@_query(_LP + "SELECT CASE WHEN ni = 0 THEN 'lp-position-missing-lp-leg' ELSE 'lp-position-ambiguous-underlyings:' || no END AS warning, count(*) AS actions FROM (SELECT coalesce(len(o), 0) AS no, coalesce(len(i), 0) AS ni FROM sides) WHERE ni = 0 OR no <> 2 GROUP BY ALL")
+def lp_warnings(spark, sf):
+    kind = F.when(F.col("direction") == "OUT", "LP_ADD_OUT").otherwise("LP_ADD_IN")
+    sums = legs(spark, sf).groupBy("tx", "direction", "asset").agg(F.sum("quantity").alias("quantity"))
+    got = positions.liquidity_warnings(sums.withColumns({"entry_type": kind, "wallet": F.lit(1)}))
+    return got.groupBy("warning").agg(F.count("*").alias("actions"))
 
 
 @_query(f"""WITH {LEGS}, d AS (SELECT wallet, tx, CASE WHEN line % 5 > 0 THEN (supplier % 50)::DOUBLE END AS k, quantity AS t FROM legs WHERE direction = 'IN')
@@ -233,7 +246,7 @@ SELECT wallet, tx AS stake, 0.0::DOUBLE AS principal, sum(CASE WHEN k IS NOT NUL
   sum(CASE WHEN k > t THEN k - t END) AS penalty, sum(CASE WHEN k IS NULL AND t <> 0 THEN t END) AS unallocated, 'ENDED' AS status FROM d GROUP BY ALL""")
 def stake_positions(spark, sf):
     wallets = legs(spark, sf).select("tx", "wallet").distinct()
-    return positions.stake_positions(normalize.stake_ends(_ends(spark, sf)).join(wallets, "tx"))
+    return _doubles(positions.stake_positions(normalize.stake_ends(_ends(spark, sf)).join(wallets, "tx")))
 
 
 def _asked(spark, sf):
@@ -501,6 +514,6 @@ def events_dedupe(spark, sf):
     return windows.first_seen(_events(spark, sf), ["user_id", "event_type"]).select("user_id", "event_type")
 
 
-from . import evidence as _evidence  # noqa: E402, F401  the modules register their queries
-from . import states as _states  # noqa: E402, F401
-from . import accounting as _accounting  # noqa: E402, F401
+from . import evidence as _evidence_queries  # noqa: E402, F401  the modules register their queries
+from . import states as _states_queries  # noqa: E402, F401
+from . import accounting as _accounting_queries  # noqa: E402, F401
