@@ -10,9 +10,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small
+
 #: Rules by host and path; the longest that fits a URL decides.
 HOST_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -59,40 +61,61 @@ def url_parts(urls: DataFrame, col: str = "url") -> DataFrame:
     return urls.withColumns({"host": host, "path": path})
 
 
+RULES = "kind string, verdict string, text string"
+
+
+def rule_table(spark: SparkSession, host_rules: list[tuple[str, str]] = HOST_RULES, patterns: list[str] = PATTERNS) -> DataFrame:
+    """Rules as a table ``kind, verdict, text``; one read from storage has the same columns."""
+    return spark.createDataFrame([("host", v, t) for v, t in host_rules] + [("pattern", "block", t) for t in patterns], RULES)
+
+
+def compiled(rules: DataFrame) -> DataFrame:
+    """``verdict, rule, exact, regex, tokens`` of every rule, as :func:`host_rule` and :func:`pattern_rule` have them."""
+    exact, low = F.col("kind") == "host", F.lower("text")
+    host = F.concat(F.lit(r"^(?:[^/?#]*\.)?"), F.regexp_replace("text", r"([^A-Za-z0-9_/])", r"\\$1"))
+    quoted = F.regexp_replace(low, r"([^A-Za-z0-9_^*])", r"\\$1")
+    pattern = F.regexp_replace(F.regexp_replace(quoted, r"\*", F.lit(r"[\\s\\S]*")), r"\^", F.lit(r"(?:[^a-z0-9]|^|\$)"))
+    tokens = F.when(exact, F.regexp_extract_all(low, F.lit("([a-z0-9]+)(?=[^a-z0-9])"))).otherwise(F.regexp_extract_all(low, F.lit("(?<=[^a-z0-9*])([a-z0-9]+)(?=[^a-z0-9*])")))
+    return rules.where("text is not null").select("verdict", F.col("text").alias("rule"), exact.alias("exact"), F.when(exact, host).otherwise(pattern).alias("regex"), tokens.alias("tokens")).distinct()
+
+
 def judge(
     pages: DataFrame,
     url_col: str = "url",
     host_rules: list[tuple[str, str]] = HOST_RULES,
     patterns: list[str] = PATTERNS,
+    rules: DataFrame | None = None,
     broadcast_rules: int = 20_000,
 ) -> DataFrame:
     """All columns of ``pages`` inside a struct ``row``, with ``host, path, rule, verdict, pattern``.
 
     A host rule that fits decides, the longest if several do (of equally long ones a
-    blocking one); else any pattern found in the URL blocks, and ``pattern`` names the
-    first of them; else the URL is allowed, as are null URLs and those without ``://``.
-    Rows repeat as in the input; an empty table gives an empty one.
+    blocking one); else a pattern found in the URL decides, an allowing one before blocking
+    ones, and ``pattern`` names the first of them; else the URL is allowed, as are null URLs
+    and those without ``://``.  ``rules`` is a table ``kind (host or pattern), verdict,
+    text`` of any size in place of the two lists; rules of null text are left out, repeated
+    ones count once.  Very long URLs are read whole.  Rows repeat as in the input; an empty
+    table gives an empty one.
     """
-    spark = pages.sparkSession
-    rules = [host_rule(v, t) for v, t in host_rules] + [pattern_rule(t) for t in patterns]
+    rules = compiled(rule_table(pages.sparkSession, host_rules, patterns) if rules is None else rules)
+    few = small(rules, broadcast_rules)
+    hint = F.broadcast if few else lambda df: df
     urls = url_parts(pages.select(F.col(url_col).cast("string").alias("url")).distinct())
     seen = urls.select("url", "host", "path", F.explode(_tokens(F.coalesce("url", F.lit("")))).alias("token"))
-    held = sorted({t for r in rules for t in r.tokens})
-    named = spark.createDataFrame([(t,) for t in held], "token string")
-    few = len(rules) <= broadcast_rules
-    named = F.broadcast(named) if few else named
-    count = dict(seen.join(named, "token", "left_semi").groupBy("token").count().collect())  # a row for each token of the rules
-    filed = [(min(r.tokens, key=lambda t: (count.get(t, 0), t), default=""), r.verdict, r.text, r.regex, r.exact) for r in rules]
-    index = spark.createDataFrame(filed, "token string, verdict string, rule string, regex string, exact boolean")
-    index = F.broadcast(index) if few else index
+    # a rule is filed under the token that the fewest URLs hold
+    named = rules.select("*", F.explode_outer("tokens").alias("token"))
+    count = seen.select("token").join(hint(named.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
+    rank = F.struct(F.coalesce("urls", F.lit(0)), "token")
+    index = named.join(count, "token", "left").groupBy("verdict", "rule", "exact", "regex").agg(F.coalesce(F.min_by("token", rank), F.lit("")).alias("token"))
     target = F.when(F.col("exact"), F.concat("host", "path")).otherwise(F.lower("url"))
-    fits = seen.join(index, "token").where(F.regexp_like(target, F.col("regex")))
+    fits = seen.join(hint(index), "token").where(F.regexp_like(target, F.col("regex")))
     longest = F.when(F.col("exact"), F.struct(F.length("rule").alias("n"), F.col("verdict"), F.col("rule")))
-    found = fits.groupBy("url").agg(F.max(longest).alias("best"), F.min(F.when(~F.col("exact"), F.col("rule"))).alias("pattern"))
+    first = F.min(F.when(~F.col("exact"), F.struct("verdict", "rule")))  # allow comes before block
+    found = fits.groupBy("url").agg(F.max(longest).alias("best"), first.alias("first"))
     row = pages.select(F.struct(*pages.columns).alias("row"), F.col(url_col).cast("string").alias("url"))
     out = url_parts(row.join(found, "url", "left"))
-    pattern = F.when(F.col("best").isNull(), F.col("pattern"))
-    verdict = F.coalesce("best.verdict", F.when(pattern.isNotNull(), "block").otherwise("allow"))
+    pattern = F.when(F.col("best").isNull(), F.col("first.rule"))
+    verdict = F.coalesce("best.verdict", "first.verdict", F.lit("allow"))
     return out.select("row", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), pattern.alias("pattern"))
 
 
