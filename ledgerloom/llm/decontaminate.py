@@ -17,14 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .common import freed, small_batches
 
-_GAP = 16  # symbols that match nothing, after each document and item
+def _gap(n: int) -> int:
+    """Symbols that match nothing, after each document and item: more than any search reads on."""
+    return n + 1
 
 
 class ItemWindows:
     """The windows of one block of items, as sequences of word numbers; 0 is a word that no item has."""
 
-    def __init__(self, ids: list, texts: list, n: int):
+    def __init__(self, ids: list, texts: list, n: int, tails: bool = False):
+        """``tails`` adds the suffixes of fewer than ``n`` words at the ends of items."""
+        gap = self.gap = _gap(n)
         raw, at = words.buffers(pa.array(texts, pa.string()))
         raw = words.LOWER[raw]
         start, end, first = words.spans(raw, at, words.ALNUM)
@@ -49,14 +54,14 @@ class ItemWindows:
             places[key] = len(self.owners)
             self.owners.append([k])
             self.base.append(used)
-            used += len(own) + _GAP
-            symbols += [own, np.zeros(_GAP, np.int64)]
+            used += len(own) + gap
+            symbols += [own, np.zeros(gap, np.int64)]
             w = min(n, len(own))
-            for s in range(len(own) - w + 1):
+            for s in range(len(own) if tails else len(own) - w + 1):
                 begin.append(self.base[-1] + s)
-                length.append(w)
+                length.append(min(w, len(own) - s))
                 item.append(places[key])
-        self.symbols = np.concatenate(symbols) if symbols else np.zeros(_GAP, np.int64)
+        self.symbols = np.concatenate(symbols) if symbols else np.zeros(gap, np.int64)
         self.begin, self.length, self.item = (np.array(x, np.int64) for x in (begin, length, item))
         # windows of equal words are searched once
         grid = self.symbols[np.minimum(self.begin[:, None] + np.arange(n), len(self.symbols) - 1)]
@@ -95,13 +100,14 @@ def suffix_array(symbols: np.ndarray, depth: int, largest: int) -> np.ndarray:
     return places[np.lexsort(keys[::-1])]
 
 
-def search(symbols: np.ndarray, order: np.ndarray, windows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every window the range of the suffix array whose suffixes begin with it.
+def search(symbols: np.ndarray, order: np.ndarray, windows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every window the range of the suffix array whose suffixes begin with it, how many of its words match, and where.
 
     All windows are searched together; at each depth their ranges narrow by two binary
     searches on one more word, and windows whose range is empty leave.
     """
     low, high = np.zeros(len(windows), np.int64), np.full(len(windows), len(order), np.int64)
+    depth, at = np.zeros(len(windows), np.int64), np.zeros(len(windows), np.int64)
     for d in range(windows.shape[1]):
         live = np.flatnonzero((high > low) & (size > d))
         if not len(live):
@@ -119,25 +125,58 @@ def search(symbols: np.ndarray, order: np.ndarray, windows: np.ndarray, size: np
                 left = a
             else:
                 low[live], high[live] = left, a
-    return low, high
+        deeper = live[high[live] > low[live]]
+        depth[deeper], at[deeper] = d + 1, order[low[deeper]]
+    return low, high, depth, at
 
 
-def _shard(test: ItemWindows, raw: np.ndarray, at: np.ndarray):
-    """Per document of a shard: word count, hit spans, items, and its longest match."""
+def _symbols(test: ItemWindows, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word counts of a shard's documents, its word numbers with gaps, and where each document begins in them."""
     raw = words.LOWER[raw]
     start, end, first = words.spans(raw, at, words.ALNUM)
     count = np.diff(first)
     doc = np.repeat(np.arange(len(count)), count)
-    place = np.arange(len(start)) + doc * _GAP
-    symbols = np.zeros(len(start) + len(count) * _GAP + _GAP, np.int64)
+    place = np.arange(len(start)) + doc * test.gap
+    symbols = np.zeros(len(start) + (len(count) + 1) * test.gap, np.int64)
     symbols[place] = test.numbers(words.hashes(raw, start, end))
-    origin = first[:-1] + np.arange(len(count)) * _GAP
+    return count, symbols, first[:-1] + np.arange(len(count)) * test.gap
+
+
+def _longest(test: ItemWindows, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every suffix of the items its longest match in a shard: words, document and place, the first of equals."""
+    _, symbols, origin = _symbols(test, raw, at)
+    order = suffix_array(symbols, max(test.n, 1), len(test.vocabulary))
+    low, high, depth, where = search(symbols, order, test.windows, test.window_size)
+    which = np.empty(len(test.begin), np.int64)
+    which[test.by_window] = np.repeat(np.arange(len(test.windows)), np.diff(test.window_at))
+    length, place = depth[which], where[which]
+    # whole windows go on, word by word, at each place where they stand
+    full = np.flatnonzero(depth[which] == test.n)
+    times = (high - low)[which[full]]
+    pair = np.repeat(full, times)
+    hit = order[np.repeat(low[which[full]], times) + np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times)]
+    size, live, d = np.full(len(pair), test.n), np.arange(len(pair)), test.n
+    while len(live):
+        p, t = np.minimum(hit[live] + d, len(symbols) - 1), np.minimum(test.begin[pair[live]] + d, len(test.symbols) - 1)
+        live = live[(symbols[p] > 0) & (symbols[p] == test.symbols[t])]
+        d += 1
+        size[live] = d
+    best = np.lexsort((hit, -size, pair))
+    head = best[np.unique(pair[best], return_index=True)[1]] if len(pair) else best
+    length[pair[head]], place[pair[head]] = size[head], hit[head]
+    doc = np.searchsorted(origin, place, side="right") - 1
+    return length, doc, place - origin[np.maximum(doc, 0)]
+
+
+def _shard(test: ItemWindows, raw: np.ndarray, at: np.ndarray):
+    """Per document of a shard: word count, hit spans, items, and its longest match."""
+    count, symbols, origin = _symbols(test, raw, at)
     spans: list[list] = [[] for _ in count]
     items: list[set] = [set() for _ in count]
     longest: list[tuple] = [(0, None, None, None)] * len(count)
     if len(test.windows):
         order = suffix_array(symbols, max(test.n, 1), len(test.vocabulary))
-        low, high = search(symbols, order, test.windows, test.window_size)
+        low, high, _, _ = search(symbols, order, test.windows, test.window_size)
         times = high - low
         found = np.repeat(np.arange(len(times)), times)
         hit = order[np.repeat(low, times) + np.arange(len(found)) - np.repeat(np.cumsum(times) - times, times)]
@@ -233,6 +272,7 @@ def matches(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str =
     beyond ``block_bytes`` of text are searched block after block in the same pass.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     size = items.agg(F.coalesce(F.sum(F.octet_length(F.col(item_text).cast("string"))), F.lit(0))).first()[0]
     blocks = max(1, ceil(size / block_bytes))
     listed = items.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("words"))
@@ -244,11 +284,57 @@ def matches(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str =
         part = listed.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b) if blocks > 1 else listed
         rows = part.collect()  # one block of the test items, about block_bytes
         shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        out = out.mapInArrow(lambda it, s=shared, later=b > 0: _scan(it, s, n, len(keep), later), schema)
+        out = out.mapInArrow(lambda it, s=shared, later=b > 0: freed(_scan(it, s, n, len(keep), later)), schema)
     found = [F.col(f.split()[0]) for f in ("n_words", "spans", "items", "longest", "longest_at", "longest_item", "longest_from")]
     return out.select(*(F.col(f"f{i}").alias(c) for i, c in enumerate(keep)), *found)
 
 
+def _suffixes(batches, shared, n: int):
+    """The longest match of every item suffix in the shards of a task."""
+    test = ItemWindows(*shared.value, n, tails=True)
+    size = np.zeros(len(test.begin), np.int64)
+    doc, place = [None] * len(size), np.zeros(len(size), np.int64)
+    for batch in batches:
+        for i, _, raw, offsets in words.pieces(batch.column(1), 2 << 20):
+            length, owner, at = _longest(test, raw, offsets)
+            ids = batch.column(0)
+            for k in np.flatnonzero(length > size).tolist():
+                size[k], place[k], doc[k] = length[k], at[k], ids[i + int(owner[k])].as_py()
+    found = np.flatnonzero(size).tolist()
+    rows = [(k, o) for k in found for o in test.owners[test.item[k]]]
+    item = [None if test.ids[o] is None else str(test.ids[o]) for _, o in rows]
+    begin = [int(test.begin[k]) - test.base[test.item[k]] for k, _ in rows]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(item, pa.string()), pa.array(begin, pa.int64()), pa.array([int(size[k]) for k, _ in rows], pa.int64()), pa.array([doc[k] for k, _ in rows], pa.int64()), pa.array([int(place[k]) for k, _ in rows], pa.int64())],
+        names=["item", "item_from", "length", "doc", "doc_at"],
+    )
+
+
+def suffix_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+    """The longest verbatim match of every suffix of every item: ``item, item_from, length, doc, doc_at``.
+
+    A suffix begins at any word of an item and may match any number of words, also fewer
+    than ``n``, to which depth the suffix arrays are sorted; those without a word in common
+    have no row.  ``doc`` (a long) is the smallest id among equal lengths of different
+    tasks, ``doc_at`` the word where it begins.  Null texts hold nothing; an empty table
+    gives no rows.  Each block of items takes a pass of its own, and only the matches stay.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    size = items.agg(F.coalesce(F.sum(F.octet_length(F.col(item_text).cast("string"))), F.lit(0))).first()[0]
+    blocks = max(1, ceil(size / block_bytes))
+    listed = items.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("words"))
+    wide = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema, out = "item string, item_from long, length long, doc long, doc_at long", None
+    for b in range(blocks):
+        rows = (listed.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b) if blocks > 1 else listed).collect()  # one block, about block_bytes
+        shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+        found = wide.mapInArrow(lambda it, s=shared: freed(_suffixes(it, s, n)), schema)
+        best = found.groupBy("item", "item_from").agg(F.max_by(F.struct("length", "doc", "doc_at"), F.struct("length", -F.col("doc"))).alias("m"))
+        out = best if out is None else out.unionByName(best)
+    return out.select("item", "item_from", "m.*")
+
+
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Per row: id, ``n_words, n_hit, n_items, items_sha256, contaminated`` and the longest match."""
     got = matches(docs, items, [id_col], **options)

@@ -1,7 +1,7 @@
 import random
 import re
 
-from ledgerloom.llm.decontaminate import items_digest, matches, remove, report
+from ledgerloom.llm.decontaminate import items_digest, matches, remove, report, suffix_matches
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -75,3 +75,28 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c")], "doc_id long, text string")
     assert [r.n_hit for r in report(docs, items).collect()] == [3, 3]
     assert [r.contaminated for r in report(docs, items.where("false")).collect()] == [False, False]
+
+
+def common(a, b):
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    return k
+
+
+def test_longest_match_of_every_suffix(spark):
+    rng = random.Random(6)
+    say = lambda k: " ".join(rng.choice("a b c d e é zz".split()) for _ in range(k))
+    items = [(k, say(rng.randint(0, 25))) for k in range(8)] + [(9, None)]
+    docs = [(k, say(rng.randint(0, 40))) for k in range(20)] + [(50, items[2][1] + " " + items[3][1]), (51, None)]
+    text = {i: words(t) for i, t in docs}
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    for n, size in ((4, 8 << 20), (40, 60)):
+        got = {(r["item"], r["item_from"]): r for r in suffix_matches(d, b, n=n, block_bytes=size).collect()}
+        for i, t in items:
+            w = words(t)
+            for f in range(len(w)):
+                want = max(common(w[f:], v[p:]) for v in text.values() for p in range(len(v) + 1))
+                r = got.get((str(i), f))
+                assert (r["length"] if r else 0) == want
+                assert not r or common(w[f:], text[r["doc"]][r["doc_at"] :]) == want
