@@ -1,18 +1,22 @@
 """Fuzzy line dedup in DataFrame functions only: MinHash, banding, exact Jaccard, components.
 
 Equal lines are one.  Each distinct line is cut into character shingles by a generator
-over its UTF-16 form, where a shingle is a slice at a fixed place, and one aggregation
-keeps ``bands * rows`` minima of the shingles' hashes.  A band's minima name a bucket.
+over its bytes, where a shingle is a slice at a fixed place.  A shingle's hash deals
+it to one of ``parts`` parts, and one aggregation keeps eight minima of each part under
+different orders.  Four of them name a bucket, and each part has four such bands: the two
+halves of its minima and two that cross them.
+
 Pairs are compared by their exact shingle sets, and what passes joins components, in two
 rounds.  First every line of a bucket meets the first and the one before it, which joins
 groups of near copies at a cost in proportion to their size.  Then all pairs of a bucket
 that are still in different components meet: a bucket is cut into tiles of about ``tile``
-lines and each pair of tiles is its own group, so no group grows with the data.
+lines and each pair of tiles is its own group, so no group grows with the data.  A pair
+that shares several buckets is compared in one of them.
 """
 
 from __future__ import annotations
 
-import random
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +24,11 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, materialize
 from .graph import components
 
+#: Constants of the eight orders: the nearest hash to one of these, by exclusive or, is the least.
+_TURNS = (0x2545F491, 0x5BD1E995, 0x1B873593, 0x6C078965, 0x38495AB5, 0x7FEB352D, 0x119DE1F3, 0x44412A53)
+#: Which minima a band takes.
+_BANDS = ((0, 1, 2, 3), (4, 5, 6, 7), (0, 1, 4, 5), (2, 3, 6, 7))
+
 
 def _starts(line: Column, n: int) -> Column:
     """Starts of the shingles of a line in its UTF-16 form; a shorter line has one."""
@@ -35,25 +44,24 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("key", "id", "pos", F.xxhash64("norm").alias("h"), "norm")
 
 
-def _signatures(lines: DataFrame, n: int, k: int) -> DataFrame:
-    """``(h, m0, m1, ...)``: minima under ``k`` orders of the shingles' hashes.
+def _buckets(lines: DataFrame, n: int, parts: int) -> DataFrame:
+    """``(h, bucket)``: the buckets of each distinct line, four for each part of its shingles.
 
-    An order multiplies the 32-bit hash by an odd number modulo 2^32; a product stays below
-    2^62, so that it cannot overflow.
+    These are shingles of bytes: the same as of characters in ASCII, and no less alike in other texts.
     """
-    rng = random.Random(7)
-    odd = [rng.randrange(-(1 << 31) + 1, 1 << 31, 2) for _ in range(k)]
-    wide = lines.groupBy("h").agg(F.first("norm").alias("norm")).select("h", F.encode("norm", "UTF-16BE").alias("wide"))
-    each = wide.select("h", "wide", F.explode(_starts(F.col("wide"), n)).alias("i"))
-    each = each.select("h", F.hash(F.substring("wide", F.col("i") * 2 + 1, F.lit(2 * n))).cast("long").alias("x"))
-    return each.groupBy("h").agg(*(F.min((F.col("x") * F.lit(c).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"m{i}") for i, c in enumerate(odd)))
+    raw = lines.groupBy("h").agg(F.first("norm").alias("norm")).select("h", F.col("norm").cast("binary").alias("raw"))
+    each = raw.select("h", "raw", F.explode(F.sequence(F.lit(1), F.greatest(F.octet_length("raw") - (n - 1), F.lit(1)))).alias("i"))
+    each = each.select("h", F.xxhash64(F.substring("raw", F.col("i"), F.lit(n))).alias("x"))
+    halves = [F.col("x").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("y"), F.shiftrightunsigned("x", 33).cast("int").alias("z")]
+    each = each.select("h", F.pmod(F.shiftright("x", 29), F.lit(parts)).cast("int").alias("part"), *halves)
+    low = each.groupBy("h", "part").agg(*(F.min(F.col("yz"[k % 2]).bitwiseXOR(F.lit(turn))).alias(f"m{k}") for k, turn in enumerate(_TURNS)))
+    keys = F.array(*(F.xxhash64("part", F.lit(b), *(f"m{k}" for k in band)) for b, band in enumerate(_BANDS)))
+    return low.select("h", F.explode(keys).alias("bucket"))
 
 
-def _tied(signatures: DataFrame, bands: int, rows: int) -> DataFrame:
+def _tied(buckets: DataFrame) -> DataFrame:
     """``(bucket, h, n)`` of the lines that are not alone in a bucket of ``n``."""
-    keys = [F.xxhash64(F.lit(b), *(F.col(f"m{b * rows + r}") for r in range(rows))) for b in range(bands)]
-    spread = signatures.select("h", F.explode(F.array(*keys)).alias("bucket"))
-    return spread.select("bucket", "h", F.count("*").over(Window.partitionBy("bucket")).alias("n")).where("n > 1")
+    return buckets.select("bucket", "h", F.count("*").over(Window.partitionBy("bucket")).alias("n")).where("n > 1")
 
 
 def _chained(tied: DataFrame) -> DataFrame:
@@ -69,52 +77,92 @@ def _chained(tied: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b")).distinct()
 
 
-def _apart(tied: DataFrame, near: DataFrame, tile: int) -> DataFrame:
-    """Distinct pairs ``(a, b)``, a before b: all that share a bucket and no component of ``near``."""
-    found = tied.select("bucket", "h").join(near.withColumnRenamed("node", "h"), "h", "left")
-    found = found.select("bucket", "h", F.coalesce("component", "h").alias("c"))
-    mixed = found.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
-    cut = found.join(mixed.select("bucket", F.ceil(F.col("n") / tile).alias("tiles")), "bucket")
-    cut = cut.select("bucket", "h", "c", "tiles", F.pmod(F.xxhash64("h"), F.col("tiles")).alias("t"))
-    cut = cut.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-    cut = cut.select("bucket", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"), F.struct("h", "c", "t").alias("x"))
-    group = cut.groupBy("bucket", "i", "j").agg(F.collect_list("x").alias("all"))
-    pairs = group.select("i", "j", "all", F.explode("all").alias("a")).select("i", "j", "a", F.explode("all").alias("b"))
-    pairs = pairs.where("a.h < b.h and a.c != b.c and (i = j or a.t != b.t)")
-    return pairs.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct()
+def _set(line: Column, n: int) -> Column:
+    """Hashes of the shingles of a line; a lambda binds its bytes, which would be copied for each shingle else."""
+
+    def shingled(wide: Column) -> Column:
+        return F.transform(_starts(wide, n), lambda i: F.xxhash64(F.substring(wide, i * 2 + 1, F.lit(2 * n))))
+
+    return F.element_at(F.transform(F.array(F.encode(line, "UTF-16BE")), shingled), 1)
+
+
+def _alike(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Column:
+    """Whether sets of ``na`` and ``nb`` shingles reach the similarity."""
+    return F.size(F.array_intersect(a, b)) * (100 + percent) >= (na + nb) * percent
+
+
+def _near_in_size(na: Column, nb: Column, percent: int) -> Column:
+    return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
 
 
-def _shingled(wide: Column, n: int) -> Column:
-    """Hashes of the shingles of a line's UTF-16 form."""
-    return F.transform(_starts(wide, n), lambda i: F.xxhash64(F.substring(wide, i * 2 + 1, F.lit(2 * n))))
+def _bits(line_set: Column) -> Column:
+    """1024 bits of a set in an array of longs: each shingle sets the one that its hash names."""
+
+    def word(w: Column) -> Column:
+        own = F.filter(line_set, lambda x: x.bitwiseAND(F.lit(15)) == w)
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 4).bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(15)), word)
+
+
+def _may_be_alike(a: Column, b: Column, percent: int) -> Column:
+    """False only where the sets cannot reach the similarity: a bit of one alone is a shingle of it alone."""
+
+    def alone(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x.bits, y.bits, lambda v, w: F.bit_count(v.bitwiseAND(F.bitwise_not(w)))), F.lit(0), lambda acc, v: acc + v)
+
+    return F.least(a.k - alone(a, b), b.k - alone(b, a)) * (100 + percent) >= (a.k + b.k) * percent
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs whose shingle sets reach the similarity.
+    """Pairs whose shingle sets reach the similarity."""
+    both = pairs.join(texts.select("h", "norm", "k").toDF("a", "left", "na"), "a").join(texts.select("h", "norm", "k").toDF("b", "right", "nb"), "b")
+    like = _alike(_set(F.col("left"), n), _set(F.col("right"), n), F.col("na"), F.col("nb"), percent)
+    return both.where(_near_in_size(F.col("na"), F.col("nb"), percent)).where(like).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
-    Lambdas bind the lines and then both sets: a column's bytes would be copied out of its
-    row for every shingle, and a set be made for every use.
+
+def _apart(tied: DataFrame, near: DataFrame, texts: DataFrame, n: int, percent: int, tile: int) -> DataFrame:
+    """Links ``(src, dst)`` of lines that share a bucket and no component of ``near``.
+
+    Buckets of up to three lines have been compared whole.  The text travels once to each
+    group of two tiles, not once to each pair.
     """
-    texts = texts.select("h", F.encode("norm", "UTF-16BE").alias("wide"))
-    both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
+    found = tied.where("n > 3").join(near.withColumnRenamed("node", "h"), "h", "left")
+    found = found.select("bucket", "h", "n", F.coalesce("component", "h").alias("c"))
+    mixed = found.groupBy("bucket").agg(F.max("n").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
+    cut = found.select("bucket", "h", "c").join(mixed.select("bucket", F.ceil(F.col("n") / tile).alias("tiles")), "bucket")
+    cut = cut.select("bucket", "h", "c", "tiles", F.pmod(F.xxhash64("h"), F.col("tiles")).alias("t"))
+    met = tied.groupBy("h").agg(F.collect_list("bucket").alias("buckets"))  # one for each band at most
+    apart = texts.join(cut.select("h").distinct(), "h", "left_semi").select("h", "k", "norm", _bits(_set(F.col("norm"), n)).alias("bits"))
+    cut = cut.join(apart.join(met, "h"), "h")
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    cut = cut.select("bucket", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"), F.struct("h", "c", "t", "k", "norm", "buckets", "bits").alias("x"))
+    cells = mixed.agg(F.coalesce(F.sum(F.ceil(F.col("n") / tile) * (F.ceil(F.col("n") / tile) + 1) / 2), F.lit(0))).first()[0]
+    cut = cut.repartition(max(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(cells / 16)), "bucket", "i", "j")  # groups are small, but their pairs are many
+    group = cut.groupBy("bucket", "i", "j").agg(F.collect_list("x").alias("all"))
 
-    def like(s: Column) -> Column:
-        return F.size(F.array_intersect(s.x, s.y)) * 100 >= F.size(F.array_union(s.x, s.y)) * percent
+    def links(lines: Column) -> Column:
+        def meets(a: Column, b: Column) -> Column:
+            met = (a.h < b.h) & (a.c != b.c) & ((F.col("i") == F.col("j")) | (a.t != b.t))
+            once = F.array_min(F.array_intersect(a.buckets, b.buckets)) == F.col("bucket")
+            return met & _near_in_size(a.k, b.k, percent) & _may_be_alike(a, b, percent) & once & _alike(_set(a.norm, n), _set(b.norm, n), a.k, b.k, percent)
 
-    def sets(w: Column) -> Column:
-        return F.array(F.struct(_shingled(w.left, n).alias("x"), _shingled(w.right, n).alias("y")))
+        return F.flatten(F.transform(lines, lambda a: F.transform(F.filter(lines, lambda b: meets(a, b)), lambda b: F.struct(a.h.alias("src"), b.h.alias("dst")))))
 
-    return both.where(F.exists(F.array(F.struct("left", "right")), lambda w: F.exists(sets(w), like))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    # all in one expression, as rows made in between would each copy the whole group
+    found = F.flatten(F.transform(F.array("all"), links))
+    return group.select(F.explode(found).alias("link")).select("link.src", "link.dst")
 
 
-def line_components(lines: DataFrame, n: int = 8, percent: int = 80, bands: int = 12, rows: int = 4, tile: int = 64, broadcast_rows: int = 1_000_000) -> DataFrame:
+def line_components(lines: DataFrame, n: int = 8, percent: int = 80, parts: int = 3, tile: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``(node, component)`` of the distinct lines ``(h, norm)`` that near copies tie together."""
-    tied = materialize(_tied(_signatures(lines, n, bands * rows), bands, rows), "ties")
+    tied = materialize(_tied(_buckets(lines, n, parts)), "ties")
     wanted = materialize(tied.select("h").distinct(), "tied")
     texts = lines.join(broadcast_if_small(wanted, broadcast_rows), "h", "left_semi").groupBy("h").agg(F.first("norm").alias("norm"))
-    texts = materialize(texts, "texts")
+    texts = materialize(texts.select("h", "norm", F.size(F.array_distinct(_set(F.col("norm"), n))).alias("k")), "texts")
     near = components(_verified(_chained(tied), texts, n, percent))
-    more = materialize(_verified(_apart(tied, near, tile), texts, n, percent), "links")
+    more = materialize(_apart(tied, near, texts, n, percent, tile), "links")
     if more.isEmpty():
         return near
     return components(near.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(more))
