@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -48,7 +51,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote, once nothing reads it any more."""
+    _delete(df.sparkSession, df._written)
 
 
 def small(df: DataFrame, rows: int) -> bool:
@@ -66,12 +76,24 @@ def signed(column):
     return column.view("int64")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let whole texts travel to Python by the 1,000, not the 10,000 rows that Spark sends unless told otherwise."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def release() -> None:
     """Give what a task has freed back to the machine: Python workers outlive their tasks."""
     from . import words
 
     words.forget()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give back what is free already; takes about a millisecond."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

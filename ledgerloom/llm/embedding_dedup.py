@@ -167,7 +167,8 @@ def near_duplicates(
     nothing, and neither do vectors of different length.  ``component_id`` is the smallest
     id reachable.  Unless given, ``bits`` and ``passes`` follow the number of vectors: see
     :func:`needed`.  Rows with a null id get null links of their own; repeated ids are
-    separate rows that share the id.  An empty table gives an empty one.
+    separate rows that share the id.  An empty table gives an empty one, other columns are
+    ignored, and vectors may have any length.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     usable = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -34,7 +34,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         far = far.distinct()
         root = far.groupBy("u").agg(F.min("v").alias("m"))
         near = far.join(root, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(near.union(root).distinct(), "edges")
+        shorter = materialize(near.union(root).distinct(), "edges")
+        discard(e)
+        e = shorter
         total, heads = e.agg(F.count("*"), F.count_distinct("u")).first()
         chained = e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
         if total == heads and chained:

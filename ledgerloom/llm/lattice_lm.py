@@ -231,7 +231,8 @@ def lattice_scores(
     probability of the words and the end.  ``vocabulary`` names a byte-level vocabulary
     file, read on the driver.  ``rounds`` of expectation maximisation fit the piece scores;
     without training words they stay at the vocabulary's rank order.  Repeated rows stay,
-    other columns are ignored, an empty table gives an empty one.
+    other columns are ignored, an empty table gives an empty one.  Texts are scored whole,
+    of any length; words of equal counts are scored alike, whichever way they reach a task.
     """
     spark = docs.sparkSession
     rows = docs.select(

@@ -201,7 +201,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are split at line feeds and compared lower-cased and trimmed, by the Jaccard
     similarity of their ``n``-character shingles, at least ``percent`` / 100.  One line per
     component stays: the occurrence of the smallest id, then place.  Blank lines stay.
-    Null and empty texts stay as they are, so do other columns.  Rows repeated with id and
+    Null and empty texts stay as they are, so do other columns; texts and lines of any length are compared whole.  Rows repeated with id and
     text are one document: each such row gets the same text.  An empty table gives an
     empty one.  Without ``emptied``, rows that lost lines and have no words left go.
     """

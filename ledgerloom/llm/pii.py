@@ -277,7 +277,13 @@ def report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every found span of the text replaced by its kind in brackets."""
+    """``docs`` with every found span of the text replaced by its kind in brackets.
+
+    Of overlapping spans the first by place, then by the order of the kinds, is replaced.
+    Null and empty texts stay as they are; texts are read whole, of any length, in linear
+    time.  Repeated rows, ties and other columns of any name are kept; an empty table
+    gives an empty one.
+    """
     def masked(batches, at):
         for batch in batches:
             texts = []
