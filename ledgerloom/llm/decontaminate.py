@@ -241,7 +241,7 @@ def _scan(batches, shared, n: int, at: int, later: bool):
     test = ItemWindows(*shared.value, n)
     for batch in batches:
         width = batch.num_columns - (len(_KINDS) if later else 0)
-        for i, j, raw, offsets in words.pieces(batch.column(at), 2 << 20):
+        for i, j, raw, offsets in words.pieces(batch.column(at), 1 << 20):
             before = [batch.column(width + k).slice(i, j - i).to_pylist() for k in range(len(_KINDS))] if later else None
             out: list[list] = [[] for _ in _KINDS]
             for r, (count, spans, items, best) in enumerate(_shard(test, raw, offsets)):
@@ -353,7 +353,12 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options)
 
 
 def remove(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no window of any item."""
+    """The rows of ``docs``, all columns, whose text holds no window of any item.
+
+    Null and blank texts hold none and stay, so do all rows if no item has words.  Whole
+    texts are searched, of any length.  Repeated rows go or stay together; other columns
+    of any name are kept; an empty table gives an empty one.
+    """
     marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(options.get("text_col", "text")).alias("text"))
     got = matches(marked, items, ["row"], **(options | {"text_col": "text"}))
     return got.where(F.size("spans") == 0).select("row.*")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .common import freed, small_batches
 
 ORDER = 3
 _PAD = np.uint8(32)
@@ -161,13 +162,14 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", m
     Of each language about ``most`` rows are used at most, whole texts, chosen by a hash of
     the text; null languages and texts are left out.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     counts = dict(rows.groupBy("lang").count().collect())  # a row for each language
     if not counts:
         return Model(pd.DataFrame({"lang": [], "gram": [], "n": []}))
     share = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, min(1.0, most / n))))
     some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
-    got = some.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    got = some.mapInArrow(lambda it: freed(_counted(it)), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return Model(got.toPandas())  # bounded by the sample: its distinct four-byte strings
 
 
@@ -177,12 +179,13 @@ def predict(docs: DataFrame, model: Model, keep: list, text_col: str = "text") -
     ``lang_pred`` is the language of the shortest code, the first by name of equals; it is
     ``und`` with score 0 if the text is null or has no letter, or nothing was learned.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cols = [F.col(c) if isinstance(c, str) else c for c in keep]
     wide = docs.select(*(c.alias(f"k{i}") for i, c in enumerate(cols)), F.col(text_col).cast("string").alias("text"))
     kinds = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(wide.schema.fields[:-1]))
     n = len(cols)
-    return wide.mapInArrow(lambda it: _predict(it, shared, n, n), f"{kinds}, p0 string, p1 double, p2 double")
+    return wide.mapInArrow(lambda it: freed(_predict(it, shared, n, n)), f"{kinds}, p0 string, p1 double, p2 double")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -194,6 +197,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     Rows whose ``crc32(id as text) mod 4`` is 2 are held out of training; a null id is not.
     Repeated rows stay; other columns are ignored; an empty table gives an empty one.
+    Texts are scored whole, of any length; of equal codes the first language by name wins.
     """
     model = train(docs.where(~held_out(id_col)), lang_col, text_col, **options)
     got = predict(docs, model, [F.col(id_col), held_out(id_col)], text_col)
@@ -201,7 +205,13 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that have a language: not ``und``, and of score ``least`` at least."""
+    """The rows of ``docs``, all columns, that have a language: not ``und``, and of score ``least`` at least.
+
+    Null, empty and letterless texts have none and go, whatever their ``lang``; a null
+    ``lang`` only keeps a row out of training.  Whole texts are scored, of any length.
+    Equally short codes go to the first language by name.  Repeated rows each get the same
+    answer, other columns of any name are kept, an empty table gives an empty one.
+    """
     model = train(docs.where(~held_out(id_col)), lang_col, text_col, **options)
     got = predict(docs, model, [F.struct(*docs.columns)], text_col)
     return got.where((F.col("p0") != "und") & (F.col("p1") >= least)).select("k0.*")

@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, freed, materialize, small_batches, trim
 from .graph import components
 
 #: Shingles are counted under the first 32 bits of their hashes.  Counts only order them.
-_FLUSH, _FREQUENT = 8 << 20, 4
+_FLUSH, _FREQUENT = 4 << 20, 4
 
 
 def _sets(raw, at, n):
@@ -110,6 +110,7 @@ def _frequent(frame: pd.DataFrame, most: int) -> pd.DataFrame:
     keep = np.flatnonzero(total >= _FREQUENT)
     keep = np.sort(keep[np.argsort(-total[keep], kind="stable")[:most]])
     totals = np.minimum(total[keep], (1 << 31) - 1).astype(np.int32)
+    trim()
     return pd.DataFrame({"first": [first], "bits": [np.packbits(bits).tobytes()], "cells": [cell[keep].tobytes()], "totals": [totals.tobytes()]})
 
 
@@ -208,6 +209,7 @@ def _product(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
                 links += forest(a[a != b], b[a != b], len(sets))
     kept = forest(np.array([a for a, _ in links], int), np.array([b for _, b in links], int), len(sets))
     node = frame["node"].to_numpy()
+    trim()
     return pd.DataFrame({"src": node[[a for a, _ in kept]], "dst": node[[b for _, b in kept]]}, dtype="int64")
 
 
@@ -224,13 +226,14 @@ def _labelled(
 ) -> DataFrame:
     """``(id, key, size, root)`` of every row; ``root`` is one for all nodes that links join."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("id", F.xxhash64("id", "text").alias("key"), "text")
     # about a shingle for each six bytes; a part counts some two million
     bytes_ = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = 1 << max(0, int(bytes_ // (12 << 20)).bit_length() - 1)
     described = rows.mapInArrow(
-        lambda it: _describe(it, n, parts), "id long, key long, size long, node long, part int, gaps binary, wide binary, counts binary"
+        lambda it: freed(_describe(it, n, parts)), "id long, key long, size long, node long, part int, gaps binary, wide binary, counts binary"
     )
     described = materialize(described, "sets")
     nodes = described.where("part is null").select("id", "key", "size", "node")
@@ -249,7 +252,7 @@ def _labelled(
     token = Window.partitionBy("token")
     postings = (
         rows.select("text")
-        .mapInArrow(lambda it: _prefixes(it, n, percent, shared), "token long, node long, place int, size int")
+        .mapInArrow(lambda it: freed(_prefixes(it, n, percent, shared)), "token long, node long, place int, size int")
         .repartition("token")
         .dropDuplicates(["token", "node"])
         .select("*", F.count("*").over(token).alias("times"), F.min("node").over(token).alias("low"))
@@ -272,7 +275,7 @@ def _labelled(
     wanted = one.join(clusters, "node").join(counted, "cluster").select("key", "node", "cluster", "tiles")
     wanted = materialize(wanted, "members")
     full = rows.join(broadcast_if_small(wanted, broadcast_rows), "key").select("text", "node", "cluster", "tiles")
-    full = full.mapInArrow(lambda it: _members(it, n), "node long, cluster long, tiles long, items binary")
+    full = full.mapInArrow(lambda it: freed(_members(it, n)), "node long, cluster long, tiles long, items binary")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")
     tiles = full.select("node", "cluster", "items", "tiles", tile).select("*", other)
@@ -305,7 +308,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", br
     """The rows of ``docs``, all columns, less all but one of each class of near copies.
 
     The row of the smallest id stays, of rows repeated with id and text one.  Texts without
-    words have no class and stay.
+    words, null ones too, have no class and stay.  A null id comes before all others.  Texts
+    are compared whole, of any length; other columns of any name are kept; an empty table
+    gives an empty one.
     """
     rows = _labelled(docs, id_col, text_col, broadcast_rows=broadcast_rows, **options)
     best = rows.where("size > 0").groupBy("root").agg(F.min(F.struct("id", "key")).alias("best")).select("root", F.col("best.key").alias("stays"))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import freed, materialize
+from .common import freed, materialize, small_batches, trim
 from .words import buffers, hashes
 from .words import pieces as text_pieces
 
@@ -101,7 +101,7 @@ class Encoder:
     At ``most`` words those go that were not met since the last time; about 40 bytes a word.
     """
 
-    def __init__(self, vocabulary: str, most: int = 600_000):
+    def __init__(self, vocabulary: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
         from tokenizers import Tokenizer
 
@@ -186,7 +186,7 @@ def _pieces(batches, vocabulary, end: int, most: int):
     encode = Encoder(vocabulary.value)
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
-        for i, j, raw, at in text_pieces(batch.column(1), 1 << 20):
+        for i, j, raw, at in text_pieces(batch.column(1), 1 << 19):
             ids, size = encode.ids(raw, at, end)
             count = -(-size // most)
             owner = np.repeat(np.arange(j - i), count)
@@ -310,6 +310,7 @@ def _epoch(key, frame: pd.DataFrame, most: int, islands: int, size: int, generat
     own = (key[0], key[1], epoch + 1, first["lengths"], first["times"])
     sent = (key[0], (key[1] + 1) % islands, epoch + 1, first["lengths"], first["times"])
     rows = [(*own, population)] + [(*sent, population[:1])] * (islands > 1)
+    trim()
     return pd.DataFrame(rows, columns=["shard", "island", "epoch", "lengths", "times", "packings"])
 
 
@@ -350,6 +351,7 @@ def pack(
     follows the data.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     with open(vocabulary, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
