@@ -249,6 +249,8 @@ def _labelled(
     cells, totals = map(np.concatenate, zip(*hot, strict=True))
     order = np.argsort(cells)
     shared = spark.sparkContext.broadcast((bits, cells[order], totals[order]))
+    del bits, cells, totals, order, hot  # the driver needs them no more
+    trim()
     token = Window.partitionBy("token")
     postings = (
         rows.select("text")
