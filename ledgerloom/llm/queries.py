@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language_id, line_dedup, pii, url_filter
+from . import decontaminate, exact_dedup, fill_in_middle, html_text, language_id, line_dedup, pii, url_filter, vector_codes
 from .common import table
 from .embedding_dedup import near_duplicates
 from .lattice_lm import lattice_scores
@@ -61,6 +61,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.report(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.report(spark, f"{sf_dir}/documents.parquet")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -73,8 +85,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_url_filter": op9_url_filter,
         "op10_packing": op10_packing,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_exact_dedup": op12_exact_dedup,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": url_filter.sql()}
+    return {
+        "op9_url_filter": url_filter.sql(),
+        "op11_fill_in_middle": fill_in_middle.sql(),
+        "op12_exact_dedup": exact_dedup.sql(),
+        "op13_vector_codes": vector_codes.sql(),
+    }
