@@ -42,7 +42,7 @@ def sequency(size: int) -> np.ndarray:
 
 
 def padded(size: int) -> int:
-    return 1 << max(0, (size - 1).bit_length())
+    return 1 << max(0, size - 1).bit_length()
 
 
 def _narrow(largest: int, size: int) -> bool:
