@@ -117,13 +117,22 @@ def shown(cells: Column, count: int, places: int = PLACES, width: int = WIDTH) -
     return _let(cells, one)
 
 
-def summed(rows: DataFrame, by: list[str], amounts: dict[str, Column], *others: Column, places: int = PLACES) -> DataFrame:
+def signed(cells: Column, sign: Column) -> Column:
+    """Limbs times a sign: 1, -1 or 0; null for a null sign."""
+    nothing = F.lit(0).cast("decimal(28,0)")
+    return F.transform(cells, lambda c: F.when(sign > 0, c).when(sign < 0, (-c).cast("decimal(28,0)")).when(sign == 0, nothing))
+
+
+def summed(rows: DataFrame, by: list[str], amounts: dict[str, Column | tuple[Column, Column]], *others: Column, places: int = PLACES) -> DataFrame:
     """``rows`` grouped by ``by``: the exact sum of each of ``amounts`` as text, and ``others``, which are aggregates.
 
-    A sum is null where no amount of the group is known.
+    An amount may come with its sign, a column of 1, -1 or 0.  A sum is null where no amount
+    of the group is known.
     """
-    kinds = rows.select(*(c.alias(n) for n, c in amounts.items())).schema
-    named = rows.select("*", *(limbs(c, kinds[n].dataType, places).alias(f"_{n}_limbs") for n, c in amounts.items()))
+    pairs = {n: c if isinstance(c, tuple) else (c, None) for n, c in amounts.items()}
+    kinds = rows.select(*(c.alias(n) for n, (c, _) in pairs.items())).schema
+    cells = {n: limbs(c, kinds[n].dataType, places) for n, (c, _) in pairs.items()}
+    named = rows.select("*", *(x.alias(f"_{n}_limbs") if pairs[n][1] is None else signed(x, pairs[n][1]).alias(f"_{n}_limbs") for n, x in cells.items()))
     sums = [F.sum(F.col(f"_{n}_limbs")[k]).alias(f"_{n}_{k}") for n in amounts for k in range(LIMBS)]
     got = named.groupBy(*by).agg(*sums, *others)
     dealt = {f"_{n}_{k}" for n in amounts for k in range(LIMBS)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import wide
 from ..functions.states import CHAIN, EXTRA_PAY_DAY, evidence_reason
 from .staking import elapsed_end, wide_floor
 
@@ -175,11 +176,16 @@ def ingested(results: DataFrame) -> DataFrame:
 
 
 def live_valuation(assets: DataFrame) -> DataFrame:
-    """Per wallet the value of priced balances, null if none is; balances are raw integers."""
-    value = F.col("raw") / F.pow(F.lit(10.0), F.col("decimals")) * F.col("price")
-    got = assets.groupBy("wallet").agg(F.count("*").alias("assets"), F.count("price").alias("valued"), F.sum(value).alias("total_value"))
+    """Per wallet the exact value of priced balances, as text, null if none is; balances are raw integers of up to 78 digits.
+
+    ``assets``: ``wallet, raw, decimals, price``; ``raw`` and ``price`` are text or numbers, a price has up to 18 places.
+    """
+    text = lambda c: F.col(c).cast("decimal(38,18)").cast("string") if assets.schema[c].dataType.typeName() in ("double", "float") else F.col(c).cast("string")
+    # a raw integer has its point moved by its decimals, which an exponent says
+    amount = F.concat(text("raw"), F.lit("e-"), F.col("decimals").cast("string"))
+    got = wide.summed(assets.withColumn("_value", wide.times(amount, text("price"))), ["wallet"], {"total_value": F.col("_value")}, F.count("*").alias("assets"), F.count("price").alias("valued"), places=2 * wide.PLACES)
     status = F.when(F.col("valued") == F.col("assets"), "available").when(F.col("valued") == 0, "unavailable").otherwise("partial")
-    return got.withColumn("status", status)
+    return got.select("wallet", "assets", "valued", "total_value", status.alias("status"))
 
 
 def onboarding(wallets: DataFrame, runs: DataFrame, states: DataFrame, now: Column) -> DataFrame:

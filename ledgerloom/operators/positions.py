@@ -5,56 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import trim_decimal
+from ..functions import wide
 
+#: What a leg does to a balance.
+SIGNS = {"IN": 1, "OUT": -1}
 
-#: Quantities have 18 places; sums are exact, whatever the order of the rows.
-QUANTITY = "decimal(38,18)"
 
+def sign(of: dict[str, int], column: str = "direction") -> Column:
+    """1, -1 or 0 by the value of a column; null stays null."""
+    out = F.when(F.col(column).isNull(), F.lit(None).cast("int"))
+    for value, s in of.items():
+        out = out.when(F.col(column) == value, s)
+    return out.otherwise(0)
 
-def signed(quantity: str = "quantity") -> Column:
-    exact = F.col(quantity).cast(QUANTITY)
-    return F.when(F.col("direction") == "IN", exact).when(F.col("direction") == "OUT", -exact).otherwise(F.lit(0).cast(QUANTITY))
 
+def token_balances(entries: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``wallet, asset, balance, warning``: IN less OUT, fees too, INTERNAL not; zeros go, negatives stay with a warning.
 
-def token_balances(entries: DataFrame) -> DataFrame:
-    """``wallet, asset, balance, warning``: IN less OUT, fees too, INTERNAL not; zeros go, negatives stay with a warning."""
-    sums = entries.groupBy("wallet", "asset").agg(F.sum(signed()).alias("balance")).where("balance != 0")
-    text = F.concat_ws(":", F.lit("negative-token-balance"), "asset", trim_decimal(F.col("balance").cast("string")))
-    return sums.withColumn("warning", F.when(F.col("balance") < 0, text))
+    Quantities are text, decimals, integers or doubles; balances are exact, of up to 90
+    digits before the point, as text.
+    """
+    by = by or ["wallet", "asset"]
+    sums = wide.summed(entries, by, {"balance": (F.col("quantity"), sign(SIGNS))}).where("balance != '0'")
+    return sums.withColumn("warning", F.when(wide.below_zero(F.col("balance")), F.concat_ws(":", F.lit("negative-token-balance"), "asset", "balance")))
 
 
-def _liquidity_groups(entries: DataFrame) -> DataFrame:
+def _liquidity_groups(entries: DataFrame, group: str, order: list[str]) -> DataFrame:
     """Each action's LP leg (that of an addition, else of a removal), its sum, and the other legs by asset."""
     lp_in, lp_out = F.col("entry_type") == "LP_ADD_IN", F.col("entry_type") == "LP_REMOVE_OUT"
-    other = F.when(F.col("entry_type").isin("LP_ADD_OUT", "LP_REMOVE_IN"), F.struct("asset", (-signed()).alias("quantity")))
-    return entries.where(F.col("entry_type").startswith("LP_")).groupBy("wallet", "tx").agg(
+    kind = F.when(F.col("entry_type").isin("LP_ADD_OUT", "LP_REMOVE_IN"), -sign(SIGNS))
+    text = wide.shown(wide.signed(wide.limbs(F.col("quantity"), entries.schema["quantity"].dataType), kind), wide.LIMBS)
+    other = F.when(kind.isNotNull(), F.struct("asset", text.alias("quantity")))
+    return wide.summed(
+        entries.where(F.col("entry_type").startswith("LP_")), ["wallet", group],
+        {"lp": (F.when(lp_in | lp_out, F.col("quantity")), sign(SIGNS))},
         F.coalesce(F.min(F.when(lp_in, F.col("asset"))), F.min(F.when(lp_out, F.col("asset")))).alias("lp_asset"),
-        F.sum(F.when(lp_in | lp_out, signed())).alias("lp"),
         F.array_sort(F.collect_list(other)).alias("legs"),  # of one action
-    )
+        F.min(F.struct(*order)).alias("first"),
+    )
 
 
-def liquidity_positions(entries: DataFrame) -> DataFrame:
-    """Two levels: each action's legs pivot to one LP leg and two others by asset, then sums by LP asset.
+def liquidity_positions(entries: DataFrame, group: str = "tx", order: list[str] | None = None) -> DataFrame:
+    """Two levels: each action's legs pivot to one LP leg and two others by asset, then exact sums by LP asset, as text.
 
-    The first action of an LP asset names its two others.
+    The first action of an LP asset, by the columns of ``order`` (such as time and id; the
+    group alone if none are given), names its two others.
     """
-    ok = _liquidity_groups(entries).where(F.col("lp_asset").isNotNull() & (F.size("legs") == 2))
+    ok = _liquidity_groups(entries, group, order or [group]).where(F.col("lp_asset").isNotNull() & (F.size("legs") == 2))
     legs = [F.col("legs")[k] for k in (0, 1)]
-    got = ok.groupBy("wallet", "lp_asset").agg(
-        F.sum("lp").alias("lp"),
-        *(F.min_by(leg["asset"], "tx").alias(f"asset{k}") for k, leg in enumerate(legs)),
-        *(F.sum(leg["quantity"]).alias(f"amount{k}") for k, leg in enumerate(legs)),
-    )
-    return got.where("lp != 0 or amount0 != 0 or amount1 != 0")
+    got = wide.summed(ok, ["wallet", "lp_asset"], {"amount": F.col("lp"), **{f"amount{k}": leg["quantity"] for k, leg in enumerate(legs)}}, *(F.min_by(leg["asset"], "first").alias(f"asset{k}") for k, leg in enumerate(legs)))
+    got = got.withColumnRenamed("amount", "lp")
+    return got.where("lp != '0' or amount0 != '0' or amount1 != '0'").select("wallet", "lp_asset", "lp", "asset0", "asset1", "amount0", "amount1")
 
 
-def liquidity_warnings(entries: DataFrame) -> DataFrame:
+def liquidity_warnings(entries: DataFrame, group: str = "tx") -> DataFrame:
     """``wallet, tx, warning`` of the actions that no position holds: without an LP leg, or without just two others."""
     ambiguous = F.concat(F.lit("lp-position-ambiguous-underlyings:"), F.size("legs").cast("string"))
     warning = F.when(F.col("lp_asset").isNull(), "lp-position-missing-lp-leg").when(F.size("legs") != 2, ambiguous)
-    return _liquidity_groups(entries).select("wallet", "tx", warning.alias("warning")).where("warning is not null")
+    return _liquidity_groups(entries, group, [group]).select("wallet", group, warning.alias("warning")).where("warning is not null")
 
 
 def stake_warnings(entries: DataFrame) -> DataFrame:
@@ -64,14 +72,10 @@ def stake_warnings(entries: DataFrame) -> DataFrame:
 
 
 def stake_positions(entries: DataFrame) -> DataFrame:
-    """Conditional sums by stake; without a leg of a kind its sum stays null, as unknown is not zero."""
-    total = lambda kind: F.sum(F.when(F.col("entry_type") == kind, F.col("quantity").cast(QUANTITY)))
+    """Exact sums by stake and kind of leg, as text; without a leg of a kind its sum stays null, as unknown is not zero."""
+    kinds = {"principal": "STAKE_PRINCIPAL_LOCKED", "returned": "STAKE_PRINCIPAL_RETURNED", "yield_received": "STAKE_YIELD_RECEIVED", "penalty": "STAKE_PENALTY", "unallocated": "STAKE_RETURN_UNALLOCATED"}
     seen = lambda kind: F.bool_or(F.col("entry_type") == kind)
-    return entries.where("stake is not null").groupBy("wallet", "stake").agg(
-        F.coalesce(total("STAKE_PRINCIPAL_LOCKED"), F.lit(0).cast(QUANTITY)).alias("principal"),
-        total("STAKE_PRINCIPAL_RETURNED").alias("returned"),
-        total("STAKE_YIELD_RECEIVED").alias("yield_received"),
-        total("STAKE_PENALTY").alias("penalty"),
-        total("STAKE_RETURN_UNALLOCATED").alias("unallocated"),
-        F.when(seen("STAKE_END"), "ENDED").when(seen("STAKE_START"), "ACTIVE").otherwise("UNKNOWN").alias("status"),
-    )
+    amounts = {name: F.when(F.col("entry_type") == kind, F.col("quantity")) for name, kind in kinds.items()}
+    status = F.when(seen("STAKE_END"), "ENDED").when(seen("STAKE_START"), "ACTIVE").otherwise("UNKNOWN")
+    got = wide.summed(entries.where("stake is not null"), ["wallet", "stake"], amounts, status.alias("status"))
+    return got.withColumn("principal", F.coalesce("principal", F.lit("0")))

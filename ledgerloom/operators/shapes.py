@@ -1,7 +1,8 @@
 """Shapes of transactions: which transfers make a swap, a liquidity action or a stake.
 
 Input rows are transfers ``tx, asset, direction (IN/OUT), quantity``; one plan aggregates
-by transaction, direction and asset and then by transaction.
+by transaction, direction and asset and then by transaction.  Amounts given as text, such as
+raw integers of up to 78 digits, are summed exactly and stay text.
 """
 
 from __future__ import annotations
@@ -9,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import wide
+
 
 def _sides(transfers: DataFrame) -> DataFrame:
     """Per transaction the assets that came in and went out, sorted, with their sums."""
-    sums = transfers.groupBy("tx", "direction", "asset").agg(F.sum("quantity").alias("quantity"))
+    by, amount = ["tx", "direction", "asset"], F.col("quantity")
+    text = transfers.schema["quantity"].dataType.typeName() == "string"
+    sums = wide.summed(transfers.select(*by, "quantity"), by, {"total": amount}).withColumnRenamed("total", "quantity") if text else transfers.groupBy(*by).agg(F.sum(amount).alias("quantity"))
     leg = F.struct("asset", "quantity")
     side = lambda d: F.array_sort(F.collect_list(F.when(F.col("direction") == d, leg)))
     return sums.groupBy("tx").agg(side("OUT").alias("out"), side("IN").alias("in"))

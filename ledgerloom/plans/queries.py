@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import ledger, normalize, pnl, positions, pricing, quality, reports, shapes, staking
-from ..sources.tables import LEGS, ORDER, PRICES, legs, prices, read
+from ..sources.tables import LEGS, ORDER, PRICES, RAW, legs, prices, raw_transfers, read
 from ..streaming import windows
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -41,9 +41,9 @@ def _transfers(spark, sf):
     return legs(spark, sf).select("tx", "asset", "direction", "quantity")
 
 
-def _doubles(df):
-    """Decimals as doubles, which both engines show alike."""
-    return df.select(*(F.col(f.name).cast("double") if f.dataType.typeName() == "decimal" else F.col(f.name) for f in df.schema.fields))
+def _doubles(df, *texts):
+    """Decimals, and the numbers that stand in ``texts``, as doubles, which both engines show alike."""
+    return df.select(*(F.col(f.name).cast("double") if f.name in texts or f.dataType.typeName() == "decimal" else F.col(f.name) for f in df.schema.fields))
 
 
 _FOLD = f"""WITH RECURSIVE {LEGS},
@@ -215,14 +215,31 @@ def protocol_tx_union(spark, sf):
 @_query(f"""WITH {LEGS}, b AS (SELECT wallet, asset, sum(CASE direction WHEN 'IN' THEN quantity ELSE -quantity END) AS balance FROM legs WHERE status = 'ACTIVE' GROUP BY ALL)
 SELECT * FROM b WHERE balance <> 0""")
 def token_balances(spark, sf):
-    return _doubles(positions.token_balances(legs(spark, sf).where("status = 'ACTIVE'")).drop("warning"))
+    return _doubles(positions.token_balances(legs(spark, sf).where("status = 'ACTIVE'")).drop("warning"), "balance")
+
+
+@_query(f"""WITH {RAW}, e AS (SELECT from_address AS wallet, asset, -(amount_raw::HUGEINT) * 1000000000000000000::HUGEINT AS q FROM raw UNION ALL SELECT to_address, asset, amount_raw::HUGEINT * 1000000000000000000::HUGEINT FROM raw)
+SELECT wallet, asset, sum(q)::VARCHAR AS balance FROM e GROUP BY ALL HAVING sum(q) <> 0""")
+def raw_balances(spark, sf):
+    """Raw integer amounts, beyond what a decimal's sum may hold, for both ends of every transfer."""
+    raw = raw_transfers(spark, sf).select("asset", F.concat("amount_raw", F.lit("0" * 18)).alias("quantity"), F.explode(F.array(F.struct(F.col("from_address").alias("wallet"), F.lit("OUT").alias("direction")), F.struct(F.col("to_address").alias("wallet"), F.lit("IN").alias("direction")))).alias("side"))
+    return positions.token_balances(raw.select("asset", "quantity", "side.*")).drop("warning")
+
+
+@_query(f"""WITH {LEGS}, sums AS (SELECT tx, direction, asset, sum(round(quantity * 100)::HUGEINT * 1000000000000000000000000000000::HUGEINT) AS q FROM legs GROUP BY ALL),
+n AS (SELECT tx, list({{'a': asset, 'q': q}}) FILTER (WHERE direction = 'OUT') AS o, list({{'a': asset, 'q': q}}) FILTER (WHERE direction = 'IN') AS i FROM sums GROUP BY tx)
+SELECT tx, o[1].a AS sold_asset, o[1].q::VARCHAR AS sold, i[1].a AS bought_asset, i[1].q::VARCHAR AS bought FROM n WHERE len(o) = 1 AND len(i) = 1 AND o[1].a <> i[1].a""")
+def raw_swaps(spark, sf):
+    """Swaps of raw integer amounts of 30 digits and more."""
+    raw = _transfers(spark, sf).withColumn("quantity", F.concat(F.round(F.col("quantity") * 100).cast("long").cast("string"), F.lit("0" * 30)))
+    return shapes.swap_shape(raw).where("reason is null").drop("reason")
 
 
 @_query(f"""WITH {LEGS}, b AS (SELECT tx AS wallet, asset, sum(CASE direction WHEN 'IN' THEN quantity ELSE -quantity END) AS balance FROM legs GROUP BY ALL)
 SELECT wallet, count(*) AS negative, sum(balance) AS short FROM b WHERE balance < 0 GROUP BY wallet""")
 def negative_balances(spark, sf):
     got = positions.token_balances(legs(spark, sf).withColumn("wallet", F.col("tx"))).where("warning is not null")
-    return got.groupBy("wallet").agg(F.count("*").alias("negative"), F.sum("balance").cast("double").alias("short"))
+    return got.groupBy("wallet").agg(F.count("*").alias("negative"), F.sum(F.col("balance").cast("decimal(28,4)")).cast("double").alias("short"))
 
 
 @_query(_LP + """SELECT one[1].a AS lp_asset, sum(CASE kind WHEN 'LP_ADD' THEN one[1].q ELSE -one[1].q END) AS lp, arg_min(two[1].a, tx) AS asset0, arg_min(two[2].a, tx) AS asset1,
@@ -230,7 +247,7 @@ def negative_balances(spark, sf):
 FROM lp WHERE reason IS NULL GROUP BY ALL HAVING lp <> 0 OR amount0 <> 0 OR amount1 <> 0""")
 def lp_positions(spark, sf):
     drafts = normalize.liquidity(_lp_actions(spark, sf).withColumn("fee", F.lit(0.0)))
-    return _doubles(positions.liquidity_positions(drafts.withColumn("wallet", F.lit(1))).drop("wallet"))
+    return _doubles(positions.liquidity_positions(drafts.withColumn("wallet", F.lit(1))).drop("wallet"), "lp", "amount0", "amount1")
 
 
 @_query(_LP + "SELECT CASE WHEN ni = 0 THEN 'lp-position-missing-lp-leg' ELSE 'lp-position-ambiguous-underlyings:' || no END AS warning, count(*) AS actions FROM (SELECT coalesce(len(o), 0) AS no, coalesce(len(i), 0) AS ni FROM sides) WHERE ni = 0 OR no <> 2 GROUP BY ALL")
@@ -246,7 +263,7 @@ SELECT wallet, tx AS stake, 0.0::DOUBLE AS principal, sum(CASE WHEN k IS NOT NUL
   sum(CASE WHEN k > t THEN k - t END) AS penalty, sum(CASE WHEN k IS NULL AND t <> 0 THEN t END) AS unallocated, 'ENDED' AS status FROM d GROUP BY ALL""")
 def stake_positions(spark, sf):
     wallets = legs(spark, sf).select("tx", "wallet").distinct()
-    return _doubles(positions.stake_positions(normalize.stake_ends(_ends(spark, sf)).join(wallets, "tx")))
+    return _doubles(positions.stake_positions(normalize.stake_ends(_ends(spark, sf)).join(wallets, "tx")), "principal", "returned", "yield_received", "penalty", "unallocated")
 
 
 def _asked(spark, sf):
@@ -307,7 +324,7 @@ SELECT wallet, asset, reason, rank, rank <= 10 AS chosen FROM k""")
 def ingest_candidates(spark, sf):
     tokens = read(spark, sf, "part").select(F.col("p_brand").alias("asset")).distinct()
     tokens = tokens.select("asset", F.when(~F.col("asset").endswith("5"), 18).alias("decimals"), F.col("asset").endswith("3").alias("is_lp"), (F.col("asset") == "Brand#11").alias("is_native"))
-    return pricing.ingest_candidates(positions.token_balances(legs(spark, sf)), tokens, 10)
+    return pricing.ingest_candidates(_doubles(positions.token_balances(legs(spark, sf)), "balance"), tokens, 10)
 
 
 _DAY = "date_diff('day', DATE '1992-01-01', {}::DATE)"
@@ -383,7 +400,7 @@ p AS (SELECT p_brand AS asset, max(p_size)::DOUBLE AS price FROM part WHERE p_br
 SELECT wallet, n AS positions, v AS valued, n - v AS unvalued, total_value, CASE WHEN v = n THEN 'complete' WHEN v = 0 THEN 'unavailable' ELSE 'partial' END AS status FROM g""")
 def portfolio_summary(spark, sf):
     price = read(spark, sf, "part").where("p_brand not like '%4'").groupBy(F.col("p_brand").alias("asset")).agg(F.max("p_size").cast("double").alias("price"))
-    return reports.portfolio_summary(positions.token_balances(legs(spark, sf)).join(price, "asset", "left"))
+    return reports.portfolio_summary(_doubles(positions.token_balances(legs(spark, sf)), "balance").join(price, "asset", "left"))
 
 
 @_query(f"""WITH s AS (SELECT o_custkey, max(o_orderdate) FILTER (WHERE o_orderstatus <> 'P') AS u FROM orders GROUP BY 1)

@@ -367,7 +367,7 @@ CASE WHEN count(*) FILTER (WHERE o_orderkey % 4 > 0) = count(*) THEN 'available'
 def live_valuation(spark, sf):
     k = F.col("o_orderkey")
     got = ob.live_valuation(read(spark, sf, "orders").select(F.col("o_custkey").alias("wallet"), (k * 100).alias("raw"), F.lit(3).alias("decimals"), F.when(k % 4 > 0, 2.0).alias("price")))
-    return got.withColumn("total_value", F.round("total_value", 4))
+    return got.withColumn("total_value", F.round(F.col("total_value").cast("double"), 4))
 
 
 _ONBOARD = """w AS (SELECT c_custkey AS wallet FROM customer), r AS (SELECT c_custkey AS wallet, ['PENDING', 'RUNNING', 'FAILED', 'COMPLETED', 'COMPLETED', 'COMPLETED'][c_custkey % 6 + 1] AS status, c_custkey % 5 * 1000 AS age, CASE WHEN c_custkey % 25 = 0 THEN 1 ELSE 0 END AS warnings FROM customer WHERE c_custkey % 7 > 0),
