@@ -26,12 +26,15 @@ from pyspark.sql.types import StructType
 from .common import broadcast_if_small, materialize, shared_dir
 
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: State on disk, changes alone written for each batch, and one bound for the memory of all stores of an executor.
+#: State on disk, changes alone written for each batch, one bound for the memory of all stores of an
+#: executor, and a store closed as soon as its task has committed: thousands of partitions hold no memory then.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": _PROVIDER,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "16",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
