@@ -1,13 +1,17 @@
-"""Exact arithmetic on decimal numbers that outgrow Spark's 38 digits, in column functions.
+"""Exact arithmetic on decimal numbers that outgrow Spark's 38 digits, in SQL expressions.
 
 A number is text such as ``-12.5`` or ``1e21``; results are plain text without needless
 zeros.  Inside, a number times ``10**places`` is cut into limbs, each a number of ``WIDTH``
 digits with the number's sign.  Sums add limb by limb, which Spark combines before the
 shuffle, and one pass at the end carries what a limb holds too much.  No doubles, no Python.
+
+Functions take and give SQL text, so an expression of hundreds of nodes is one call to Spark:
+``expr(plus("a", "b"))``.  What a body needs twice is bound once, by :func:`_let`.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -16,169 +20,258 @@ from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType, Inte
 
 #: Digits of a limb, limbs of a number, and decimal places of quantities: 90 digits before the point, 18 after it.
 WIDTH, LIMBS, PLACES = 18, 6, 18
-#: Products use limbs of half the width, as two of them multiply within 64 bits.
-_HALF = WIDTH // 2
-_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,4})?$"
+#: Products use limbs of half the width, as two of them multiply within 64 bits; a product has this many limbs of full width.
+_HALF, PRODUCT = WIDTH // 2, 9
+_NUMBER = r"r'^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,4})?$'"
+_PARTS = r"r'^[+-]?([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?$'"
+_BASE = f"cast(1{'0' * WIDTH} as decimal(19,0))"
+_names = itertools.count()
+
+
+def expr(sql: str) -> Column:
+    return F.expr(sql)
+
+
+def _let(value: str, body: Callable[[str], str]) -> str:
+    """``body`` of a value that is worked out once, however often it stands there."""
+    v = f"v{next(_names)}"
+    return f"element_at(transform(array({value}), {v} -> {body(v)}), 1)"
+
+
+def _each(cells: str, body: Callable[[str], str]) -> str:
+    v = f"v{next(_names)}"
+    return f"transform({cells}, {v} -> {body(v)})"
+
+
+def _whole(x: str) -> str:
+    return f"cast({x} as decimal(38,0))"
 
 
-def scaled(text: Column, places: int = PLACES) -> Column:
+def scaled(text: str, places: int = PLACES) -> str:
     """The number times ``10**places`` as a signed digit string; null if the text is no number.
 
     More decimal places than ``places`` are an error unless they are zeros: nothing is rounded.
     """
-    part = lambda k: F.regexp_extract(text, r"^[+-]?([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?$", k)
-    digits, shift = F.concat(part(1), part(2)), F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0))
-    end = F.length(part(1)) + shift + places
-    kept = F.when(end <= 0, F.lit("")).otherwise(F.rpad(F.substring(digits, F.lit(1), end), end, F.lit("0")))
-    lost = F.rtrim(F.substring(digits, F.greatest(end, F.lit(0)) + 1, F.length(digits)), F.lit("0"))
-    body = F.ltrim(kept, F.lit("0"))
-    body = F.when(lost != "", F.raise_error(F.concat(F.lit(f"more than {places} decimal places: "), text)).cast("string")).otherwise(body)
-    signed = F.when(body == "", F.lit("0")).when(text.startswith("-"), F.concat(F.lit("-"), body)).otherwise(body)
-    plain = F.when(text.startswith("-"), F.concat(F.lit("-"), F.ltrim(F.substring(text, 2, 1 << 20), F.lit("0")))).otherwise(F.ltrim(text, F.lit("0")))
-    plain = F.when(F.ltrim(F.ltrim(text, F.lit("-")), F.lit("0")) == "", F.lit("0")).otherwise(F.concat(plain, F.lit("0" * places)))
-    return F.when(text.rlike("^-?[0-9]+$"), plain).when(text.rlike(_NUMBER), signed)
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, however often it stands there."""
-    return F.element_at(F.transform(F.array(value), body), 1)
 
+    def shifted(x: str) -> str:
+        end = f"(length({x}.w) + {x}.e + {places})"
+        kept = f"case when {end} <= 0 then '' else rpad(substring({x}.d, 1, {end}), {end}, '0') end"
+        lost = f"trim(trailing '0' from substring({x}.d, greatest({end}, 0) + 1))"
+        body = f"case when {lost} <> '' then raise_error(concat('more than {places} decimal places: ', {x}.t)) else trim(leading '0' from {kept}) end"
+        return _let(body, lambda b: f"case when {b} = '' then '0' when {x}.t like '-%' then concat('-', {b}) else {b} end")
+
+    def read(t: str) -> str:
+        part = lambda k: f"regexp_extract({t}, {_PARTS}, {k})"
+        fields = f"named_struct('w', {part(1)}, 'd', concat({part(1)}, {part(2)}), 'e', coalesce(cast(nullif({part(3)}, '') as int), 0), 't', {t})"
+        return f"case when {t} rlike {_NUMBER} then {_let(fields, shifted)} end"
+
+    return _let(text, read)
 
-def _cut(digits: Column, width: int, count: int) -> Column:
+
+def _cut(digits: str, width: int, count: int) -> str:
     """Array of the limbs of a signed digit string, the lowest first."""
     whole = width * count
 
-    def cells(d: Column) -> Column:
-        body = F.ltrim(d, F.lit("-"))
-        body = F.when(F.length(body) > whole, F.raise_error(F.concat(F.lit(f"more than {whole} digits: "), d)).cast("string")).otherwise(F.lpad(body, whole, "0"))
-        sign = F.when(d.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-        return _let(body, lambda x: F.array(*(F.substring(x, whole - width * (k + 1) + 1, width).cast("long") * sign for k in range(count))))
+    def cells(d: str) -> str:
+        body = f"trim(leading '-' from {d})"
+        body = f"case when length({body}) > {whole} then raise_error(concat('more than {whole} digits: ', {d})) else lpad({body}, {whole}, '0') end"
+        sign = f"if({d} like '-%', -1, 1)"
+        return _let(body, lambda x: f"array({', '.join(f'cast(substring({x}, {whole - width * (k + 1) + 1}, {width}) as bigint) * {sign}' for k in range(count))})")
+
+    return _let(digits, lambda d: f"case when {d} is not null then {cells(d)} end")
 
-    return _let(digits, cells)
 
+def _zeros(kind: str, n: int) -> str:
+    return ", ".join([f"cast(0 as {kind})"] * n)
 
-def _split(number: Column) -> list[Column]:
+
+def _split(number: str) -> list[str]:
     """Limbs of a decimal of 18 places; the second holds all that stands before the point."""
-    whole = F.floor(number)
-    return [((number - whole) * F.lit(10**WIDTH).cast("decimal(19,0)")).cast("decimal(19,0)"), whole.cast("decimal(28,0)")]
+    part = f"cast(pmod({number}, cast(1 as decimal(1,0))) as decimal(18,18))"
+    return [f"cast({part} * {_BASE} as decimal(28,0))", f"cast(floor({number}) as decimal(28,0))"]
+
+
+def _narrow(text: str) -> str:
+    """The number as a decimal of 18 places where it is one, exactly; else null."""
+    plain = f"length({text}) <= 38 and (instr({text}, '.') = 0 or length({text}) - instr({text}, '.') <= {PLACES}) and instr(lower({text}), 'e') = 0"
+    return f"case when {plain} then try_cast({text} as decimal(38,18)) end"
+
+
+def limb_count(kind: DataType, places: int = PLACES) -> int:
+    """Limbs that numbers of a type fill: two for those of at most 20 digits before the point."""
+    small = isinstance(kind, IntegralType) or isinstance(kind, DecimalType) and kind.scale <= WIDTH and kind.precision - kind.scale <= 20
+    return 2 if places == WIDTH and small else LIMBS
 
 
-def limbs(number: Column, kind: DataType, places: int = PLACES) -> Column:
-    """Array of ``LIMBS`` limbs of text, decimals, integers or doubles; null for null."""
-    cell = lambda x: x.cast("decimal(28,0)")
-    fill = lambda low: F.array(*map(cell, low), *[cell(F.lit(0))] * (LIMBS - len(low)))
-    wide = lambda x: F.transform(_cut(scaled(x, places), WIDTH, LIMBS), cell)
-    if places == WIDTH and isinstance(kind, DecimalType) and kind.scale <= WIDTH and kind.precision - kind.scale <= 20:
-        found = fill(_split(number.cast("decimal(38,18)")))
-    elif places == WIDTH and isinstance(kind, IntegralType):
-        found = fill([F.lit(0), number])
-    elif places == WIDTH and isinstance(kind, DoubleType | FloatType):
-        found = F.when(F.abs(number) < 1e18, fill(_split(number.cast("double").cast("decimal(38,18)")))).otherwise(wide(number.cast("string")))
-    else:
-        found = wide(number.cast("string"))
-    return F.when(number.isNotNull(), found)
+def limbs(number: str, kind: DataType, places: int = PLACES) -> str:
+    """Array of ``limb_count`` limbs of text, decimals, integers or doubles; null for null."""
+    fill = lambda low: f"array({', '.join(low)}, {_zeros('decimal(28,0)', LIMBS - len(low))})"
+    wide = lambda t: _each(_cut(scaled(t, places), WIDTH, LIMBS), lambda c: f"cast({c} as decimal(28,0))")
 
+    def found(x: str) -> str:
+        if limb_count(kind, places) == 2:
+            cells = ["cast(0 as decimal(28,0))", f"cast({x} as decimal(28,0))"] if isinstance(kind, IntegralType) else _split(f"cast({x} as decimal(38,18))")
+            return f"array({', '.join(cells)})"
+        if places == WIDTH and isinstance(kind, DoubleType | FloatType):
+            narrow = _let(f"cast(cast({x} as double) as decimal(38,18))", lambda d: fill(_split(d)))
+            return f"case when abs({x}) < 1e18 then {narrow} else {wide(f'cast({x} as string)')} end"
+        if places == WIDTH:
+            return _let(f"cast({x} as string)", lambda t: _let(_narrow(t), lambda d: f"case when {d} is not null then {fill(_split(d))} else {wide(t)} end"))
+        return wide(f"cast({x} as string)")
 
-def _carried(cells: Column, width: int) -> Column:
-    """``low``: the cells as digits of base ``10**width``, none negative; ``above``: what is left above them, -1 if the number is negative."""
-    base, zero = F.lit(10**width).cast(f"decimal({width + 1},0)"), F.lit(0).cast("decimal(38,0)")
+    return f"case when {number} is not null then {found(number) if number.startswith('`') else _let(number, found)} end"
 
-    def step(acc: Column, c: Column) -> Column:
-        x = (c + acc.above).cast("decimal(38,0)")
-        digit = F.pmod(x, base).cast("decimal(38,0)")
-        return F.struct(F.concat(acc.low, F.array(digit)).alias("low"), ((x - digit).cast("decimal(38,0)") / base).cast("decimal(38,0)").alias("above"))
 
-    start = F.struct(F.array().cast("array<decimal(38,0)>").alias("low"), zero.alias("above"))
-    return F.aggregate(F.transform(cells, lambda c: c.cast("decimal(38,0)")), start, step)
+def signed(cells: str, sign: str) -> str:
+    """Limbs times a sign: 1, -1 or 0; null for a null sign."""
+    return _let(sign, lambda s: _each(cells, lambda c: f"case when {s} > 0 then {c} when {s} < 0 then cast(-{c} as decimal(28,0)) when {s} = 0 then cast(0 as decimal(28,0)) end"))
+
+
+def _carried(cells: str) -> str:
+    """``low``: the cells as digits of base ``10**WIDTH``, none negative; ``above``: what is left above them, -1 if the number is negative."""
+    acc, c = f"v{next(_names)}", f"v{next(_names)}"
+    step = _let(
+        _whole(f"{_whole(c)} + {acc}.above"),
+        lambda x: _let(_whole(f"pmod({x}, {_BASE})"), lambda d: f"named_struct('low', concat({acc}.low, array({d})), 'above', {_whole(f'{_whole(f"{x} - {d}")} / {_BASE}')})"),
+    )
+    return f"aggregate({cells}, named_struct('low', cast(array() as array<decimal(38,0)>), 'above', {_whole('0')}), ({acc}, {c}) -> {step})"
+
+
+def _small(known: str, count: int, places: int) -> str:
+    """Text of a number whose limbs are near their digits, none of the upper ones in use, worked out without carrying; else null."""
+    n = places // WIDTH
+    near = [f"abs({known}[{k}]) < 8 * {_BASE}" for k in range(n + 1)] + [f"{known}[{k}] = 0" for k in range(n + 1, count)]
+    low = _whole(f"{known}[0]") if n == 1 else _whole(f"{known}[0] + {_whole(f'{known}[1] * {_BASE}')}")
+    one = f"cast(1{'0' * places} as decimal({places + 1},0))"
 
+    def text(low: str) -> str:
+        def made(part: str) -> str:
+            whole = _whole(f"{known}[{n}] + {_whole(f'{_whole(f"{low} - {part}")} / {one}')}")
+            shown_part = f"trim(trailing '0' from lpad(cast({part} as string), {places}, '0'))"
+            return _let(whole, lambda w: _let(shown_part, lambda p: f"case when {w} >= 0 then concat(cast({w} as string), if({p} = '', '', '.'), {p}) end"))
 
-def shown(cells: Column, count: int, places: int = PLACES, width: int = WIDTH) -> Column:
+        return _let(_whole(f"pmod({low}, {one})"), made)
+
+    return f"case when {' and '.join(near)} then {_let(low, text)} end"
+
+
+def shown(cells: str, count: int = LIMBS, places: int = PLACES) -> str:
     """Text of the number that an array of ``count`` limbs of any size and sign makes; null if the lowest is null."""
-    at = width * count - places
+    at = WIDTH * count - places
 
-    def text(found: Column, sign: Column) -> Column:
-        body = F.array_join(F.transform(F.reverse(found.low), lambda d: F.lpad(d.cast("string"), width, "0")), "")
-        body = F.when(found.above != 0, F.raise_error(F.lit(f"more than {width * count} digits")).cast("string")).otherwise(body)
+    def text(found: str, sign: str) -> str:
+        body = f"array_join({_each(f'reverse({found}.low)', lambda d: f"lpad(cast({d} as string), {WIDTH}, '0')")}, '')"
+        body = f"case when {found}.above <> 0 then raise_error('more than {WIDTH * count} digits') else {body} end"
 
-        def trimmed(b: Column) -> Column:
-            whole, part = F.ltrim(F.substring(b, 1, at), F.lit("0")), F.rtrim(F.substring(b, at + 1, places), F.lit("0"))
-            return F.concat(sign, F.when(whole == "", F.lit("0")).otherwise(whole), F.when(part == "", F.lit("")).otherwise(F.concat(F.lit("."), part)))
+        def trimmed(b: str) -> str:
+            part = f"trim(trailing '0' from substring({b}, {at + 1}, {places}))"
+            whole = f"trim(leading '0' from substring({b}, 1, {at}))"
+            return _let(part, lambda p: _let(whole, lambda w: f"concat('{sign}', if({w} = '', '0', {w}), if({p} = '', '', '.'), {p})"))
 
         return _let(body, trimmed)
 
-    def signed(known: Column) -> Column:
-        minus = _carried(known, width).above < 0
-        flipped = F.transform(known, lambda c: -c)
-        return F.when(minus, text(_carried(flipped, width), F.lit("-"))).otherwise(text(_carried(known, width), F.lit("")))
+    def general(known: str) -> str:
+        flipped = _each(known, lambda c: f"-{c}")
+        return _let(_carried(known), lambda c: f"case when {c}.above < 0 then {_let(_carried(flipped), lambda f: text(f, '-'))} else {text(c, '')} end")
 
-    def one(known: Column) -> Column:
-        return F.when(F.element_at(known, 1).isNotNull(), signed(known))
+    quick = lambda k: f"coalesce({_small(k, count, places)}, {general(k)})" if places in (WIDTH, 2 * WIDTH) and count > places // WIDTH else general(k)
+    return _let(cells, lambda k: f"case when {k}[0] is not null then {quick(k)} end")
 
-    return _let(cells, one)
 
+def filled(cells: str, count: int, kind: str = "decimal(28,0)") -> str:
+    """Limbs with zeros above them, ``LIMBS`` in all."""
+    return cells if count == LIMBS else f"concat({cells}, array({_zeros(kind, LIMBS - count)}))"
 
-def signed(cells: Column, sign: Column) -> Column:
-    """Limbs times a sign: 1, -1 or 0; null for a null sign."""
-    nothing = F.lit(0).cast("decimal(28,0)")
-    return F.transform(cells, lambda c: F.when(sign > 0, c).when(sign < 0, (-c).cast("decimal(28,0)")).when(sign == 0, nothing))
+
+def _pair(low: str, high: str) -> str:
+    """Text of two limbs that hold a decimal of 18 places, in generated code; else null."""
+    small = f"cast(1{'0' * WIDTH} as decimal(19,0))"
+    value = f"(cast({high} as decimal(18,0)) + cast({low} as decimal(18,0)) * cast(1e-18 as decimal(18,18)))"
+    return f"case when {low} is null then null when {low} = 0 and {high} = 0 then '0' when abs({low}) < {small} and abs({high}) < {small} then case when abs{value} >= 0.000001 then trim(trailing '.' from trim(trailing '0' from cast({value} as string))) end end"
 
 
-def summed(rows: DataFrame, by: list[str], amounts: dict[str, Column | tuple[Column, Column]], *others: Column, places: int = PLACES) -> DataFrame:
+def text(number: str, kind: DataType, sign: str | None = None) -> str:
+    """A number of any type, times a sign, as plain text."""
+    cells = limbs(number, kind)
+    return shown(filled(cells if sign is None else signed(cells, sign), limb_count(kind)))
+
+
+def summed(rows: DataFrame, by: list[str], amounts: dict[str, Column | str | tuple[Column | str, Column]], *others: Column, places: int = PLACES) -> DataFrame:
     """``rows`` grouped by ``by``: the exact sum of each of ``amounts`` as text, and ``others``, which are aggregates.
 
     An amount may come with its sign, a column of 1, -1 or 0.  A sum is null where no amount
     of the group is known.
     """
     pairs = {n: c if isinstance(c, tuple) else (c, None) for n, c in amounts.items()}
-    kinds = rows.select(*(c.alias(n) for n, (c, _) in pairs.items())).schema
-    cells = {n: limbs(c, kinds[n].dataType, places) for n, (c, _) in pairs.items()}
-    named = rows.select("*", *(x.alias(f"_{n}_limbs") if pairs[n][1] is None else signed(x, pairs[n][1]).alias(f"_{n}_limbs") for n, x in cells.items()))
-    sums = [F.sum(F.col(f"_{n}_limbs")[k]).alias(f"_{n}_{k}") for n in amounts for k in range(LIMBS)]
-    got = named.groupBy(*by).agg(*sums, *others)
-    dealt = {f"_{n}_{k}" for n in amounts for k in range(LIMBS)}
-    rest = [c for c in got.columns if c not in {*by, *dealt}]
-    return got.select(*by, *(shown(F.array(*(F.col(f"_{n}_{k}") for k in range(LIMBS))), LIMBS, places).alias(n) for n in amounts), *rest)
+    named = rows.withColumns({f"_{n}": F.col(c) if isinstance(c, str) else c for n, (c, _) in pairs.items()} | {f"_{n}_sign": s for n, (_, s) in pairs.items() if s is not None})
+    kinds = {n: named.schema[f"_{n}"].dataType for n in amounts}
+    count = {n: limb_count(k, places) for n, k in kinds.items()}
+    cells = {n: limbs(f"`_{n}`", k, places) for n, k in kinds.items()}
+    named = named.withColumns({f"_{n}_limbs": expr(x if pairs[n][1] is None else signed(x, f"`_{n}_sign`")) for n, x in cells.items()})
+    dealt = [(n, k, f"_{n}_{k}") for n in amounts for k in range(count[n])]
+    got = named.groupBy(*by).agg(*(expr(f"sum(`_{n}_limbs`[{k}])").alias(name) for n, k, name in dealt), *others)
+    rest = [c for c in got.columns if c not in {*by, *(name for *_, name in dealt)}]
+    total = lambda n: filled(f"array({', '.join(f'`_{n}_{k}`' for k in range(count[n]))})", count[n], "decimal(38,0)")
+    # two limbs are mostly read off at once; whatever does not fit is carried
+    shows = lambda n: f"case when `_{n}_0` is not null then {shown(total(n), LIMBS, places)} end"
+    quick = lambda n: f"coalesce({_pair(f'`_{n}_0`', f'`_{n}_1`')}, {shows(n)})" if count[n] == 2 else shows(n)
+    return got.select(*by, *(expr(quick(n)).alias(n) for n in amounts), *rest)
 
 
-def plus(a: Column, b: Column, places: int = PLACES) -> Column:
-    """Exact sum of two texts; null if either is."""
-    return shown(F.zip_with(_cut(scaled(a, places), WIDTH, LIMBS), _cut(scaled(b, places), WIDTH, LIMBS), lambda x, y: x + y), LIMBS, places)
+_STRING = DecimalType(38, 0)  # any type that takes the lane of text
 
 
-def negated(a: Column) -> Column:
-    return F.when(a == "0", a).when(a.startswith("-"), F.substring(a, 2, 1 << 20)).otherwise(F.concat(F.lit("-"), a))
+def _text_limbs(a: str, places: int) -> str:
+    return limbs(a, _STRING, places)
 
 
-def minus(a: Column, b: Column, places: int = PLACES) -> Column:
-    return plus(a, negated(b), places)
+def plus(a: str, b: str, places: int = PLACES) -> str:
+    """Exact sum of two texts; null if either is."""
+    x, y = f"v{next(_names)}", f"v{next(_names)}"
+    return shown(f"zip_with({_text_limbs(a, places)}, {_text_limbs(b, places)}, ({x}, {y}) -> {x} + {y})", LIMBS, places)
 
 
-#: Limbs of a product.
-PRODUCT = 3 * LIMBS
+def negated(a: str) -> str:
+    return _let(a, lambda x: f"case when {x} = '0' then {x} when {x} like '-%' then substring({x}, 2) else concat('-', {x}) end")
 
 
-def product_cells(a: Column, b: Column, places: int = PLACES) -> Column:
-    """Array of ``PRODUCT`` limbs of half the width of the product, ``2 * places`` after the point; sums of them over rows are exact too.
+def minus(a: str, b: str, places: int = PLACES) -> str:
+    return plus(a, negated(b), places)
+
+
+def product_limbs(a: str, b: str) -> str:
+    """Array of ``PRODUCT`` limbs of the product of two texts of ``PLACES`` places, twice as many after the point; sums of them over rows are exact too.
 
     ``a`` has up to 108 digits and ``b`` up to 54, those after the point included.
     """
-    n, m = 2 * LIMBS, LIMBS
+    n, m, kind = 2 * LIMBS, LIMBS, "decimal(34,0)"
 
-    def cells(x: Column, y: Column) -> Column:
-        total = lambda parts: sum(parts[1:], parts[0]) if parts else F.lit(0).cast("long")
-        return F.array(*(total([x[i] * y[k - i] for i in range(n) if 0 <= k - i < m]) for k in range(n + m)))
+    def wide(x: str, y: str) -> str:
+        cell = lambda k: " + ".join(f"{x}[{i}] * {y}[{k - i}]" for i in range(n) if 0 <= k - i < m) or "0"
+        pair = lambda k: f"cast(cast({cell(2 * k)} as decimal(28,0)) + cast({cell(2 * k + 1)} as decimal(20,0)) * cast(1{'0' * _HALF} as decimal(10,0)) as {kind})"
+        return f"array({', '.join(map(pair, range(PRODUCT)))})"
 
-    return _let(_cut(scaled(a, places), _HALF, n), lambda x: _let(_cut(scaled(b, places), _HALF, m), lambda y: cells(x, y)))
+    def narrow(x: str, y: str) -> str:
+        """Two limbs each, of up to 18 digits: four products, each cut in two again."""
+        by = lambda i, j: _whole(f"cast({x}[{i}] as decimal(19,0)) * cast({y}[{j}] as decimal(19,0))")
+        parts = f"array({by(0, 0)}, {_whole(f'{by(0, 1)} + {by(1, 0)}')}, {by(1, 1)})"
+        cut = _each(parts, lambda p: _let(f"pmod({p}, {_BASE})", lambda r: f"named_struct('low', {r}, 'high', cast({_whole(f'{p} - {r}')} / {_BASE} as decimal(28,0)))"))
+        cells = lambda c: [f"{c}[0].low", f"{c}[0].high + {c}[1].low", f"{c}[1].high + {c}[2].low", f"{c}[2].high"]
+        return _let(cut, lambda c: f"array({', '.join(f'cast({x} as {kind})' for x in cells(c))}, {_zeros(kind, PRODUCT - 4)})")
 
+    def made(p: str) -> str:
+        fits = lambda d: f"{d} >= 0 and {d} < {_BASE}"
+        quick = _let(f"array({', '.join(_split(f'{p}.x'))})", lambda x: _let(f"array({', '.join(_split(f'{p}.y'))})", lambda y: narrow(x, y)))
+        slow = _let(_cut(scaled(f"{p}.a"), _HALF, n), lambda x: _let(_cut(scaled(f"{p}.b"), _HALF, m), lambda y: wide(x, y)))
+        return f"case when {p}.a is null or {p}.b is null then null when {fits(f'{p}.x')} and {fits(f'{p}.y')} then {quick} else {slow} end"
 
-def times(a: Column, b: Column, places: int = PLACES) -> Column:
-    """Exact product of two texts."""
-    return shown(product_cells(a, b, places), PRODUCT, 2 * places, _HALF)
+    return f"case when {a} is not null and {b} is not null then " + _let(f"named_struct('a', {a}, 'b', {b})", lambda p: _let(f"named_struct('a', {p}.a, 'b', {p}.b, 'x', {_narrow(f'{p}.a')}, 'y', {_narrow(f'{p}.b')})", made)) + " end"
 
 
-def below_zero(a: Column) -> Column:
-    return a.startswith("-")
+def times(a: str, b: str) -> str:
+    """Exact product of two texts."""
+    return shown(product_limbs(a, b), PRODUCT, 2 * PLACES)
 
 
-def less(a: Column, b: Column, places: int = PLACES) -> Column:
-    return below_zero(minus(a, b, places))
+def less(a: str, b: str, places: int = PLACES) -> str:
+    return f"{minus(a, b, places)} like '-%'"

@@ -1,8 +1,10 @@
-"""Average-cost accounting by action group, exact in decimals.
+"""Average-cost accounting by action group, exact in text of up to 108 digits.
 
-Joins and aggregates classify every group for every asset that it moves and value what
-stands against it; what is left is one row per group and asset, and those are folded in
-order by a stream over sorted partitions that holds four numbers, however long a history.
+One exchange deals entries out by transaction.  There one aggregate makes a row per group
+and asset, and windows count what stands in its group and transaction.  What stands against
+a row is then priced at the row's time, multiplied in limbs and summed over the group, less
+the row's own.  Those rows, one per group and asset, are folded in order by a stream over
+sorted partitions that holds five numbers, however long a history.
 """
 
 from __future__ import annotations
@@ -11,83 +13,122 @@ from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Context, Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from ..functions import wide
+from ..sources.staging import stored
+from . import pricing
 
 #: Types of action and entry.
 LP_ACTIONS, STAKE_ACTIONS = ["LP_ADD", "LP_REMOVE"], ["HEX_STAKE_START", "HEX_STAKE_END", "HEX_STAKE_LOCK"]
 ACQUIRED, DISPOSED = ["RECEIVE", "SWAP_IN"], ["SEND", "SWAP_OUT"]
 
 
+def _nonzero(entries: DataFrame) -> Column:
+    q = F.col("quantity")
+    return ~q.rlike(r"^[+-]?0*\.?0*$") if entries.schema["quantity"].dataType.typeName() == "string" else q != 0
+
+
+def _group_assets(entries: DataFrame, tx: list[str]) -> DataFrame:
+    """A row per group and asset: its sums, what it is, and counts over its group and transaction."""
+    group, of = [*tx, "group_id"], F.col
+    is_in = (of("direction") == "IN") & of("entry_type").isin(ACQUIRED)
+    is_out = (of("direction") == "OUT") & of("entry_type").isin(DISPOSED)
+    is_fee, moves = of("entry_type") == "FEE", ~of("entry_type").isin("FEE", "INTERNAL_TRANSFER")
+    live = (of("entry_type") != "FEE") & _nonzero(entries)
+    side = lambda d: of("direction") == d
+    amount = lambda c: F.when(c, of("quantity"))
+    at = lambda c: F.min(F.when(c, F.struct("occurred_at", "id"))).occurred_at
+    got = wide.summed(
+        entries.repartition(*tx), [*group, "asset"],
+        {"q_in": amount(is_in), "q_out": amount(is_out), "q_fee": amount(is_fee), "s_out": amount(moves & side("OUT")), "s_in": amount(moves & side("IN")), "paid": amount(is_fee & side("OUT"))},
+        F.min(F.struct("occurred_at", "id")).alias("own_first"), F.min("action_type").alias("own_action"), F.bool_and(of("entry_type") == "INTERNAL_TRANSFER").alias("internal"),
+        F.count_if(is_in).alias("n_in"), F.count_if(is_out).alias("n_out"), F.count_if(is_fee).alias("n_fee"), at(is_in).alias("at_in"), at(is_out).alias("at_out"),
+        *(F.max(F.when(live & side(d), 1).otherwise(0)).alias(f"live_{d}") for d in ("IN", "OUT")),
+    )
+    w_group, w_tx, w_asset = Window.partitionBy(*group), Window.partitionBy(*tx), Window.partitionBy(*tx, "asset")
+    acquire, dispose = (of("n_in") > 0) & (of("n_out") == 0) & (of("n_fee") == 0), (of("n_out") > 0) & (of("n_in") == 0)
+    count = lambda d, w: F.sum(f"live_{d}").over(w)
+    # others of the transaction less those of the group and of the asset, which both leave out the row itself
+    others = {f"others_{d}": count(d, w_tx) - count(d, w_group) - count(d, w_asset) + of(f"live_{d}") for d in ("IN", "OUT")}
+    got = got.withColumns({"first": F.min("own_first").over(w_group), "action": F.min("own_action").over(w_group), **others})
+    blocked = F.when(of("action").isin(LP_ACTIONS), "UNSUPPORTED_LP_ACTION").when(of("action").isin(STAKE_ACTIONS), "UNSUPPORTED_STAKE_ACTION")
+    kind = F.when(blocked.isNotNull() | of("internal"), F.lit(None)).when(acquire, "acquire").when(dispose, "dispose")
+    got = got.withColumn("blocked", blocked).withColumn("kind", kind)
+    got = got.withColumn("at", F.when(of("kind") == "acquire", of("at_in")).when(of("kind") == "dispose", of("at_out")))
+    return got.withColumn("times", F.array_sort(F.collect_set("at").over(w_group)))
+
+
 def group_steps(entries: DataFrame, prices_at) -> DataFrame:
-    """``wallet, asset, group_id, at, id, kind, quantity, value, fees, code``: a row per group and asset it moves.
+    """``wallet, asset, group_id, first_at, first_id, kind, quantity, value, fees, code``: a row per group and asset it moves.
 
     ``entries``: ``wallet, asset, group_id, tx, id, action_type, entry_type, direction,
-    quantity (decimal), occurred_at``.  ``prices_at(legs)`` adds ``price`` to rows with
-    ``asset, at``.  ``kind`` is ``acquire``, ``dispose`` or null; ``code`` says why a group
-    has no effect, but for INSUFFICIENT_COST_BASIS, which the fold finds.
+    quantity (text or number), occurred_at``, and ``chain_id`` if there are several; a group's
+    entries are of one transaction and action.  ``prices_at(legs)`` adds ``price`` to distinct
+    rows of ``asset, at`` (and ``chain_id``).  ``kind`` is ``acquire``, ``dispose`` or null;
+    ``code`` says why a group has no effect, but for INSUFFICIENT_COST_BASIS, which the fold
+    finds.  Numbers are exact, as text.
     """
-    group, key = ["wallet", "group_id"], F.struct("occurred_at", "id")
-    is_in = (F.col("direction") == "IN") & F.col("entry_type").isin(ACQUIRED)
-    is_out = (F.col("direction") == "OUT") & F.col("entry_type").isin(DISPOSED)
-    is_fee = F.col("entry_type") == "FEE"
-    total = lambda c: F.sum(F.when(c, F.col("quantity")))
-    whole = entries.groupBy(*group).agg(F.min(key).alias("first"), F.bool_or(F.col("action_type").isin(LP_ACTIONS)).alias("lp"), F.bool_or(F.col("action_type").isin(STAKE_ACTIONS)).alias("stake"), F.min_by("action_type", "id").alias("action"), F.min_by("tx", "id").alias("tx"))
-    own = entries.groupBy(*group, "asset").agg(
-        F.bool_and(F.col("entry_type") == "INTERNAL_TRANSFER").alias("internal"), F.count_if(is_in).alias("n_in"), F.count_if(is_out).alias("n_out"), F.count_if(is_fee).alias("n_fee"),
-        total(is_in).alias("q_in"), total(is_out).alias("q_out"), total(is_fee).alias("q_fee"), F.min_by(F.when(is_in, F.col("occurred_at")), F.when(is_in, F.col("id"))).alias("at_in"), F.min_by(F.when(is_out, F.col("occurred_at")), F.when(is_out, F.col("id"))).alias("at_out"),
-    ).join(whole, group)
-    acquire, dispose = (F.col("n_in") > 0) & (F.col("n_out") == 0) & (F.col("n_fee") == 0), (F.col("n_out") > 0) & (F.col("n_in") == 0)
-    blocked = F.when(F.col("lp"), "UNSUPPORTED_LP_ACTION").when(F.col("stake"), "UNSUPPORTED_STAKE_ACTION")
-    own = own.withColumn("blocked", blocked).where("blocked is not null or not internal")
-    kind = F.when(F.col("blocked").isNotNull(), F.lit(None)).when(acquire, "acquire").when(dispose, "dispose")
-    own = own.withColumn("kind", kind).withColumn("at", F.when(F.col("kind") == "acquire", F.col("at_in")).when(F.col("kind") == "dispose", F.col("at_out")))
-    # what stands against it in its group, valued at its time
-    other = entries.select(*group, F.col("asset").alias("counter"), "entry_type", "direction", F.col("quantity").alias("q"))
-    legs = own.where("kind is not null").select(*group, F.col("asset").alias("target"), "kind", "at").join(other, group).where("counter != target")
-    source = ~F.col("entry_type").isin("FEE", "INTERNAL_TRANSFER") & (F.col("direction") == F.when(F.col("kind") == "acquire", "OUT").otherwise("IN"))
-    role = F.when((F.col("entry_type") == "FEE") & (F.col("direction") == "OUT"), "fee").when(source, "source")
-    legs = legs.withColumn("role", role).where("role is not null")
-    asked = legs.select(F.col("counter").alias("asset"), "at").distinct()
-    priced = legs.join(prices_at(asked).withColumnRenamed("asset", "counter"), ["counter", "at"], "left")
-    worth = (F.col("q").cast("decimal(28,9)") * F.col("price").cast("decimal(18,9)")).cast("decimal(38,18)")
-    of = lambda r, c: F.when(F.col("role") == r, c)
-    values = priced.groupBy(*group, F.col("target").alias("asset")).agg(
-        *(x for r in ("source", "fee") for x in (F.count(of(r, F.lit(1))).alias(f"c_{r}"), F.count(of(r, F.col("price"))).alias(f"p_{r}"), F.sum(of(r, worth)).alias(f"v_{r}")))
-    )
-    # siblings: entries of the transaction less those of the group and of the asset, counted, not paired
-    live = entries.where((F.col("entry_type") != "FEE") & (F.col("quantity") != 0)).groupBy("wallet", "tx", "direction", "group_id", "asset").agg(F.lit(1).alias("one"))
-    tx_n = live.groupBy("wallet", "tx", "direction").agg(F.count("*").alias("n_tx"))
-    grp_n = live.groupBy("wallet", "tx", "direction", "group_id").agg(F.count("*").alias("n_group"))
-    ast_n = live.groupBy("wallet", "tx", "direction", "asset").agg(F.count("*").alias("n_asset"))
-    step = own.join(values, [*group, "asset"], "left").withColumn("direction", F.when(F.col("kind") == "acquire", "OUT").when(F.col("kind") == "dispose", "IN"))
-    step = step.join(tx_n, ["wallet", "tx", "direction"], "left").join(grp_n, ["wallet", "tx", "direction", "group_id"], "left").join(ast_n, ["wallet", "tx", "direction", "asset"], "left")
-    step = step.join(live.withColumnRenamed("one", "n_both"), ["wallet", "tx", "direction", "group_id", "asset"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    sibling = zero("n_tx") - zero("n_group") - zero("n_asset") + zero("n_both") > 0
+    tx = [*(["chain_id"] if "chain_id" in entries.columns else []), "wallet", "tx"]
+    key = [c for c in tx if c == "chain_id"] + ["asset", "at"]
+    own = stored(_group_assets(entries, tx), "group-assets")
+    # a row for each time at which its group asks for prices: one, as a transaction has one time
+    each = own.where("blocked is not null or kind is not null or not internal or size(times) > 0")
+    each = each.withColumnRenamed("at", "own_at").select("*", F.posexplode_outer("times").alias("place", "at"))
+    parts = {"out": ("s_out", F.col("s_out").isNotNull()), "in": ("s_in", F.col("s_in").isNotNull()), "fee": ("paid", F.col("paid").isNotNull())}
+    asked = each.where("at is not null and (s_out is not null or s_in is not null or paid is not null)").select(*key).distinct()
+    price = prices_at(asked)
+    price = price.withColumn("price", F.col("price").cast("string"))
+    priced = each.join(price, key, "left").repartition(*tx)
+    w = Window.partitionBy(*tx, "group_id", "at")
+    priced = priced.withColumns({f"w_{n}": wide.expr(wide.product_limbs(column, "price")) for n, (column, _) in parts.items()})
+    sums = {}
+    for name, (_, there) in parts.items():
+        lacks = there & F.col("price").isNull()
+        sums |= {f"c_{name}": F.count_if(there).over(w) - there.cast("long"), f"gap_{name}": F.count_if(lacks).over(w) - lacks.cast("long")}
+        sums |= {f"v_{name}_{k}": F.sum(F.col(f"w_{name}")[k]).over(w) for k in range(wide.PRODUCT)}
+    step = priced.withColumns(sums).where("case when kind is null then place is null or place = 0 else at = own_at end and not (internal and blocked is null)")
+    by_kind = lambda a, b: F.when(F.col("kind") == "acquire", a).when(F.col("kind") == "dispose", b)
+    sources, gaps = by_kind(F.col("c_out"), F.col("c_in")), by_kind(F.col("gap_out"), F.col("gap_in")) + F.col("gap_fee")
     higher = F.col("action").isin("SWAP", *LP_ACTIONS, *STAKE_ACTIONS)
-    unpriced = (zero("c_source") > zero("p_source")) | (zero("c_fee") > zero("p_fee"))
+    sibling = by_kind(F.col("others_OUT"), F.col("others_IN")) > 0
     code = (
         F.when(F.col("blocked").isNotNull(), F.col("blocked")).when(F.col("kind").isNull(), "UNSUPPORTED_ACTION_GROUP")
-        .when((zero("c_source") == 0) & ~higher & sibling, "UNRESOLVED_ECONOMIC_COUPLING").when(unpriced, "COUNTER_ASSET_PRICE_UNAVAILABLE")
+        .when((sources == 0) & ~higher & sibling, "UNRESOLVED_ECONOMIC_COUPLING").when(gaps > 0, "COUNTER_ASSET_PRICE_UNAVAILABLE")
     )
-    quantity = F.when(F.col("kind") == "acquire", F.col("q_in")).when(F.col("kind") == "dispose", F.col("q_out") + zero("q_fee"))
-    money = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(38,18)")
-    return step.select("wallet", "asset", "group_id", F.col("first.occurred_at").alias("first_at"), F.col("first.id").alias("first_id"), "kind", quantity.cast("decimal(38,18)").alias("quantity"), money("v_source").alias("value"), money("v_fee").alias("fees"), code.alias("code"))
+    # the sums of the group less the row's own
+    cells = lambda n: "array(" + ", ".join(f"coalesce(v_{n}_{k}, 0) - coalesce(w_{n}[{k}], 0)" for k in range(wide.PRODUCT)) + ")"
+    side = f"case when kind = 'acquire' then {cells('out')} else {cells('in')} end"
+    money = lambda c, n: wide.expr(f"case when kind is null or {n} = 0 then '0' else {wide.shown(c, wide.PRODUCT, 2 * wide.PLACES)} end")
+    quantity = wide.expr(f"case kind when 'acquire' then q_in when 'dispose' then if(q_fee is null, q_out, {wide.plus('q_out', 'q_fee')}) end")
+    return step.select("wallet", "asset", "group_id", F.col("first.occurred_at").alias("first_at"), F.col("first.id").alias("first_id"), "kind", quantity.alias("quantity"), money(side, "if(kind = 'acquire', c_out, c_in)").alias("value"), money(cells("fee"), "c_fee").alias("fees"), code.alias("code"))
+
+
+_NUMBERS = ["holdings", "average_cost", "realized", "acquired", "disposed"]
+_RESULT = "wallet {w}, asset {a}, " + ", ".join(f"{c} string" for c in _NUMBERS) + ", codes array<string>"
+#: 40 significant digits, halves up.
+_EXACT = Context(prec=40, rounding=ROUND_HALF_UP)
 
 
-_RESULT = "wallet {w}, asset {a}, holdings decimal(38,18), average_cost decimal(38,18), realized decimal(38,18), acquired decimal(38,18), disposed decimal(38,18), codes array<string>"
+def plain(x: Decimal) -> str:
+    """A decimal as text without an exponent and without needless zeros."""
+    text = f"{x:f}"
+    text = text.rstrip("0").rstrip(".") if "." in text else text
+    return "0" if text in ("-0", "") else text
 
 
 def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Steps of one key after the other, each in order; 40 digits, halves up."""
-    exact, scale = Context(prec=40, rounding=ROUND_HALF_UP), Decimal(1).scaleb(-18)
+    """Steps of one key after the other, each in order."""
+    exact = _EXACT
     key, state, out = None, None, []
+    columns = ["wallet", "asset", *_NUMBERS, "codes"]
 
     def close():
         h, cost, realized, got, gone, codes = state
         mean = exact.divide(cost, h) if h else Decimal(0)
-        out.append((*key, *(exact.quantize(x, scale) for x in (h, mean, realized, got, gone)), sorted(codes)))
+        out.append((*key, *map(plain, (h, mean, realized, got, gone)), sorted(codes)))
 
     for frame in frames:
         for wallet, asset, kind, q, value, fees, code in zip(*(frame[c] for c in ("wallet", "asset", "kind", "quantity", "value", "fees", "code")), strict=True):
@@ -95,26 +136,27 @@ def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if key is not None:
                     close()
                 key, state = (wallet, asset), [*[Decimal(0)] * 5, set()]
+            q = Decimal(q) if q is not None else None
             if kind == "dispose" and q > state[0]:
                 state[5].add("INSUFFICIENT_COST_BASIS")
             elif code is not None:
                 state[5].add(code)
             elif kind == "acquire":
-                state[0], state[1], state[3] = exact.add(state[0], q), exact.add(exact.add(state[1], value), fees), exact.add(state[3], q)
+                state[0], state[1], state[3] = exact.add(state[0], q), exact.add(exact.add(state[1], Decimal(value)), Decimal(fees)), exact.add(state[3], q)
             else:
                 cost = exact.multiply(exact.divide(state[1], state[0]) if state[0] else Decimal(0), q)
                 state[0], state[1], state[4] = exact.subtract(state[0], q), exact.subtract(state[1], cost), exact.add(state[4], q)
-                state[2] = exact.add(state[2], exact.subtract(exact.subtract(value, fees), cost))
+                state[2] = exact.add(state[2], exact.subtract(exact.subtract(Decimal(value), Decimal(fees)), cost))
         if out:
-            yield pd.DataFrame(out, columns=["wallet", "asset", "holdings", "average_cost", "realized", "acquired", "disposed", "codes"])
+            yield pd.DataFrame(out, columns=columns)
             out.clear()
     if key is not None:
         close()
-        yield pd.DataFrame(out, columns=["wallet", "asset", "holdings", "average_cost", "realized", "acquired", "disposed", "codes"])
+        yield pd.DataFrame(out, columns=columns)
 
 
 def folded(steps: DataFrame) -> DataFrame:
-    """Holdings, average cost, realised profit, totals and warning codes per wallet and asset.
+    """Holdings, average cost, realised profit, totals (text) and warning codes per wallet and asset.
 
     A key's steps depend on each other, so one task folds them; it reads them as a stream
     sorted by Spark, so memory does not grow with the key.
@@ -124,13 +166,32 @@ def folded(steps: DataFrame) -> DataFrame:
     return ordered.select("wallet", "asset", "kind", "quantity", "value", "fees", "code").mapInPandas(_fold, _RESULT.format(w=kinds["wallet"], a=kinds["asset"]))
 
 
+@F.pandas_udf(StringType())
+def _gain(mark: pd.Series, cost: pd.Series, holdings: pd.Series) -> pd.Series:
+    """What holdings would bring at a price above their average cost."""
+    one = lambda m, c, h: None if m is None else plain(_EXACT.multiply(_EXACT.subtract(Decimal(m), Decimal(c)), Decimal(h)))
+    return pd.Series([one(*row) for row in zip(mark, cost, holdings, strict=True)], dtype=object)
+
+
 def marked(positions: DataFrame, marks: DataFrame) -> DataFrame:
     """With the price of today: unrealised profit, null without a price, and its warning."""
-    got = positions.join(marks.select("asset", F.col("price").alias("mark")), "asset", "left")
-    gain = ((F.col("mark").cast("decimal(19,9)") - F.col("average_cost").cast("decimal(28,9)")).cast("decimal(19,9)") * F.col("holdings").cast("decimal(18,9)")).cast("decimal(38,18)")
+    got = positions.join(marks.select("asset", F.col("price").cast("string").alias("mark")), "asset", "left")
     codes = F.when(F.col("mark").isNull(), F.array_append("codes", F.lit("MARK_PRICE_UNAVAILABLE"))).otherwise(F.col("codes"))
-    return got.select("wallet", "asset", "holdings", "average_cost", "realized", gain.alias("unrealized"), "mark", "acquired", "disposed", codes.alias("codes"))
+    return got.select("wallet", "asset", "holdings", "average_cost", "realized", _gain("mark", "average_cost", "holdings").alias("unrealized"), "mark", "acquired", "disposed", codes.alias("codes"))
 
 
 def profit(entries: DataFrame, prices_at, marks: DataFrame) -> DataFrame:
     return marked(folded(group_steps(entries, prices_at)), marks)
+
+
+def priced_profit(entries: DataFrame, prices: DataFrame, now: Column, quote: str, least: float = 0.5, own_quote: str | None = None, width_s: int = 86_400) -> DataFrame:
+    """Profit with every leg and mark priced from stored observations ``chain_id, asset, quote, ...`` in one quote.
+
+    Entries carry ``chain_id``.  A price that is disabled, assumed, stale or unsure at a leg's
+    time does not count; a group that lacks one has no effect and leaves its code.
+    """
+    by = ("chain_id", "asset")
+    prices_at = pricing.resolver(prices, quote, least, own_quote, by, width_s)
+    positions = folded(group_steps(entries, prices_at))
+    assets = entries.select("chain_id", "asset").distinct().withColumn("at", now)
+    return marked(positions, prices_at(assets).groupBy("asset").agg(F.max("price").alias("price")))

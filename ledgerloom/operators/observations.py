@@ -182,8 +182,9 @@ def live_valuation(assets: DataFrame) -> DataFrame:
     """
     text = lambda c: F.col(c).cast("decimal(38,18)").cast("string") if assets.schema[c].dataType.typeName() in ("double", "float") else F.col(c).cast("string")
     # a raw integer has its point moved by its decimals, which an exponent says
-    amount = F.concat(text("raw"), F.lit("e-"), F.col("decimals").cast("string"))
-    got = wide.summed(assets.withColumn("_value", wide.times(amount, text("price"))), ["wallet"], {"total_value": F.col("_value")}, F.count("*").alias("assets"), F.count("price").alias("valued"), places=2 * wide.PLACES)
+    rows = assets.withColumns({"_amount": F.concat(text("raw"), F.lit("e-"), F.col("decimals").cast("string")), "_price": text("price")})
+    rows = rows.withColumn("_value", wide.expr(wide.times("_amount", "_price")))
+    got = wide.summed(rows, ["wallet"], {"total_value": "_value"}, F.count("*").alias("assets"), F.count("price").alias("valued"), places=2 * wide.PLACES)
     status = F.when(F.col("valued") == F.col("assets"), "available").when(F.col("valued") == 0, "unavailable").otherwise("partial")
     return got.select("wallet", "assets", "valued", "total_value", status.alias("status"))
 

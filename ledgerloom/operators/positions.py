@@ -27,17 +27,18 @@ def token_balances(entries: DataFrame, by: list[str] | None = None) -> DataFrame
     """
     by = by or ["wallet", "asset"]
     sums = wide.summed(entries, by, {"balance": (F.col("quantity"), sign(SIGNS))}).where("balance != '0'")
-    return sums.withColumn("warning", F.when(wide.below_zero(F.col("balance")), F.concat_ws(":", F.lit("negative-token-balance"), "asset", "balance")))
+    return sums.withColumn("warning", F.when(F.col("balance").startswith("-"), F.concat_ws(":", F.lit("negative-token-balance"), "asset", "balance")))
 
 
 def _liquidity_groups(entries: DataFrame, group: str, order: list[str]) -> DataFrame:
     """Each action's LP leg (that of an addition, else of a removal), its sum, and the other legs by asset."""
     lp_in, lp_out = F.col("entry_type") == "LP_ADD_IN", F.col("entry_type") == "LP_REMOVE_OUT"
     kind = F.when(F.col("entry_type").isin("LP_ADD_OUT", "LP_REMOVE_IN"), -sign(SIGNS))
-    text = wide.shown(wide.signed(wide.limbs(F.col("quantity"), entries.schema["quantity"].dataType), kind), wide.LIMBS)
-    other = F.when(kind.isNotNull(), F.struct("asset", text.alias("quantity")))
+    rows = entries.where(F.col("entry_type").startswith("LP_")).withColumn("_kind", kind)
+    rows = rows.withColumn("_text", wide.expr(wide.text("quantity", entries.schema["quantity"].dataType, "_kind")))
+    other = F.when(F.col("_kind").isNotNull(), F.struct("asset", F.col("_text").alias("quantity")))
     return wide.summed(
-        entries.where(F.col("entry_type").startswith("LP_")), ["wallet", group],
+        rows, ["wallet", group],
         {"lp": (F.when(lp_in | lp_out, F.col("quantity")), sign(SIGNS))},
         F.coalesce(F.min(F.when(lp_in, F.col("asset"))), F.min(F.when(lp_out, F.col("asset")))).alias("lp_asset"),
         F.array_sort(F.collect_list(other)).alias("legs"),  # of one action

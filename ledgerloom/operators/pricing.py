@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SOURCE_PRIORITY
+from ..functions.states import quote_unverified
 
 
 def source_rank(source: Column) -> Column:
@@ -15,13 +16,26 @@ def source_rank(source: Column) -> Column:
     return out.otherwise(0)
 
 
-def reject_reason(at: Column, least: float) -> Column:
-    """First reason against an observation at a time; later observations are eligible."""
-    return (
-        F.when(~F.col("source_type").isin(*SOURCE_PRIORITY), "SOURCE_DISABLED")
-        .when(F.unix_micros("observed_at") + F.col("stale_after_seconds").cast("long") * 1_000_000 < F.unix_micros(at), "STALE")
-        .when(F.col("confidence") < least, "LOW_CONFIDENCE")
-    )
+def _expiry() -> Column:
+    return F.unix_micros("observed_at") + F.col("stale_after_seconds").cast("long") * 1_000_000
+
+
+def reject_reason(at: Column | None, least: float, own_quote: str | None = None) -> Column:
+    """First reason against an observation at a time (at any time, if none is given); later observations are eligible.
+
+    With ``own_quote``, the quote asset of the routes, observations that assume its parity
+    are refused by ``source_id`` and ``quote``.
+    """
+    rules = [(~F.col("source_type").isin(*SOURCE_PRIORITY), "SOURCE_DISABLED")]
+    if own_quote is not None:
+        rules.append((F.coalesce(quote_unverified(F.col("source_id"), F.col("quote"), own_quote.lower()), F.lit(False)), "UNVERIFIED_QUOTE_ASSUMPTION"))
+    if at is not None:
+        rules.append((_expiry() < F.unix_micros(at), "STALE"))
+    rules.append((F.col("confidence") < least, "LOW_CONFIDENCE"))
+    out = F.when(*rules[0])
+    for rule in rules[1:]:
+        out = out.when(*rule)
+    return out
 
 
 def series(prices: DataFrame, chain: int, asset, quote: str) -> DataFrame:
@@ -35,30 +49,50 @@ def _rank(prices: DataFrame) -> Column:
     return F.struct(source_rank(F.col("source_type")).alias("s"), "confidence", "observed_at", liquidity.alias("l"), (-F.col("price_id")).alias("i"), "price_id", "price")
 
 
-def best_prices(legs: DataFrame, prices: DataFrame, least: float = 0.5, strict: bool = False, width_s: int = 86_400) -> DataFrame:
-    """The best eligible observation for every leg ``leg, asset, at``; null where there is none.
+def best_prices(
+    legs: DataFrame, prices: DataFrame, least: float = 0.5, strict: bool = False, width_s: int = 86_400, by: tuple[str, ...] = ("asset",), own_quote: str | None = None
+) -> DataFrame:
+    """The best eligible observation for every leg ``leg, *by, at``; null where there is none.
 
-    An observation after ``at`` counts unless ``strict``; only the time at which it goes
-    stale bounds it.  Legs and observations of an asset then stand in one order, by time and
-    expiry, and a running maximum finds the best: no leg meets every observation.  With both
-    bounds, observations meet legs in spans of ``width_s`` seconds that their validity touches.
+    ``by`` is what leg and observation share, such as chain, asset and quote.  An observation
+    after ``at`` counts unless ``strict``; only the time at which it goes stale bounds it.  So
+    the best for a leg is a maximum over all that expire later.  It is found on two levels: time
+    is cut into chunks of ``width_s`` seconds, and each (asset, chunk) is sorted alone for its
+    running maximum, so a hot asset is as many tasks' as it has chunks; the best of each chunk,
+    which Spark combines before the shuffle, is carried to the chunks before it.  No leg meets
+    every observation.  With both bounds, observations meet legs in the chunks that their
+    validity touches.
     """
-    ok = prices.where(F.col("source_type").isin(*SOURCE_PRIORITY) & (F.col("confidence") >= least))
-    expiry = F.unix_micros("observed_at") + F.col("stale_after_seconds").cast("long") * 1_000_000
-    ok = ok.select("asset", _rank(ok).alias("rank"), F.unix_micros("observed_at").alias("since"), expiry.alias("until"))
-    asked = legs.select("leg", "asset", "at", F.unix_micros("at").alias("t"))
+    by, cell = list(by), lambda c: F.floor(c / (width_s * 1_000_000)).cast("long")
+    ok = prices.where(reject_reason(None, least, own_quote).isNull())
+    ok = ok.select(*by, _rank(ok).alias("rank"), F.unix_micros("observed_at").alias("since"), _expiry().alias("until"))
+    asked = legs.select("leg", *by, F.unix_micros("at").alias("t"))
     if strict:
-        width = width_s * 1_000_000
-        cell = lambda c: F.floor(F.col(c) / width).cast("long")
-        spread = ok.select("*", F.explode(F.sequence(cell("since"), cell("until"))).alias("cell"))
-        got = asked.withColumn("cell", cell("t")).join(spread, ["asset", "cell"]).where("since <= t and t <= until").groupBy("leg").agg(F.max("rank").alias("best"))
-        return legs.join(got, "leg", "left").select("leg", "asset", F.col("best.price_id").alias("price_id"), F.col("best.price").alias("price"))
+        spread = ok.select("*", F.explode(F.sequence(cell(F.col("since")), cell(F.col("until")))).alias("cell"))
+        got = asked.withColumn("cell", cell(F.col("t"))).join(spread, [*by, "cell"]).where("since <= t and t <= until").groupBy("leg").agg(F.max("rank").alias("best"))
+        return legs.join(got, "leg", "left").select("leg", *by, F.col("best.price_id").alias("price_id"), F.col("best.price").alias("price"))
     kind = ok.schema["rank"].dataType
-    rows = asked.select("leg", "asset", F.col("t").alias("key"), F.lit(1).alias("asks"), F.lit(None).cast(kind).alias("rank"))
-    rows = rows.unionByName(ok.select(F.lit(None).cast(legs.schema["leg"].dataType).alias("leg"), "asset", F.col("until").alias("key"), F.lit(0).alias("asks"), "rank"))
-    w = Window.partitionBy("asset").orderBy(F.desc("key"), "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    got = rows.withColumn("best", F.max("rank").over(w)).where("asks = 1")
-    return got.select("leg", "asset", F.col("best.price_id").alias("price_id"), F.col("best.price").alias("price"))
+    rows = asked.select("leg", *by, F.col("t").alias("key"), F.lit(1).alias("asks"), F.lit(None).cast(kind).alias("rank"))
+    rows = rows.unionByName(ok.select(F.lit(None).cast(legs.schema["leg"].dataType).alias("leg"), *by, F.col("until").alias("key"), F.lit(0).alias("asks"), "rank")).withColumn("cell", cell(F.col("key")))
+    later = Window.partitionBy(*by).orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*by, "cell").agg(F.max("rank").alias("best")).select(*by, "cell", F.max("best").over(later).alias("carried"))
+    inside = Window.partitionBy(*by, "cell").orderBy(F.desc("key"), "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    got = rows.withColumn("best", F.max("rank").over(inside)).where("asks = 1").join(carried, [*by, "cell"], "left")
+    best = F.greatest("best", "carried")
+    return got.select("leg", *by, best.price_id.alias("price_id"), best.price.alias("price"))
+
+
+def resolver(prices: DataFrame, quote: str, least: float = 0.5, own_quote: str | None = None, by: tuple[str, ...] = ("asset",), width_s: int = 86_400):
+    """A function that adds ``price``, as text, to distinct rows of ``*by, at``, from the stored observations in one quote."""
+    stored = prices.where(F.col("quote") == quote)
+
+    def prices_at(asked: DataFrame) -> DataFrame:
+        legs = asked.select(F.struct(*by, "at").alias("leg"), *by, "at")
+        got = best_prices(legs, stored, least, by=by, width_s=width_s, own_quote=own_quote)
+        text = F.col("price").cast("decimal(38,18)").cast("string") if stored.schema["price"].dataType.typeName() in ("double", "float") else F.col("price").cast("string")
+        return got.select(*by, F.col("leg.at").alias("at"), text.alias("price"))
+
+    return prices_at
 
 
 def pricing_status(sources: DataFrame, prices: DataFrame, now: Column, least: float = 0.5) -> DataFrame:

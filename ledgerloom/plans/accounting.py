@@ -57,13 +57,34 @@ def _steps(spark, sf) -> DataFrame:
     return accounting.group_steps(entries(spark, sf), lambda legs: legs.withColumn("price", _price(F.col("asset"))))
 
 
+#: Page views as observations of the brands on a chain, in two quotes, over the years of the trades; the last go stale before the last trades.
+SERIES = """obs AS (SELECT event_id AS id, 'Brand#' || (user_id % 5 + 1) || (user_id // 5 % 5 + 1) AS asset, floor(value * 100)::BIGINT / 100.0 AS price, ['ONCHAIN_POOL', 'ONCHAIN_ROUTE', 'ORACLE', 'MANUAL', 'DEXSCREENER'][event_id % 5 + 1] AS source_type, (event_id % 100) / 100 AS confidence,
+  TIMESTAMP '1992-01-01' + to_days((event_id * 7919 % 1900)::INT) AS observed_at, CASE WHEN event_id % 13 = 0 THEN 'chain:369:erc20:0xown' ELSE 'fiat:usd' END AS quote,
+  CASE WHEN event_id % 7 = 0 THEN 'pulsex:pulsex_v2:route:x' WHEN event_id % 11 = 0 THEN 'pulsex:pdai:par' ELSE 'x' END AS source_id FROM events WHERE event_type = 'view'),
+fit AS (SELECT * FROM obs WHERE quote = 'fiat:usd' AND source_type <> 'DEXSCREENER' AND source_id = 'x' AND confidence >= 0.5),
+need AS (SELECT DISTINCT asset, occ FROM e UNION SELECT DISTINCT asset, TIMESTAMP '1997-03-01' FROM e),
+m AS (SELECT need.asset, occ, price FROM need JOIN fit ON need.asset = fit.asset AND observed_at + INTERVAL 60 DAY >= occ
+  QUALIFY row_number() OVER (PARTITION BY need.asset, occ ORDER BY CASE source_type WHEN 'ONCHAIN_POOL' THEN 5 WHEN 'ONCHAIN_ROUTE' THEN 4 WHEN 'ORACLE' THEN 3 ELSE 2 END DESC, confidence DESC, observed_at DESC, id) = 1)"""
+
+
+def observations(spark, sf) -> DataFrame:
+    names = F.array(*(F.lit(k) for k in ("ONCHAIN_POOL", "ONCHAIN_ROUTE", "ORACLE", "MANUAL", "DEXSCREENER")))
+    k, user = F.col("event_id"), F.col("user_id")
+    day = (k * 7919 % 1900).cast("int")
+    return read(spark, sf, "events").where("event_type = 'view'").select(
+        k.alias("price_id"), F.lit(369).alias("chain_id"), F.concat(F.lit("Brand#"), user % 5 + 1, F.floor(user / 5) % 5 + 1).alias("asset"), (F.floor(F.col("value") * 100).cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias("price"),
+        F.element_at(names, (k % 5 + 1).cast("int")).alias("source_type"), (k % 100 / 100).alias("confidence"), F.date_add(F.lit("1992-01-01").cast("date"), day).cast("timestamp").alias("observed_at"), F.lit(60 * 86_400).alias("stale_after_seconds"),
+        F.when(k % 13 == 0, "chain:369:erc20:0xown").otherwise("fiat:usd").alias("quote"), F.when(k % 7 == 0, "pulsex:pulsex_v2:route:x").when(k % 11 == 0, "pulsex:pdai:par").otherwise("x").alias("source_id"),
+    )
+
+
 @_query(_STEPS + "SELECT wallet, asset, kind, code, count(*) AS steps, round(sum(q), 4) AS quantity, round(sum(CASE WHEN kind IS NULL THEN 0 ELSE v END)::DOUBLE, 4) AS value, round(sum(CASE WHEN kind IS NULL THEN 0 ELSE f END)::DOUBLE, 4) AS fees FROM step GROUP BY ALL")
 def group_steps(spark, sf):
     money = lambda c: F.round(F.sum(c).cast("double"), 4).alias(c)
     return _steps(spark, sf).groupBy("wallet", "asset", "kind", "code").agg(F.count("*").alias("steps"), money("quantity"), money("value"), money("fees"))
 
 
-@_query(_STEPS + """, seq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY wallet, asset ORDER BY first) AS rn FROM step),
+_FOLD = """, seq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY wallet, asset ORDER BY first) AS rn FROM step),
 fold AS (SELECT wallet, asset, 0::BIGINT AS rn, 0.0::DOUBLE AS h, 0.0::DOUBLE AS c, 0.0::DOUBLE AS r, 0.0::DOUBLE AS got, 0.0::DOUBLE AS gone, []::VARCHAR[] AS codes FROM seq WHERE rn = 1
   UNION ALL SELECT p.wallet, p.asset, x.rn,
     CASE WHEN x.kind = 'dispose' AND x.q > p.h THEN p.h WHEN x.code IS NOT NULL THEN p.h WHEN x.kind = 'acquire' THEN p.h + x.q ELSE p.h - x.q END,
@@ -73,10 +94,28 @@ fold AS (SELECT wallet, asset, 0::BIGINT AS rn, 0.0::DOUBLE AS h, 0.0::DOUBLE AS
     list_distinct(p.codes || CASE WHEN x.kind = 'dispose' AND x.q > p.h THEN ['INSUFFICIENT_COST_BASIS'] WHEN x.code IS NOT NULL THEN [x.code] ELSE [] END)
   FROM fold p JOIN seq x ON p.wallet = x.wallet AND p.asset = x.asset AND x.rn = p.rn + 1),
 last AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY wallet, asset ORDER BY rn DESC) = 1)
-SELECT wallet, asset, round(h, 4) AS holdings, round(CASE WHEN h > 0 THEN c / h ELSE 0 END, 3) AS average_cost, round(r, 3) AS realized, round(CASE WHEN asset <> 'Brand#55' THEN (10 - CASE WHEN h > 0 THEN c / h ELSE 0 END) * h END, 3) AS unrealized, round(got, 4) AS acquired, round(gone, 4) AS disposed,
-  array_to_string(list_sort(codes) || CASE WHEN asset = 'Brand#55' THEN ['MARK_PRICE_UNAVAILABLE'] ELSE [] END, ',') AS codes FROM last""")
+SELECT wallet, asset, round(h, 4) AS holdings, round(CASE WHEN h > 0 THEN c / h ELSE 0 END, 3) AS average_cost, round(r, 3) AS realized, round((mark - CASE WHEN h > 0 THEN c / h ELSE 0 END) * h, 3) AS unrealized, round(got, 4) AS acquired, round(gone, 4) AS disposed,
+  array_to_string(list_sort(codes) || CASE WHEN mark IS NULL THEN ['MARK_PRICE_UNAVAILABLE'] ELSE [] END, ',') AS codes FROM last LEFT JOIN marks USING (asset)"""
+_CONSTANT_MARKS = ", marks AS (SELECT DISTINCT asset, 10 AS mark FROM t WHERE asset <> 'Brand#55')"
+
+
+def _shown(got):
+    number = lambda c, n: F.round(F.col(c).cast("double"), n).alias(c)
+    return got.select("wallet", "asset", number("holdings", 4), number("average_cost", 3), number("realized", 3), number("unrealized", 3), number("acquired", 4), number("disposed", 4), F.array_join("codes", ",").alias("codes"))
+
+
+@_query(_STEPS + _CONSTANT_MARKS + _FOLD)
 def pnl_action_groups(spark, sf):
     marks = read(spark, sf, "part").select(F.col("p_brand").alias("asset")).distinct().where("asset != 'Brand#55'").withColumn("price", F.lit(10).cast("decimal(38,18)"))
     got = accounting.marked(accounting.folded(_steps(spark, sf)), marks)
-    number = lambda c, n: F.round(F.col(c).cast("double"), n).alias(c)
-    return got.select("wallet", "asset", number("holdings", 4), number("average_cost", 3), number("realized", 3), number("unrealized", 3), number("acquired", 4), number("disposed", 4), F.array_join("codes", ",").alias("codes"))
+    return _shown(got)
+
+
+_PRICED = _STEPS.replace("t AS (SELECT *,", SERIES + ",\nt AS (SELECT e.*,", 1).replace("CASE WHEN asset <> 'Brand#55' THEN substr(asset, 7)::INT / 4.0 END AS price FROM e)", "price FROM e LEFT JOIN m USING (asset, occ))", 1)
+
+
+@_query(_PRICED + ", marks AS (SELECT asset, price AS mark FROM m WHERE occ = TIMESTAMP '1997-03-01')" + _FOLD)
+def pnl_priced(spark, sf):
+    """Profit with all legs and marks priced from the stored series, by chain, asset and quote."""
+    rows = entries(spark, sf).withColumn("chain_id", F.lit(369)).withColumn("occurred_at", F.col("occurred_at").cast("timestamp"))
+    return _shown(accounting.priced_profit(rows, observations(spark, sf), F.lit("1997-03-01").cast("timestamp"), "fiat:usd", own_quote="chain:369:erc20:0xown", width_s=30 * 86_400))

@@ -23,7 +23,8 @@ def profit(spark, rows, mark=None, prices=None):
     table = spark.createDataFrame([(a, Decimal(p)) for a, p in (prices if prices is not None else {PLS: 1}).items()], "asset string, price decimal(38,18)")
     marks = spark.createDataFrame([(T, Decimal(mark))] if mark is not None else [], "asset string, price decimal(38,18)")
     got = accounting.profit(entries, lambda legs: legs.join(table, "asset", "left"), marks).where(F.col("asset") == T).first()
-    return got
+    number = lambda x: x if x is None or isinstance(x, list) else Decimal(x)  # noqa: E731  numbers are text
+    return {c: number(got[c]) for c in got.__fields__ if c not in ("wallet", "asset")}
 
 
 def swap(asset, q, pay, n, h, sell=False):

@@ -61,7 +61,7 @@ def test_doubles_beyond_20_digits_do_not_stop_the_job(spark):
 def test_exponents_and_forms(spark):
     rows = [("1e21", "1" + "0" * 21), ("1.5E+3", "1500"), ("-2e-3", "-0.002"), (".5", "0.5"), ("5.", "5"), ("+7", "7"), ("-0", "0"), ("-0.000", "0"), ("007", "7"), ("x", None), ("", None), ("1.2.3", None), ("1.0000000000000000000000", "1")]
     df = spark.createDataFrame(rows, "t string, want string").repartition(2)
-    assert all(r["got"] == r["want"] for r in df.withColumn("got", wide.plus(F.col("t"), F.lit("0"))).collect())
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", wide.expr(wide.plus("t", "'0'"))).collect())
 
 
 def test_lost_places_and_digits_are_errors(spark):
@@ -73,7 +73,7 @@ def test_lost_places_and_digits_are_errors(spark):
 def test_sums_differences_products_and_order_of_pairs(spark):
     a, b, c = numbers(300, 78), numbers(300, 78, seed=6), numbers(300, 30, seed=7)
     df = spark.createDataFrame(list(zip(a, b, c, strict=True)), "a string, b string, c string")
-    got = df.select("*", wide.plus(F.col("a"), F.col("b")).alias("s"), wide.minus(F.col("a"), F.col("b")).alias("d"), wide.times(F.col("a"), F.col("c")).alias("p"), wide.less(F.col("a"), F.col("b")).alias("l"))
+    got = df.select("*", *(wide.expr(x).alias(n) for n, x in (("s", wide.plus("a", "b")), ("d", wide.minus("a", "b")), ("p", wide.times("a", "c")), ("l", wide.less("a", "b")))))
     for r in got.collect():
         x, y, z = Decimal(r["a"]), Decimal(r["b"]), Decimal(r["c"])
         assert (r["s"], r["d"], r["p"], r["l"]) == (plain(x + y), plain(x - y), plain(x * z), x < y)
