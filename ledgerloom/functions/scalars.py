@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 
 #: Fixed values of the ledger's vocabulary.
 LP_TYPES = ["LP_ADD", "LP_REMOVE"]
-STAKE_TYPES = ["HEX_STAKE_START", "HEX_STAKE_END", "STAKE_LOCK"]
-ACTION_PRIORITY = ["HEX_STAKE_END", "HEX_STAKE_START", "STAKE_LOCK", "SWAP", "LP_ADD", "LP_REMOVE", "TRANSFER"]
+STAKE_TYPES = ["HEX_STAKE_START", "HEX_STAKE_END", "HEX_STAKE_LOCK"]
+ACTION_PRIORITY = ["HEX_STAKE_END", "HEX_STAKE_START", "HEX_STAKE_LOCK", "SWAP", "LP_ADD", "LP_REMOVE", "TRANSFER"]
 SOURCE_PRIORITY = {"ONCHAIN_POOL": 5, "ONCHAIN_ROUTE": 4, "ORACLE": 3, "MANUAL": 2}
 MAX_PACKED = (1 << 200) - 1
 
@@ -67,9 +67,8 @@ def stake_split(locked: Column, total: Column) -> list[Column]:
 
 
 def source_family(action: Column) -> Column:
-    return (
-        F.when(action == "TRANSFER", "TRANSFERS").when(action == "SWAP", "DEX").when(action.isin(LP_TYPES), "LP").when(action.isin(STAKE_TYPES), "STAKES").otherwise("UNKNOWN")
-    )
+    """Family of a type of action; null for others."""
+    return F.when(action == "TRANSFER", "TRANSFERS").when(action == "SWAP", "DEX").when(action.isin(LP_TYPES), "LP").when(action.isin(STAKE_TYPES), "STAKING")
 
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("payout", "shares", "sats", "error")]))

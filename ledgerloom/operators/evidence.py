@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the first topic of a token's transfer event.
@@ -91,12 +91,17 @@ def holds_number(payload: Column) -> Column:
     return F.regexp_replace(payload, r'"(?:[^"\\]|\\.)*+"', '""').rlike("[0-9]")
 
 
+def is_json(payload: Column) -> Column:
+    """Whether a text is JSON, as its parser sees it; null is not."""
+    return F.coalesce(F.try_parse_json(payload).isNotNull(), F.lit(False))
+
+
 def observations_to_store(drafts: DataFrame, old: DataFrame) -> DataFrame:
     """Observations with the hash of their payload and what becomes of each: rejected, found or created.
 
-    A payload with a JSON number is rejected, as numbers lose digits; equal payloads of a range are one.
+    A payload that is no JSON is rejected, and one with a JSON number, as numbers lose digits; equal payloads of a range are one.
     """
-    named = drafts.withColumn("payload_hash", F.sha2("payload", 256)).withColumn("bad", holds_number(F.col("payload")))
+    named = drafts.withColumn("payload_hash", F.sha2("payload", 256)).withColumn("bad", ~is_json(F.col("payload")) | holds_number(F.col("payload")))
     key = ["chain_id", "from_day", "to_day", "payload_hash"]
     known = old.select(*key).distinct().withColumn("known", F.lit(True))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("observation"))
@@ -120,9 +125,24 @@ def scoped(entries: DataFrame, actions: list[str], txs: DataFrame | None = None,
     return mine
 
 
-def write_positions(rows: DataFrame, path: str) -> None:
-    """Replace the positions of exactly those wallets and chains that ``rows`` holds."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chain_id", "wallet").parquet(path)
+def write_positions(rows: DataFrame, path: str, scope: DataFrame | None = None) -> None:
+    """Replace all positions of the wallets and chains in ``scope``; of those that ``rows`` holds, if none is given.
+
+    A wallet of the scope without rows is left with a tombstone, written in the same commit:
+    its old rows go, and no list of wallets meets the driver.  Files are staged by the tasks
+    and moved when all have ended, so a run that fails leaves the table as it was.
+    """
+    marked = rows.withColumn("gone", F.lit(False))
+    if scope is not None:
+        key = ["chain_id", "wallet"]
+        empty = scope.select(*key).distinct().join(rows.select(*key), key, "left_anti").withColumn("gone", F.lit(True))
+        marked = marked.unionByName(empty, allowMissingColumns=True)
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chain_id", "wallet").parquet(path)
+
+
+def read_positions(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_positions` has left, without tombstones."""
+    return spark.read.parquet(path).where("not gone").drop("gone")
 
 
 def union_logs(incoming: DataFrame, outgoing: DataFrame) -> DataFrame:

@@ -46,11 +46,6 @@ def removable_groups(entries: DataFrame, used: DataFrame) -> DataFrame:
     return marked.groupBy("group_id").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("all")).where("all").select("group_id")
 
 
-def append_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """``old`` and the rows of ``new`` whose key it lacks; of equal keys in ``new`` one row."""
-    return old.unionByName(new.dropDuplicates(key).join(old.select(key), key, "left_anti").select(old.columns))
-
-
 def mark_reorged(raw: DataFrame, low: int, high: int) -> DataFrame:
     return raw.withColumn("status", F.when(F.col("block_number").between(low, high), F.lit("REORGED")).otherwise(F.col("status")))
 

@@ -286,10 +286,10 @@ def aligned_windows(spark, sf):
     return ev.aligned_windows(spans, 100, descending=True).select("wallet", "low", "high", "number")
 
 
-@_query(f"""WITH {LEGS}, f AS (SELECT *, ['TRANSFERS', 'DEX', 'LP', 'STAKES'][line % 4 + 1] AS family FROM legs)
+@_query(f"""WITH {LEGS}, f AS (SELECT *, ['TRANSFERS', 'DEX', 'LP', 'STAKING'][line % 4 + 1] AS family FROM legs)
 SELECT family, count(*) AS snapshots, count(DISTINCT CASE WHEN part % 2 = 0 THEN tx END) AS groups, greatest(count(*) - count(DISTINCT CASE WHEN part % 2 = 0 THEN tx END), 0) AS skipped FROM f GROUP BY ALL""")
 def rebuild_report(spark, sf):
-    names = F.array(*(F.lit(n) for n in ("TRANSFERS", "DEX", "LP", "STAKES")))
+    names = F.array(*(F.lit(n) for n in ("TRANSFERS", "DEX", "LP", "STAKING")))
     s = legs(spark, sf).withColumn("family", names[F.col("line") % 4])
     return ev.rebuild_report(s, s.where("part % 2 = 0").select("family", F.col("tx").alias("group_id")))
 

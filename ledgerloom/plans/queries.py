@@ -172,11 +172,11 @@ def ledger_ids(spark, sf):
     return o.select(scalars.content_id("le_", F.lit(369).alias("chainId"), F.concat(F.lit("w"), "o_custkey").alias("walletId"), F.concat(F.lit("t"), "o_orderkey").alias("txHash"), F.lit(None).cast("string").alias("note")).alias("id"))
 
 
-_KINDS = "['TRANSFER', 'SWAP', 'LP_ADD', 'LP_REMOVE', 'STAKE_LOCK', 'HEX_STAKE_START', 'HEX_STAKE_END']"
+_KINDS = "['TRANSFER', 'SWAP', 'LP_ADD', 'LP_REMOVE', 'HEX_STAKE_LOCK', 'HEX_STAKE_START', 'HEX_STAKE_END']"
 
 
 def _actions(rows):
-    kinds = F.array(*(F.lit(k) for k in ("TRANSFER", "SWAP", "LP_ADD", "LP_REMOVE", "STAKE_LOCK", "HEX_STAKE_START", "HEX_STAKE_END")))
+    kinds = F.array(*(F.lit(k) for k in ("TRANSFER", "SWAP", "LP_ADD", "LP_REMOVE", "HEX_STAKE_LOCK", "HEX_STAKE_START", "HEX_STAKE_END")))
     return rows.withColumn("action_type", F.element_at(kinds, (F.col("part") % 7 + 1).cast("int")))
 
 
@@ -185,7 +185,7 @@ _SEQ = "struct_pack(line, part, supplier, price, quantity)"
 
 @_query(f"""WITH {LEGS}, a AS (SELECT *, {_KINDS}[part % 7 + 1] AS action_type FROM legs),
 f AS (SELECT wallet, tx, action_type, fee FROM a QUALIFY row_number() OVER (PARTITION BY wallet, tx
-  ORDER BY list_position(['HEX_STAKE_END', 'HEX_STAKE_START', 'STAKE_LOCK', 'SWAP', 'LP_ADD', 'LP_REMOVE', 'TRANSFER'], action_type), line, part, supplier, price, quantity) = 1)
+  ORDER BY list_position(['HEX_STAKE_END', 'HEX_STAKE_START', 'HEX_STAKE_LOCK', 'SWAP', 'LP_ADD', 'LP_REMOVE', 'TRANSFER'], action_type), line, part, supplier, price, quantity) = 1)
 SELECT wallet, action_type, count(*) AS fees, sum(fee::DECIMAL(18,4))::DOUBLE AS fee FROM f GROUP BY ALL""")
 def fee_owner(spark, sf):
     rows = _actions(legs(spark, sf)).withColumns({"chain_id": F.lit(369), "seq": F.struct("line", "part", "supplier", "price", "quantity")})
@@ -383,7 +383,7 @@ def packed_decode(spark, sf):
     return read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), scalars.decode_packed(word).alias("d")).select("k", "d.*")
 
 
-@_query("""WITH g AS (SELECT o_orderkey AS id, o_orderdate AS occurred_at, CASE WHEN o_custkey % 4 = 0 THEN 'TRANSFERS' WHEN o_custkey % 4 = 1 THEN 'DEX' WHEN o_custkey % 4 = 2 THEN 'LP' ELSE 'STAKES' END AS family FROM orders),
+@_query("""WITH g AS (SELECT o_orderkey AS id, o_orderdate AS occurred_at, CASE WHEN o_custkey % 4 = 0 THEN 'TRANSFERS' WHEN o_custkey % 4 = 1 THEN 'DEX' WHEN o_custkey % 4 = 2 THEN 'LP' ELSE 'STAKING' END AS family FROM orders),
 p AS (SELECT * FROM g WHERE occurred_at < TIMESTAMP '1996-01-01' OR (occurred_at = TIMESTAMP '1996-01-01' AND id > 5000) ORDER BY occurred_at DESC, id LIMIT 50)
 SELECT id, family, coalesce(n, 0) AS n_entries, q AS quantity FROM p LEFT JOIN (SELECT l_orderkey AS id, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1) USING (id)""")
 def transactions_page(spark, sf):

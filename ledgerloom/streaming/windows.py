@@ -6,8 +6,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ledger import append_absent
-
 
 def tumbling(events: DataFrame, size: str = "1 day", late: str = "1 day") -> DataFrame:
     """Counts and value by event type and window; on a stream, state older than ``late`` goes."""
@@ -43,5 +41,3 @@ def append_batches(stream: DataFrame, path: str, key: list[str], checkpoint: str
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-
-__all__ = ["append_absent", "append_batches", "first_seen", "sessions", "tumbling"]
