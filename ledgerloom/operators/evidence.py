@@ -137,7 +137,7 @@ def write_positions(rows: DataFrame, path: str, scope: DataFrame | None = None)
         key = ["chain_id", "wallet"]
         empty = scope.select(*key).distinct().join(rows.select(*key), key, "left_anti").withColumn("gone", F.lit(True))
         marked = marked.unionByName(empty, allowMissingColumns=True)
-    marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chain_id", "wallet").parquet(path)
+    marked.hint("rebalance", "chain_id", "wallet").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chain_id", "wallet").parquet(path)
 
 
 def read_positions(spark: SparkSession, path: str) -> DataFrame:

@@ -39,7 +39,7 @@ def merged(old: DataFrame, drafts: DataFrame, used: DataFrame | None = None) ->
     fees = both.where(is_fee).groupBy(*tx).agg(owner, kept)
     fees = fees.select("chain_id", "wallet", "e.id", *(F.col(f"owner.{c}" if c in ("group_id", "action_type") else f"e.{c}").alias(c) for c in rest))
     whole = plain.select(*ENTRY).unionByName(fees.select(*ENTRY))
-    return whole if used is None else without_shadows(whole, used)
+    return whole if used is None else without_shadows(stored(whole, "unshadowed"), used)
 
 
 def without_shadows(entries: DataFrame, used: DataFrame) -> DataFrame:
@@ -74,5 +74,5 @@ def apply(spark: SparkSession, path: str, drafts: DataFrame, used: DataFrame | N
 
 
 def replace(entries: DataFrame, path: str) -> None:
-    """Write entries over the partitions that they have."""
-    entries.select(*ENTRY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(path)
+    """Write entries over the partitions that they have, a few files for each; those of a hot wallet are split."""
+    entries.select(*ENTRY).hint("rebalance", *PARTITION).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(path)

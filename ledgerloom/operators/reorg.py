@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import stored
 from .evidence import write_positions
-from .merge import ENTRY, PARTITION, read_entries
+from .merge import ENTRY, PARTITION, read_entries, replace
 
 
 def marked(raw: DataFrame, chain: int, low: int, high: int) -> DataFrame:
@@ -59,4 +59,4 @@ def _replace_scope(entries: DataFrame, path: str, scope: DataFrame) -> None:
     """Write entries over all partitions of the scope; one that has none left keeps a file without entries' ids."""
     empty = scope.join(entries.select(*PARTITION), PARTITION, "left_anti")
     rows = entries.unionByName(empty, allowMissingColumns=True)
-    rows.select(*ENTRY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(path)
+    replace(rows, path)

@@ -534,3 +534,4 @@ def events_dedupe(spark, sf):
 from . import evidence as _evidence_queries  # noqa: E402, F401  the modules register their queries
 from . import states as _states_queries  # noqa: E402, F401
 from . import accounting as _accounting_queries  # noqa: E402, F401
+from . import incremental as _incremental_queries  # noqa: E402, F401
