@@ -127,11 +127,18 @@ def _number(text: str, most: int) -> int:
     return max(1, min(int(m[1]), most)) if m else 1
 
 
+#: Most characters that a column of a table is wide.
+WIDEST = 500
+
+
 def set_table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     """Lines of a table of cells ``(lines, columns, rows)``, each column as wide as its widest cell.
 
     Cells that reach over rows are kept as intervals, and only columns in which a cell
-    begins take room, so spans cost nothing by their length.
+    begins take room, so spans cost nothing by their length.  A column is at most ``WIDEST``
+    wide: a longer line of a cell pushes aside what follows in its own line, and all other
+    lines stay aligned.  A line that would be blank but for a few characters, far more than
+    50 blanks for each, as under thousands of cells that reach down to it, starts at the left.
     """
     grid: list[list[tuple[int, list[str], int]]] = []
     held: list[tuple[int, int, int]] = []  # first and end column, and the row that ends it
@@ -149,18 +156,19 @@ def set_table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     width: dict[int, int] = {}
     for own in grid:
         for c, lines, across in own:
-            width[c] = max([width.get(c, 0), *(map(len, lines) if across == 1 else ())])
+            width[c] = max([width.get(c, 0), *((min(len(x), WIDEST) for x in lines) if across == 1 else ())])
     starts, room = sorted(width), [0]
     for c in starts:
         room.append(room[-1] + width[c] + 2)
     before = lambda c: room[bisect_left(starts, c)]
-    said = sum(len(x) for own in grid for _, lines, _ in own for x in lines)
-    if sum(before(own[-1][0]) for own in grid if own) > 50 * said + 100_000:  # mostly padding: cells stand side by side
-        before = lambda c: 0
     out = []
     for own in grid:
         for k in range(max([len(lines) for _, lines, _ in own], default=0)):
             text, at = [], 0
+            said = [lines[k] for _, lines, _ in own if k < len(lines) and lines[k]]
+            if before(own[-1][0]) > 50 * sum(map(len, said)) + 4_000:
+                out += ["  ".join(said)] if said else []
+                continue
             for c, lines, across in own:
                 text.append(" " * (before(c) - before(at)) + (lines[k] if k < len(lines) else "").ljust(max(0, before(c + across) - before(c) - 2)) + "  ")
                 at = c + across

@@ -6,6 +6,7 @@ from html.parser import HTMLParser
 
 import pytest
 
+from ledgerloom.llm import html_text
 from ledgerloom.llm.html_text import extract, report, visible_text
 
 CASES = {
@@ -153,3 +154,16 @@ def test_all_visible_words_of_made_pages():
         want.feed(page)
         got = Counter(w for w in visible_text(page).split() if not re.fullmatch(r"-|[0-9]+\.", w))
         assert got == Counter(want.words), page
+
+
+def test_long_cells_push_aside_their_own_line_only():
+    rows = [([f"k{k}"], 1, 1) for k in range(5000)]
+    lines = html_text.set_table([[c, (["v"], 1, 1)] for c in rows] + [[(["x" * 499], 1, 1), (["v"], 1, 1)], [(["y" * 900], 1, 1), (["w"], 1, 1)]])
+    assert {line.index("v") for line in lines[:5001]} == {502}
+    assert lines[5001] == "y" * 900 + "  w"
+
+
+def test_padding_is_bounded_line_by_line():
+    wide = [(["c" * 30], 1, 4000) for _ in range(300)]
+    lines = html_text.set_table([[*wide, (["end"], 1, 1)]] + [[(["t"], 1, 1)] for _ in range(3000)])
+    assert lines[0].endswith("c  end") and set(lines[1:]) == {"t"}
