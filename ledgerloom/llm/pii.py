@@ -89,6 +89,16 @@ def _name_start(text: str, end: int) -> int:
         at = dots.start()
 
 
+def _said_address(name: str, host: re.Match) -> bool:
+    """Whether a bare "at" between a name and a host is the sign of an address, and no word of prose.
+
+    A host whose dots are disguised too was written for an address, whatever the name; with
+    plain dots alone, words of prose before the host tell of a place.
+    """
+    first = host["host"].lower()
+    return first not in _PROSE and first != "www" and (bool(_ANY_DOT.search(host[0])) or name.lower() not in _PROSE)
+
+
 def _addresses(text: str):
     """Stretches of disguised addresses, each from its name to the end of its domain."""
     last = 0
@@ -105,7 +115,7 @@ def _addresses(text: str):
         begin = max(last, _name_start(text, sign.start()))
         if not host or begin == sign.start():
             continue
-        if bare and (text[begin : sign.start()].lower() in _PROSE or bare["host"].lower() in _PROSE or bare["host"].lower() == "www"):
+        if bare and not _said_address(text[begin : sign.start()], bare):
             continue
         if host.re is _HOST and host["end"].lower() in _NO_END:
             continue

@@ -5,6 +5,7 @@ import time
 
 import pytest
 
+from ledgerloom.llm import pii
 from ledgerloom.llm.pii import KINDS, find, find_disguised, joined, luhn, mask, report
 
 SCHEMA = "doc_id long, text string, spans string, n_ip int"
@@ -115,3 +116,14 @@ def test_very_long_texts_end(text):
 def test_letters_of_other_scripts():
     text = "mail Ꭺnna@exaмрle.com and օsсar@site.org".replace("м", "m")
     assert [k for _, k, _ in find_disguised(text, find(text))] == ["email", "email"]
+
+
+@pytest.mark.parametrize("name", ["info", "me", "shop", "online", "sales"])
+def test_a_disguised_dot_decides_for_an_address(name):
+    text = f"Write to {name} at example dot com today."
+    assert pii.find_disguised(text, pii.find(text)) == [(9, "email", 9 + len(name) + len(" at example dot com"))]
+
+
+@pytest.mark.parametrize("text", ["We are online at example.com today.", "look at the dot com boom", "visit us at www dot example dot com"])
+def test_places_are_no_addresses(text):
+    assert pii.find_disguised(text, pii.find(text)) == []
