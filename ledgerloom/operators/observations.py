@@ -18,6 +18,36 @@ def exact_yield(stakes: DataFrame, days: DataFrame) -> DataFrame:
     return stakes.join(got, "stake", "left").select("stake", F.coalesce("units", F.lit(0).cast("decimal(38,0)")).cast("string").alias("yield_units"))
 
 
+#: Most days that one table of daily data may have: sixty years.
+MOST_DAYS = 22_000
+
+
+def sliced_yield(stakes: DataFrame, days: DataFrame) -> DataFrame:
+    """What :func:`exact_yield` gives, without a row for each stake and day.
+
+    Days are few, whatever the number of stakes: they become one array without gaps, its size
+    checked, which travels to every task once.  Each stake folds its own slice of it, so stakes
+    are neither exploded nor shuffled.  Days are distinct; those before the first or after the
+    last one known add nothing.
+    """
+    span = days.agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    grid = span.where("first is not null").select(F.explode(F.sequence("first", "last")).alias("day"))
+    cell = F.struct("day", F.col("payout").cast("decimal(38,0)").alias("payout"), F.col("total_shares").cast("decimal(38,0)").alias("total"))
+    table = grid.join(days, "day", "left").agg(F.count("*").alias("n"), F.min("day").alias("first"), F.array_sort(F.collect_list(cell)).alias("days"))
+    checked = F.when(F.col("n") <= MOST_DAYS, F.col("days")).otherwise(F.raise_error(F.lit(f"more than {MOST_DAYS} days")).cast(table.schema["days"].dataType))
+    table = table.select("first", checked.alias("days"))
+    nothing = F.lit(0).cast("decimal(38,0)")
+    low = F.greatest(F.col("locked_day") - F.col("first"), F.lit(0))
+    size = F.greatest(F.least(F.col("locked_day") + F.col("staked_days") - F.col("first"), F.size("days")) - low, F.lit(0))
+
+    def add(total: Column, day: Column) -> Column:
+        part = F.when(day.total > 0, wide_floor(F.col("shares"), day.payout, day.total))
+        return (total + F.coalesce(part, nothing)).cast("decimal(38,0)")
+
+    units = F.when(F.col("first").isNull(), nothing).otherwise(F.aggregate(F.slice("days", low + 1, size), nothing, add))
+    return stakes.join(F.broadcast(table)).select("stake", units.cast("string").alias("yield_units"))  # one row joins all
+
+
 def exact_range(observations: DataFrame) -> DataFrame:
     """The newest observation of each exact range by block, invalidated or not."""
     w = Window.partitionBy("chain_id", "from_day", "to_day").orderBy(F.desc("observed_block"), "observation")

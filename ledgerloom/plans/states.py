@@ -226,6 +226,11 @@ def stake_yield_exact(spark, sf):
     return ob.exact_yield(_stakes(spark, sf), _big_days(spark, sf))
 
 
+@_query(f"WITH {_YIELD} SELECT stake, yield_units FROM y")
+def stake_yield_slices(spark, sf):
+    return ob.sliced_yield(_stakes(spark, sf), _big_days(spark, sf))
+
+
 @_query(f"WITH {_YIELD} SELECT stake, CASE WHEN entries <> staked_days THEN 'entry-count-mismatch' WHEN stake % 10 = 0 THEN 'mismatch' ELSE 'match' END AS result FROM y")
 def verified_yields(spark, sf):
     claimed = ob.exact_yield(_stakes(spark, sf), _big_days(spark, sf)).withColumn("yield_units", F.when(F.col("stake") % 10 == 0, "-1").otherwise(F.col("yield_units")))

@@ -97,6 +97,19 @@ def test_yield_vectors(spark):
         assert observations.exact_yield(stakes, table).first()["yield_units"] == want
 
 
+def test_slices_of_days_give_the_same_yields_in_one_stage(spark):
+    days = spark.createDataFrame([(d, 10**15 + d * 7, 0 if d % 11 == 0 else 10**9 + d) for d in range(100, 900) if d % 13], "day int, payout long, total_shares long").repartition(3)
+    stakes = spark.createDataFrame([(k, 10**12 + k, (k * 37) % 1100, 1 + (k * 91) % 600) for k in range(300)], "stake int, shares long, locked_day int, staked_days int")
+    want = {r["stake"]: r["yield_units"] for r in observations.exact_yield(stakes, days).collect()}
+    got = observations.sliced_yield(stakes, days)
+    assert {r["stake"]: r["yield_units"] for r in got.collect()} == want
+    top = got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "Aggregate" not in top and "Generate" not in top
+    assert {r["yield_units"] for r in observations.sliced_yield(stakes, days.where("false")).collect()} == {"0"}
+    with pytest.raises(Exception, match="more than"):
+        observations.sliced_yield(stakes, spark.createDataFrame([(1, 1, 1), (30_000, 1, 1)], days.schema)).collect()
+
+
 def test_yield_of_large_numbers_is_exact(spark):
     big = 10**15
     row = spark.createDataFrame([(big, big, 7), (999999999, 9000000001, 7)], "s long, p long, t long").select(staking.wide_floor(F.col("s"), F.col("p"), F.col("t")).cast("string").alias("y"))
