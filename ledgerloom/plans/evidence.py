@@ -189,11 +189,11 @@ def wallet_import(spark, sf):
     return ev.upsert_metadata(old, new, "address", ["label"])
 
 
-@_query("""SELECT c_custkey AS wallet, c_nationkey % 5 = 0 OR EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c_custkey AND o_orderstatus = 'P') AS blocked FROM customer WHERE c_custkey <= 700""")
+@_query("""SELECT c_custkey AS wallet, c_nationkey % 5 = 0 OR EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c_custkey AND o_orderstatus = 'P') AS blocked FROM customer""")
 def conflicting_runs(spark, sf):
     from ..operators.reports import conflicting
 
-    c = read(spark, sf, "customer").where("c_custkey <= 700").select(F.col("c_custkey").alias("wallet"), F.lit(369).alias("chain_id"), (F.col("c_nationkey") % 5 == 0).alias("everywhere"))
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("wallet"), F.lit(369).alias("chain_id"), (F.col("c_nationkey") % 5 == 0).alias("everywhere"))
     runs = read(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("wallet"), F.lit(369).alias("chain_id"), F.lit("SYNC").alias("kind"), F.lit("RUNNING").alias("state"))
     return conflicting(c.drop("everywhere"), runs).join(c.select("wallet", "everywhere"), "wallet").select("wallet", (F.col("blocked") | F.col("everywhere")).alias("blocked"))
 
@@ -246,9 +246,9 @@ def merged_warnings(spark, sf):
     return got.select("wallet", F.size("all").cast("long").alias("warnings"), F.size(cut).cast("long").alias("shown"), F.when(last.startswith("warnings-truncated:"), last).alias("marker"))
 
 
-@_query(f"""WITH {LEGS} SELECT DISTINCT tx % 500 AS group_id FROM legs WHERE direction = 'OUT' AND tx % 500 NOT IN (SELECT tx % 500 FROM legs WHERE line = 1 AND part % 3 = 0)""")
+@_query(f"""WITH {LEGS} SELECT DISTINCT tx AS group_id FROM legs WHERE direction = 'OUT' AND tx NOT IN (SELECT tx FROM legs WHERE line = 1 AND part % 3 = 0)""")
 def emptied_groups(spark, sf):
-    e = legs(spark, sf).withColumn("group_id", F.col("tx") % 500)
+    e = legs(spark, sf).withColumn("group_id", F.col("tx"))
     return ev.emptied_groups(e.where("line = 1 and part % 3 = 0"), e.where("direction = 'OUT'"))
 
 
@@ -358,9 +358,9 @@ def removable_groups(spark, sf):
     return ledger.removable_groups(e, e.where("transfer % 2 = 0").select("transfer").distinct())
 
 
-@_query(f"WITH {LEGS}, n AS (SELECT o_orderkey AS tx FROM orders WHERE o_orderkey % 4 = 0) SELECT count(*) AS native FROM n WHERE tx NOT IN (SELECT tx FROM legs WHERE direction = 'OUT')")
+@_query(f"WITH {LEGS}, n AS (SELECT o_orderkey AS tx FROM orders) SELECT count(*) AS native FROM n WHERE tx NOT IN (SELECT tx FROM legs WHERE direction = 'OUT')")
 def native_without_protocol(spark, sf):
-    native = read(spark, sf, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("tx"))
+    native = read(spark, sf, "orders").select(F.col("o_orderkey").alias("tx"))
     return ledger.without_protocol(native, legs(spark, sf).where("direction = 'OUT'").select("tx").distinct()).agg(F.count("*").alias("native"))
 
 

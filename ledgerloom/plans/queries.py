@@ -206,10 +206,10 @@ def shadow_suppression(spark, sf):
     return left.groupBy("asset").agg(F.count("*").alias("transfers"), F.sum("quantity").alias("quantity"))
 
 
-@_query(f"WITH {LEGS} SELECT DISTINCT tx FROM legs WHERE supplier % 3 < 2 AND line <= 3")
+@_query(f"WITH {LEGS} SELECT DISTINCT tx FROM legs WHERE direction = 'OUT'")
 def protocol_tx_union(spark, sf):
-    rows = legs(spark, sf).where("line <= 3")
-    return ledger.protocol_transactions(*(rows.where(F.col("supplier") % 3 == k) for k in range(2)))
+    rows = legs(spark, sf).where("direction = 'OUT'")
+    return ledger.protocol_transactions(*(rows.where(F.col("supplier") % 3 == k) for k in range(3)))
 
 
 @_query(f"""WITH {LEGS}, b AS (SELECT wallet, asset, sum(CASE direction WHEN 'IN' THEN quantity ELSE -quantity END) AS balance FROM legs WHERE status = 'ACTIVE' GROUP BY ALL)
@@ -410,14 +410,13 @@ def freshness(spark, sf):
     return reports.freshness(states, _utc(NOW), 31536000).groupBy("freshness").agg(F.count("*").alias("wallets"))
 
 
-@_query(f"""WITH s AS (SELECT p_brand AS asset, p_type AS source_kind, p_size % 3 AS decimals, o_orderdate AS observed_at FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND p_size < 40 OR p_brand = 'Brand#11' AND p_size % 3 = 0),
+@_query(f"""WITH s AS (SELECT p_brand AS asset, p_type AS source_kind, CASE WHEN p_brand LIKE '%1' THEN 8 ELSE p_size % 3 END AS decimals, o_orderdate AS observed_at FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY observed_at DESC, source_kind, decimals) AS rn FROM s)
 SELECT asset, max(CASE WHEN rn = 1 THEN source_kind END) AS source_kind, CASE WHEN count(DISTINCT decimals) > 1 THEN 'conflicting' WHEN epoch(TIMESTAMP '{NOW}' - max(observed_at)) > 2592000 THEN 'stale' ELSE 'observed' END AS status FROM r GROUP BY asset""")
 def metadata_status(spark, sf):
     line, part, orders = (read(spark, sf, t) for t in ("lineitem", "part", "orders"))
     rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = rows.where("l_linenumber = 1 and p_size < 40 or p_brand = 'Brand#11' and p_size % 3 = 0")
-    return reports.metadata_status(rows.select(F.col("p_brand").alias("asset"), F.col("p_type").alias("source_kind"), (F.col("p_size") % 3).alias("decimals"), F.col("o_orderdate").cast("timestamp").alias("observed_at")), _utc(NOW))
+    return reports.metadata_status(rows.select(F.col("p_brand").alias("asset"), F.col("p_type").alias("source_kind"), F.when(F.col("p_brand").endswith("1"), 8).otherwise(F.col("p_size") % 3).alias("decimals"), F.col("o_orderdate").cast("timestamp").alias("observed_at")), _utc(NOW))
 
 
 _RUNS = "runs AS (SELECT event_id AS run, user_id AS wallet, ts AS started_at, ['PENDING', 'RUNNING', 'SUCCESS', 'FAILED'][event_id % 4 + 1] AS state FROM events)"

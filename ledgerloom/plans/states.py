@@ -204,10 +204,10 @@ def decoded_days(spark, sf):
     return payload_days(payloads).select("day", F.col("payout").cast("long").alias("orders"), F.col("shares").alias("shares"))
 
 
-@_query("""SELECT o_orderkey AS k, 'chain:369:native:0x0|other' AS items FROM orders WHERE o_orderkey % 9 = 0""")
+@_query("""SELECT o_orderkey AS k, replace(CASE WHEN o_custkey % 3 = 0 THEN 'chain:369:native:PLS' ELSE 'chain:369:erc20:' || o_custkey END, 'native:PLS', 'native:0x0') || '|' || o_orderpriority AS items FROM orders""")
 def renamed_assets(spark, sf):
-    items = F.array(F.lit("chain:369:native:PLS"), F.lit("other"))
-    return read(spark, sf, "orders").where("o_orderkey % 9 = 0").select(F.col("o_orderkey").alias("k"), F.array_join(st.renamed_asset(items, "native:PLS", "native:0x0"), "|").alias("items"))
+    items = F.array(F.when(F.col("o_custkey") % 3 == 0, "chain:369:native:PLS").otherwise(F.concat(F.lit("chain:369:erc20:"), "o_custkey")), F.col("o_orderpriority"))
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.array_join(st.renamed_asset(items, "native:PLS", "native:0x0"), "|").alias("items"))
 
 
 _BIG = f"""{_STAKES}, {_DAYS}, b AS (SELECT day, keys::HUGEINT * 1000000007 AS payout, CASE WHEN day % 13 = 0 THEN 0 ELSE orders * 999999937 END AS total FROM days)"""
@@ -412,23 +412,20 @@ def source_status(spark, sf):
 _ASSET = "'chain:369:erc20:0x' || lpad({}::VARCHAR, 40, '0')"
 
 
-@_query(f"""WITH b AS (SELECT l_orderkey % 60 AS wallet, l_partkey % 97 AS a, l_partkey, l_linenumber, CASE WHEN l_partkey % 97 = 5 THEN 0 ELSE l_quantity END AS balance, CASE WHEN l_partkey % 97 % 13 = 1 THEN NULL WHEN l_partkey % 97 % 13 = 2 THEN 25 ELSE 8 END AS decimals, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS row FROM lineitem WHERE l_orderkey < 3000),
+@_query(f"""WITH b AS (SELECT l_orderkey % 60 AS wallet, l_partkey % 97 AS a, l_partkey, l_linenumber, CASE WHEN l_partkey % 97 = 5 THEN 0 ELSE l_quantity END AS balance, CASE WHEN l_partkey % 97 % 13 = 1 THEN NULL WHEN l_partkey % 97 % 13 = 2 THEN 25 ELSE 8 END AS decimals, lpad(l_orderkey::VARCHAR, 12, '0') || '/' || l_linenumber || '/' || lpad(l_partkey::VARCHAR, 12, '0') || '/' || lpad(l_suppkey::VARCHAR, 8, '0') || '/' || lpad(round(l_extendedprice * 100)::BIGINT::VARCHAR, 12, '0') AS row FROM lineitem),
 r AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY wallet, a ORDER BY row) > 1 THEN 'DUPLICATE_ASSET' WHEN a % 10 = 9 THEN 'INVALID_CANONICAL_IDENTITY' WHEN a = 5 THEN 'ZERO_BALANCE' WHEN decimals IS NULL THEN 'MISSING_DECIMALS' WHEN decimals = 25 THEN 'INVALID_DECIMALS' WHEN a = 7 THEN 'PDAI_ROUTING_REFERENCE'
  WHEN a % 17 = 0 AND wallet % 2 = 0 THEN 'UNSUPPORTED_ASSET_CLASS' WHEN a % 11 = 0 THEN 'IGNORED_ASSET' WHEN a % 6 = 0 AND a % 4 > 0 THEN 'CONFLICTING_DECIMALS' END AS reason, wallet % 7 > 0 AS healthy FROM b),
 p AS (SELECT *, CASE WHEN reason IS NULL AND healthy THEN row_number() OVER (PARTITION BY wallet, reason IS NULL ORDER BY a <> 40, {_ASSET.format("a")}) END AS place FROM r)
 SELECT wallet, {_ASSET.format("a")} AS asset, row, healthy, reason, place, coalesce(place <= 5, FALSE) AS chosen FROM p""")
 def price_candidates(spark, sf):
-    from pyspark.sql import Window
-
     name = lambda c: F.concat(F.lit("chain:369:erc20:0x"), F.lpad(c.cast("string"), 40, "0"))
-    li = read(spark, sf, "lineitem").where("l_orderkey < 3000")
-    a = F.col("l_partkey") % 97
-    row = F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long")
+    li, pad = read(spark, sf, "lineitem"), lambda c, n: F.lpad(c.cast("string"), n, "0")
+    a, n = F.col("l_partkey") % 97, F.col("n")
+    row = F.concat_ws("/", pad(F.col("l_orderkey"), 12), "l_linenumber", pad(F.col("l_partkey"), 12), pad(F.col("l_suppkey"), 8), pad(F.round(F.col("l_extendedprice") * 100).cast("long"), 12))
     b = li.select((F.col("l_orderkey") % 60).alias("wallet"), name(a).alias("asset"), F.when(a % 10 != 9, F.concat(F.lit("0X"), F.lpad(a.cast("string"), 40, "0"))).alias("address"), F.when(a % 13 == 1, F.lit(None).cast("int")).when(a % 13 == 2, 25).otherwise(8).alias("decimals"), F.when(a == 5, 0.0).otherwise(F.col("l_quantity")).alias("balance"), row.alias("row"))
-    n = F.col("id")
-    tokens = spark.range(97).where(n % 4 > 0).select(name(n).alias("asset"), (n % 11 == 0).alias("ignored"))
-    tokens = tokens.unionByName(spark.range(97).where((n % 4 == 0) & (n % 11 == 0)).select(name(n).alias("asset"), F.lit(True).alias("ignored")))
-    sources = spark.range(97).select(name(n).alias("asset"), F.when(n % 6 == 0, 9).otherwise(8).alias("decimals"))
-    lp = spark.range(97).where(n % 17 == 0).select(name(n).alias("asset"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(58).cast("long"), F.lit(2).cast("long"))).alias("wallet"))
-    healthy = spark.range(60).where(n % 7 > 0).select(n.alias("wallet"), F.lit(True).alias("healthy"))
+    known = read(spark, sf, "part").select((F.col("p_partkey") % 97).alias("n")).distinct()
+    tokens = known.where((n % 4 > 0) | (n % 11 == 0)).select(name(n).alias("asset"), (n % 11 == 0).alias("ignored"))
+    sources = known.select(name(n).alias("asset"), F.when(n % 6 == 0, 9).otherwise(8).alias("decimals"))
+    lp = known.where(n % 17 == 0).select(name(n).alias("asset"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(58).cast("long"), F.lit(2).cast("long"))).alias("wallet"))
+    healthy = b.where(F.col("wallet") % 7 > 0).select("wallet", F.lit(True).alias("healthy")).distinct()
     return ob.candidates(b, tokens, sources, lp, healthy, 369, "chain:369:erc20:0x" + "7".rjust(40, "0"), "chain:369:erc20:0x" + "40".rjust(40, "0"), 5)
