@@ -72,8 +72,8 @@ def coverage(stakes: DataFrame, observations: DataFrame, now: Column) -> DataFra
 
 
 def match_ends(ends: DataFrame, starts: DataFrame) -> DataFrame:
-    """Each end with the latest start of its chain, wallet and stake, and whether that start is whole."""
-    key = ["wallet", "stake"]
+    """Each end with the latest start of its chain (``chain_id``, if the rows tell it), wallet and stake, and whether that start is whole."""
+    key = [*(["chain_id"] if "chain_id" in ends.columns else []), "wallet", "stake"]
     w = Window.partitionBy(*key).orderBy(F.desc("block"), F.desc("action_index"))
     latest = starts.withColumn("rank", F.row_number().over(w)).where("rank = 1").select(*key, F.col("block").alias("start_block"), F.col("locked_day").alias("since"), F.col("shares").alias("held"))
     whole = F.col("since").isNotNull() & F.coalesce(F.col("held").rlike("^[0-9]+$"), F.lit(False))
@@ -81,9 +81,14 @@ def match_ends(ends: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def upsert_ended(old: DataFrame, new: DataFrame) -> DataFrame:
-    """What an upsert does per stake: created, kept, updated (incomplete to complete), conflict or none."""
-    a, b = old.alias("a"), new.alias("b")
-    joined = a.join(b, F.col("a.stake") == F.col("b.stake"), "full")
+    """What an upsert does per stake: created, kept, updated (incomplete to complete), conflict or none.
+
+    A stake is known by chain, wallet (of any case) and number, as far as both sides tell them.
+    """
+    key = [c for c in ("chain_id", "wallet", "stake") if c in old.columns and c in new.columns]
+    named = lambda df: df.withColumn("wallet", F.lower("wallet")) if "wallet" in key else df
+    a, b = named(old).alias("a"), named(new).alias("b")
+    joined = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key], "full")
     action = (
         F.when(F.col("a.stake").isNull(), "created")
         .when(F.col("b.stake").isNull(), "kept")
@@ -91,4 +96,4 @@ def upsert_ended(old: DataFrame, new: DataFrame) -> DataFrame:
         .when(~F.col("a.complete") & F.col("b.complete"), "updated")
         .otherwise("no-op")
     )
-    return joined.select(F.coalesce("a.stake", "b.stake").alias("stake"), action.alias("action"))
+    return joined.select(*(F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in key), action.alias("action"))

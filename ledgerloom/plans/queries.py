@@ -116,6 +116,20 @@ def inline_protocols(spark, sf):
     return shapes.inline_protocol(_transfers(spark, sf))
 
 
+_CALLS = """calls AS (SELECT tx, min(from_address) AS sender, max(to_address) AS receiver FROM raw GROUP BY tx)"""
+
+
+@_query(f"""WITH {RAW}, {_CALLS}, n AS (SELECT tx, count(DISTINCT asset) FILTER (WHERE from_address = sender) AS no, count(DISTINCT asset) FILTER (WHERE to_address = receiver) AS ni, min(asset) FILTER (WHERE from_address = sender) AS o, min(asset) FILTER (WHERE to_address = receiver) AS i,
+  bool_or(receiver = '0x' || lpad('1000000007', 40, '0') AND asset LIKE '%7') AS staked FROM raw JOIN calls USING (tx) GROUP BY tx)
+SELECT tx FROM n WHERE staked OR (no = 2 AND ni = 1) OR (no = 1 AND ni = 2) OR (no = 1 AND ni = 1 AND o <> i)""")
+def inferred_protocols(spark, sf):
+    """Protocols by the sender and receiver of the call; the contract of one supplier stakes its own token."""
+    raw, contract = raw_transfers(spark, sf), "0x" + "1000000007".rjust(40, "0")
+    calls = raw.groupBy("tx").agg(F.min("from_address").alias("from_address"), F.max("to_address").alias("to_address"))
+    token = F.when(F.col("asset").endswith("7"), contract.upper().replace("0X", "0x")).otherwise(F.col("asset"))
+    return shapes.inferred_protocols(raw.withColumn("token_address", token), calls, contract)
+
+
 def _counted(rows):
     return rows.groupBy("entry_type", "direction").agg(F.count("*").alias("entries"), F.sum(F.col("quantity").cast("decimal(24,4)")).cast("double").alias("quantity"))
 

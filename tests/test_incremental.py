@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars
-from ledgerloom.operators import evidence, ledger, merge, positions, reorg
+from ledgerloom.operators import evidence, ledger, merge, positions, reorg, shapes, staking
 from ledgerloom.streaming import cursors
 
 AT = dt.datetime(2026, 5, 8)
@@ -155,3 +155,25 @@ def test_payloads_that_are_no_json_are_rejected(spark):
     drafts = spark.createDataFrame([(k, 369, 1, 2, p) for k, p in enumerate(payloads)], "observation int, chain_id int, from_day int, to_day int, payload string")
     got = {r["observation"]: r["outcome"] for r in evidence.observations_to_store(drafts, drafts.withColumn("payload_hash", F.lit("")).limit(0)).collect()}
     assert got == {0: "created", 1: "rejected", 2: "rejected", 3: "rejected", 4: "rejected"}
+
+
+def test_protocols_are_inferred_by_sender_and_receiver_of_the_call(spark):
+    calls = spark.createDataFrame([("0xA", "W", "R"), ("0xb", "w", "r"), ("0xc", "w", "HEX"), ("0xd", "w", None), ("0xe", "w", "r")], "tx string, from_address string, to_address string")
+    rows = [
+        ("0xa", "t1", "t1", "w", "p"), ("0xa", "t2", "t2", "p", "r"),  # one out, another in
+        ("0xb", "t1", "t1", "w", "p"), ("0xb", "t1", "t1", "p", "r"),  # the same asset both ways
+        ("0xc", "hex", "hEx", "w", "x"), ("0xd", "t1", "t1", "w", "p"), ("0xd", "t2", "t2", "p", "w"),
+        ("0xE", "t1", "t1", "W", "p"), ("0xe", "t2", "t2", "w", "p"), ("0xe", "t3", "t3", "p", "R"), ("0xf", "t1", "t1", "w", "r"),
+    ]
+    moves = spark.createDataFrame(rows, "tx string, asset string, token_address string, from_address string, to_address string")
+    assert sorted(r["tx"] for r in shapes.inferred_protocols(moves, calls, "Hex").collect()) == ["0xa", "0xc", "0xe"]
+
+
+def test_stakes_of_two_chains_stay_apart(spark):
+    ends = spark.createDataFrame([(1, "w", 7, 90), (369, "w", 7, 95)], "chain_id int, wallet string, stake int, block int")
+    starts = spark.createDataFrame([(1, "w", 7, 10, 1, 5, "3"), (369, "w", 7, 20, 1, None, "3")], "chain_id int, wallet string, stake int, block int, action_index int, locked_day int, shares string")
+    got = {r["chain_id"]: (r["start_block"], r["complete"]) for r in staking.match_ends(ends, starts).collect()}
+    assert got == {1: (10, True), 369: (20, False)}
+    old = spark.createDataFrame([(1, "W", 7, 90, False), (369, "w", 7, 95, True)], "chain_id int, wallet string, stake int, end_block int, complete boolean")
+    new = spark.createDataFrame([(1, "w", 7, 90, True), (369, "w", 7, 96, True), (5, "w", 7, 1, True)], old.schema)
+    assert {r["chain_id"]: r["action"] for r in staking.upsert_ended(old, new).collect()} == {1: "updated", 369: "conflict", 5: "created"}
