@@ -212,7 +212,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Per row: id, ``n_lines, n_dropped`` and the text that stays."""
+    """Per row: id, ``n_kept`` lines, ``n_dropped`` lines and the text that stays; see :func:`dedup_lines` for ties, nulls and long texts."""
     got = _cleaned(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", **options)
     kept = F.when(F.col("clean").isNotNull(), F.size(F.split("clean", "\n", -1))).otherwise(0).cast("long")
     return got.select(F.col("row.id").alias(id_col), kept.alias("n_kept"), F.col("lost").alias("n_dropped"), F.col("clean").alias("text"))
