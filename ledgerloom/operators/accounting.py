@@ -107,7 +107,7 @@ def group_steps(entries: DataFrame, prices_at) -> DataFrame:
 
 
 _NUMBERS = ["holdings", "average_cost", "realized", "acquired", "disposed"]
-_RESULT = "wallet {w}, asset {a}, " + ", ".join(f"{c} string" for c in _NUMBERS) + ", codes array<string>"
+_RESULT = "wallet {w}, asset {a}, " + ", ".join(f"{c} string" for c in _NUMBERS) + ", codes array<string>, cost string, last_at {t}, last_id {i}"
 #: 40 significant digits, halves up.
 _EXACT = Context(prec=40, rounding=ROUND_HALF_UP)
 
@@ -120,22 +120,28 @@ def plain(x: Decimal) -> str:
 
 
 def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Steps of one key after the other, each in order."""
+    """Steps of one key after the other, each in order; a row of kind ``state`` is where a key goes on."""
     exact = _EXACT
-    key, state, out = None, None, []
-    columns = ["wallet", "asset", *_NUMBERS, "codes"]
+    key, state, last, out = None, None, None, []
+    columns = ["wallet", "asset", *_NUMBERS, "codes", "cost", "last_at", "last_id"]
+    fields = ["wallet", "asset", "kind", "quantity", "value", "fees", "code", "first_at", "first_id", "held"]
 
     def close():
         h, cost, realized, got, gone, codes = state
         mean = exact.divide(cost, h) if h else Decimal(0)
-        out.append((*key, *map(plain, (h, mean, realized, got, gone)), sorted(codes)))
+        out.append((*key, *map(plain, (h, mean, realized, got, gone)), sorted(codes), plain(cost), *last))
 
     for frame in frames:
-        for wallet, asset, kind, q, value, fees, code in zip(*(frame[c] for c in ("wallet", "asset", "kind", "quantity", "value", "fees", "code")), strict=True):
+        for wallet, asset, kind, q, value, fees, code, at, step, held in zip(*(frame[c] for c in fields), strict=True):
             if (wallet, asset) != key:
                 if key is not None:
                     close()
                 key, state = (wallet, asset), [*[Decimal(0)] * 5, set()]
+            last = at, step
+            if kind == "state":
+                *numbers, codes = held
+                state = [*map(Decimal, numbers), set(filter(None, codes.split(",")))]
+                continue
             q = Decimal(q) if q is not None else None
             if kind == "dispose" and q > state[0]:
                 state[5].add("INSUFFICIENT_COST_BASIS")
@@ -155,15 +161,43 @@ def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=columns)
 
 
+_STEP = ["wallet", "asset", "first_at", "first_id", "kind", "quantity", "value", "fees", "code"]
+
+
+def states(steps: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """What :func:`folded` gives, with the total cost and the last step's time and id; ``held`` are states to go on from."""
+    kinds = {f.name: f.dataType.simpleString() for f in steps.schema.fields}
+    rows = steps.select(*_STEP, F.lit(1).alias("turn"), F.lit(None).cast("array<string>").alias("held"))
+    if held is not None:
+        none = [F.lit(None).cast(kinds[c]).alias(c) for c in ("quantity", "value", "fees", "code")]
+        numbers = F.array("holdings", "cost", "realized", "acquired", "disposed", F.array_join("codes", ","))
+        rows = rows.unionByName(held.select("wallet", "asset", F.col("last_at").alias("first_at"), F.col("last_id").alias("first_id"), F.lit("state").alias("kind"), *none, F.lit(0).alias("turn"), numbers.alias("held")))
+    ordered = rows.repartition("wallet", "asset").sortWithinPartitions("wallet", "asset", "turn", "first_at", "first_id")
+    return ordered.mapInPandas(_fold, _RESULT.format(w=kinds["wallet"], a=kinds["asset"], t=kinds["first_at"], i=kinds["first_id"]))
+
+
 def folded(steps: DataFrame) -> DataFrame:
     """Holdings, average cost, realised profit, totals (text) and warning codes per wallet and asset.
 
     A key's steps depend on each other, so one task folds them; it reads them as a stream
     sorted by Spark, so memory does not grow with the key.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in steps.schema.fields}
-    ordered = steps.repartition("wallet", "asset").sortWithinPartitions("wallet", "asset", "first_at", "first_id")
-    return ordered.select("wallet", "asset", "kind", "quantity", "value", "fees", "code").mapInPandas(_fold, _RESULT.format(w=kinds["wallet"], a=kinds["asset"]))
+    return states(steps).drop("cost", "last_at", "last_id")
+
+
+def resumed(held: DataFrame, history: DataFrame, steps: DataFrame) -> DataFrame:
+    """States after new ``steps``: the same as folding ``history`` and them from the start.
+
+    ``held`` are the states after ``history``.  Keys whose new steps all stand after their last
+    one go on from their state and read nothing else; a key with a step that comes late is
+    folded again from ``history``; keys without new steps keep their state.
+    """
+    key, place = ["wallet", "asset"], F.struct("first_at", "first_id")
+    touched = steps.select(*key).distinct()
+    late = steps.join(held.select(*key, "last_at", "last_id"), key).where(place <= F.struct(F.col("last_at").alias("first_at"), F.col("last_id").alias("first_id"))).select(*key).distinct()
+    again = history.select(*_STEP).join(late, key, "left_semi")
+    going = held.join(touched, key, "left_semi").join(late, key, "left_anti")
+    return states(steps.select(*_STEP).unionByName(again), going).unionByName(held.join(touched, key, "left_anti").select("wallet", "asset", *_NUMBERS, "codes", "cost", "last_at", "last_id"))
 
 
 @F.pandas_udf(StringType())

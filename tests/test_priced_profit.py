@@ -83,3 +83,25 @@ def test_a_hot_asset_is_many_groups(spark):
     for width in (3600, 86_400, 10**8):
         got = {r["leg"]: r["price_id"] for r in pricing.best_prices(asked, prices, by=("asset", "quote"), width_s=width).collect()}
         assert got == want
+
+
+def test_any_cut_of_the_history_gives_the_same_states(spark):
+    import random
+
+    dice, rows = random.Random(6), []
+    for k in range(400):
+        kind = dice.choice(["acquire", "acquire", "dispose", None])
+        code = "UNSUPPORTED_ACTION_GROUP" if kind is None else dice.choice([None, None, None, "COUNTER_ASSET_PRICE_UNAVAILABLE"])
+        rows.append((dice.choice("ab"), dice.choice("xyz"), AT + dt.timedelta(minutes=dice.randrange(200)), f"{k:03}", kind, str(dice.randrange(1, 50)) if kind else None, f"{dice.randrange(900)}.25", "0.5", code))
+    schema = "wallet string, asset string, first_at timestamp, first_id string, kind string, quantity string, value string, fees string, code string"
+    frame = lambda part: spark.createDataFrame(part, schema)
+    told = lambda df: sorted(map(str, df.collect()))
+    whole = told(accounting.states(frame(rows)))
+    by_time = sorted(rows, key=lambda r: (r[2], r[3]))
+    for cuts, order in (([150], by_time), ([100, 250], by_time), ([200, 300], rows), ([399], by_time[::-1])):
+        held, done, at = accounting.states(frame(order[: cuts[0]])), order[: cuts[0]], cuts[0]
+        for cut in [*cuts[1:], len(order)]:
+            held = spark.createDataFrame(accounting.resumed(held, frame(done), frame(order[at:cut])).collect(), held.schema)
+            done, at = order[:cut], cut
+        assert told(held) == whole
+    assert [r["holdings"] for r in accounting.folded(frame(rows)).orderBy("wallet", "asset").collect()] == [r["holdings"] for r in held.orderBy("wallet", "asset").collect()]
