@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import wide
 from ..operators import evidence, merge, positions, reorg
+from ..sources.raw import read_raw, write_raw
 from ..sources.staging import shared_dir, stored
 from ..sources.tables import LEGS, RAW, legs, raw_transfers
 from .queries import _KINDS, _actions, _query
@@ -61,3 +63,12 @@ def reorged_positions(spark, sf):
     evidence.write_positions(_place(merge.read_entries(spark, f"{at}/ledger", _normalise(raw))), f"{at}/positions")
     reorg.cascade(spark, raw, f"{at}/ledger", f"{at}/positions", 369, 101, 110, _normalise, _place)
     return evidence.read_positions(spark, f"{at}/positions").select("wallet", "asset", "balance")
+
+
+@_query(f"WITH {RAW} SELECT block_number, asset, count(*) AS transfers, sum(amount_raw::HUGEINT)::VARCHAR AS amount FROM raw WHERE block_number BETWEEN 2500 AND 9100 GROUP BY ALL")
+def bucketed_scan(spark, sf):
+    """The raw table is written by chain and bucket, and a range of blocks is read from its buckets alone."""
+    at = f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
+    write_raw(raw_transfers(spark, sf), at, 2_000)
+    got = read_raw(spark, at, 369, 2500, 9100, 2_000)
+    return wide.summed(got, ["block_number", "asset"], {"amount": "amount_raw"}, F.count("*").alias("transfers"))

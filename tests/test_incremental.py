@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars
 from ledgerloom.operators import evidence, ledger, merge, positions, reorg, shapes, staking
+from ledgerloom.sources.raw import read_raw, write_raw
 from ledgerloom.streaming import cursors
 
 AT = dt.datetime(2026, 5, 8)
@@ -177,3 +178,20 @@ def test_stakes_of_two_chains_stay_apart(spark):
     old = spark.createDataFrame([(1, "W", 7, 90, False), (369, "w", 7, 95, True)], "chain_id int, wallet string, stake int, end_block int, complete boolean")
     new = spark.createDataFrame([(1, "w", 7, 90, True), (369, "w", 7, 96, True), (5, "w", 7, 1, True)], old.schema)
     assert {r["chain_id"]: r["action"] for r in staking.upsert_ended(old, new).collect()} == {1: "updated", 369: "conflict", 5: "created"}
+
+
+def test_ranges_of_blocks_read_their_buckets_alone(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    rows = spark.range(4000).select((F.col("id") % 2 + 1).cast("int").alias("chain_id"), (F.col("id") * 7 % 5000).alias("block_number"), F.col("id").alias("log_index"))
+    write_raw(rows.where("log_index < 2000"), path, 500)
+    write_raw(rows.where("log_index >= 2000"), path, 500)
+    assert sorted(read_raw(spark, path, size=500).select(*rows.columns).collect()) == sorted(rows.collect())
+    got = read_raw(spark, path, 2, 1200, 1999, 500)
+    want = rows.where("chain_id = 2 and block_number between 1200 and 1999")
+    assert sorted(got.select(*rows.columns).collect()) == sorted(want.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(chain_id" in plan and "block_bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0] and "GreaterThanOrEqual(block_number,1200)" in plan
+    from pathlib import Path
+
+    folders = {str(Path(r["f"]).parent.name) for r in read_raw(spark, path, 2, 1200, 1999, 500).select(F.col("_metadata.file_path").alias("f")).distinct().collect()}
+    assert folders == {"block_bucket=2", "block_bucket=3"}
