@@ -65,8 +65,8 @@ def inline_protocol(transfers: DataFrame) -> DataFrame:
     return n.where(swap | lp).select("tx", F.when(swap, "SWAP").otherwise("LP").alias("protocol"))
 
 
-def inferred_protocols(transfers: DataFrame, transactions: DataFrame, staking_contract: str) -> DataFrame:
-    """``tx`` of transactions that transfers alone show to be a protocol's.
+def inferred_protocols(transfers: DataFrame, transactions: DataFrame, staking_contract: str, by: tuple[str, ...] = ("tx",)) -> DataFrame:
+    """``tx`` of transactions that transfers alone show to be a protocol's; ``by`` judges those of each chain and wallet by themselves.
 
     ``transfers``: ``tx, asset, token_address, from_address, to_address``; ``transactions``:
     ``tx, from_address, to_address``.  What goes out is what the transaction's sender sends,
@@ -74,15 +74,17 @@ def inferred_protocols(transfers: DataFrame, transactions: DataFrame, staking_co
     compared lower-cased.  A call of the staking contract that moves its token counts too.
     Transfers without their transaction have no direction and make none.
     """
-    own = transactions.select(F.lower("tx").alias("tx"), F.lower("from_address").alias("sender"), F.lower("to_address").alias("receiver"))
-    moved = transfers.select(F.lower("tx").alias("tx"), "asset", F.lower("token_address").alias("token"), F.lower("from_address").alias("giver"), F.lower("to_address").alias("taker")).join(own, "tx")
+    on = [c for c in by if c != "wallet"]
+    named = [F.lower("tx").alias("tx") if c == "tx" else F.col(c) for c in by]
+    own = transactions.select(*(c for c, n in zip(named, by, strict=True) if n in on), F.lower("from_address").alias("sender"), F.lower("to_address").alias("receiver"))
+    moved = transfers.select(*named, "asset", F.lower("token_address").alias("token"), F.lower("from_address").alias("giver"), F.lower("to_address").alias("taker")).join(own, on)
     side = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("asset"))))  # noqa: E731  sets of one transaction
     contract = staking_contract.lower()
-    got = moved.groupBy("tx").agg(
+    got = moved.groupBy(*by).agg(
         side(F.col("giver") == F.col("sender")).alias("out"), side(F.col("taker") == F.col("receiver")).alias("in"),
         F.bool_or((F.col("receiver") == contract) & (F.col("token") == contract)).alias("staked"),
     )
     n_out, n_in = F.size("out"), F.size("in")
     pair = ((n_out == 2) & (n_in == 1)) | ((n_out == 1) & (n_in == 2))
     swap = (n_out == 1) & (n_in == 1) & (F.try_element_at("out", F.lit(1)) != F.try_element_at("in", F.lit(1)))
-    return got.where(F.coalesce("staked", F.lit(False)) | pair | swap).select("tx")
+    return got.where(F.coalesce("staked", F.lit(False)) | pair | swap).select(*by)

@@ -548,3 +548,4 @@ from . import evidence as _evidence_queries  # noqa: E402, F401  the modules reg
 from . import states as _states_queries  # noqa: E402, F401
 from . import accounting as _accounting_queries  # noqa: E402, F401
 from . import incremental as _incremental_queries  # noqa: E402, F401
+from . import families as _families_queries  # noqa: E402, F401
