@@ -106,13 +106,13 @@ def _bits(line_set: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(15)), word)
 
 
-def _may_be_alike(a: Column, b: Column, percent: int) -> Column:
-    """False only where the sets cannot reach the similarity: a bit of one alone is a shingle of it alone."""
+def _may_be_alike(percent: int) -> Column:
+    """False only where the sets of ``l`` and ``r`` cannot reach the similarity: a bit of one alone is a shingle of it alone."""
 
-    def alone(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x.bits, y.bits, lambda v, w: F.bit_count(v.bitwiseAND(F.bitwise_not(w)))), F.lit(0), lambda acc, v: acc + v)
+    def alone(x: str, y: str) -> Column:
+        return sum((F.bit_count(F.col(f"{x}.bits")[w].bitwiseAND(F.bitwise_not(F.col(f"{y}.bits")[w]))) for w in range(16)), F.lit(0))
 
-    return F.least(a.k - alone(a, b), b.k - alone(b, a)) * (100 + percent) >= (a.k + b.k) * percent
+    return F.least(F.col("l.k") - alone("l", "r"), F.col("r.k") - alone("r", "l")) * (100 + percent) >= (F.col("l.k") + F.col("r.k")) * percent
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -125,8 +125,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 def _apart(tied: DataFrame, near: DataFrame, texts: DataFrame, n: int, percent: int, tile: int) -> DataFrame:
     """Links ``(src, dst)`` of lines that share a bucket and no component of ``near``.
 
-    Buckets of up to three lines have been compared whole.  The text travels once to each
-    group of two tiles, not once to each pair.
+    Buckets of up to three lines have been compared whole.  Tiles of a bucket meet in a join
+    by bucket and both tiles, whose condition rules out by size and bits before it makes sets;
+    only links leave it.
     """
     found = tied.where("n > 3").join(near.withColumnRenamed("node", "h"), "h", "left")
     found = found.select("bucket", "h", "n", F.coalesce("component", "h").alias("c"))
@@ -136,23 +137,21 @@ def _apart(tied: DataFrame, near: DataFrame, texts: DataFrame, n: int, percent:
     met = tied.groupBy("h").agg(F.collect_list("bucket").alias("buckets"))  # one for each band at most
     apart = texts.join(cut.select("h").distinct(), "h", "left_semi").select("h", "k", "norm", _bits(_set(F.col("norm"), n)).alias("bits"))
     cut = cut.join(apart.join(met, "h"), "h")
-    cut = cut.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-    cut = cut.select("bucket", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"), F.struct("h", "c", "t", "k", "norm", "buckets", "bits").alias("x"))
     cells = mixed.agg(F.coalesce(F.sum(F.ceil(F.col("n") / tile) * (F.ceil(F.col("n") / tile) + 1) / 2), F.lit(0))).first()[0]
-    cut = cut.repartition(max(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(cells / 16)), "bucket", "i", "j")  # groups are small, but their pairs are many
-    group = cut.groupBy("bucket", "i", "j").agg(F.collect_list("x").alias("all"))
-
-    def links(lines: Column) -> Column:
-        def meets(a: Column, b: Column) -> Column:
-            met = (a.h < b.h) & (a.c != b.c) & ((F.col("i") == F.col("j")) | (a.t != b.t))
-            once = F.array_min(F.array_intersect(a.buckets, b.buckets)) == F.col("bucket")
-            return met & _near_in_size(a.k, b.k, percent) & _may_be_alike(a, b, percent) & once & _alike(_set(a.norm, n), _set(b.norm, n), a.k, b.k, percent)
-
-        return F.flatten(F.transform(lines, lambda a: F.transform(F.filter(lines, lambda b: meets(a, b)), lambda b: F.struct(a.h.alias("src"), b.h.alias("dst")))))
-
-    # all in one expression, as rows made in between would each copy the whole group
-    found = F.flatten(F.transform(F.array("all"), links))
-    return group.select(F.explode(found).alias("link")).select("link.src", "link.dst")
+    size = max(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(cells / 16))  # groups are small, but their pairs are many
+
+    def dealt(low: Column, high: Column, i: str, j: str) -> DataFrame:
+        other = cut.select("bucket", "h", "c", "k", "norm", "buckets", "bits", "t", F.explode(F.sequence(low, high)).alias("other"))
+        return other.withColumnsRenamed({"t": i, "other": j}).repartition(size, "bucket", "i", "j")
+
+    left = dealt(F.col("t"), F.col("tiles") - 1, "i", "j").alias("l")
+    right = dealt(F.lit(0).cast("long"), F.col("t"), "j", "i").alias("r").hint("merge")
+    a, b = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    meets = (a("c") != b("c")) & ((a("i") != a("j")) | (a("h") < b("h"))) & _near_in_size(a("k"), b("k"), percent) & _may_be_alike(percent)
+    once = F.array_min(F.array_intersect(a("buckets"), b("buckets"))) == a("bucket")
+    like = _alike(_set(a("norm"), n), _set(b("norm"), n), a("k"), b("k"), percent)
+    same = [a(x) == b(x) for x in ("bucket", "i", "j")]
+    return left.join(right, same[0] & same[1] & same[2] & meets & once & like).select(F.least(a("h"), b("h")).alias("src"), F.greatest(a("h"), b("h")).alias("dst"))
 
 
 def line_components(lines: DataFrame, n: int = 8, percent: int = 80, parts: int = 3, tile: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
