@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import wide
 from ..functions.states import CHAIN, EXTRA_PAY_DAY, evidence_reason
-from .staking import elapsed_end, wide_floor
+from .staking import by_stake, elapsed_end, wide_floor
+
+
+def _exact_units() -> Column:
+    part = F.when(F.col("total_shares") > 0, wide_floor(F.col("shares"), F.col("payout"), F.col("total_shares")))
+    return F.coalesce(F.sum(part).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).cast("string")
 
 
 def exact_yield(stakes: DataFrame, days: DataFrame) -> DataFrame:
     """Integer yield of each stake over its days: multiply first, floor each day, skip days without shares."""
-    each = stakes.select("stake", "shares", F.explode(F.sequence("locked_day", F.col("locked_day") + F.col("staked_days") - 1)).alias("day"))
-    part = wide_floor(F.col("shares"), F.col("payout"), F.col("total_shares"))
-    got = each.join(days.where("total_shares > 0"), "day").groupBy("stake").agg(F.sum(part).cast("decimal(38,0)").alias("units"))
-    return stakes.join(got, "stake", "left").select("stake", F.coalesce("units", F.lit(0).cast("decimal(38,0)")).cast("string").alias("yield_units"))
+    return by_stake(stakes, days, _exact_units().alias("yield_units")).select("stake", "yield_units")
 
 
 #: Most days that one table of daily data may have: sixty years.
@@ -78,10 +80,8 @@ def estimates(stakes: DataFrame, observations: DataFrame, now: Column) -> DataFr
 
 def verified_yield(stakes: DataFrame, days: DataFrame, claimed: DataFrame) -> DataFrame:
     """The yield computed again from the days, against what was claimed; a range with days missing is not verified."""
-    again = exact_yield(stakes, days).withColumnRenamed("yield_units", "again")
-    each = stakes.select("stake", "staked_days", F.explode(F.sequence("locked_day", F.col("locked_day") + F.col("staked_days") - 1)).alias("day"))
-    seen = each.join(days.select("day"), "day").groupBy("stake", "staked_days").agg(F.count("*").alias("entries"))
-    got = again.join(claimed, "stake").join(seen, "stake", "left")
+    again = by_stake(stakes, days, _exact_units().alias("again"), F.count("known").alias("entries"))
+    got = again.join(claimed.hint("merge"), "stake")
     result = F.when(~F.coalesce(F.col("entries") == F.col("staked_days"), F.lit(False)), "entry-count-mismatch").when(F.col("again") == F.col("yield_units"), "match").otherwise("mismatch")
     return got.select("stake", result.alias("result"))
 

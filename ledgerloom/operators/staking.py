@@ -17,16 +17,22 @@ def wide_floor(shares: Column, payout: Column, total: Column) -> Column:
     return ((product - product % t) / t).cast("decimal(38,0)")
 
 
-def stake_yield(stakes: DataFrame, days: DataFrame) -> DataFrame:
-    """Sum over a stake's days of ``floor(shares * payout / total)``; days without shares add nothing.
+def by_stake(stakes: DataFrame, days: DataFrame, *aggregates: Column) -> DataFrame:
+    """Per ``stake, staked_days`` the aggregates over its days; of a day that ``days`` lacks ``known`` is null, as are the columns of ``days``.
 
-    An interval join by exploding a stake's days, so it is an equi join on the day.
+    An interval join by exploding a stake's days, so it is an equi join on the day.  Days are few,
+    whatever the number of stakes, so they go to every task, and no row of a stake is sent or
+    met again but its sums: Spark takes a stake for as many rows before it is exploded as after.
     """
-    each = stakes.select("stake", "shares", F.explode(F.sequence("locked_day", F.col("locked_day") + F.col("staked_days") - 1)).alias("day"))
-    got = each.join(days, "day")
+    each = stakes.select("stake", "staked_days", "shares", F.explode_outer(F.sequence("locked_day", F.col("locked_day") + F.col("staked_days") - 1)).alias("day"))
+    return each.join(F.broadcast(days.withColumn("known", F.lit(True))), "day", "left").groupBy("stake", "staked_days").agg(*aggregates)
+
+
+def stake_yield(stakes: DataFrame, days: DataFrame) -> DataFrame:
+    """Sum over a stake's days of ``floor(shares * payout / total)``; days without shares add nothing."""
     part = F.when(F.col("total_shares") > 0, wide_floor(F.col("shares"), F.col("payout"), F.col("total_shares")))
-    summed = got.groupBy("stake").agg(F.sum(F.coalesce(part, F.lit(0).cast("decimal(38,0)"))).cast("long").alias("yield_units"), F.count("*").alias("days_seen"))
-    return stakes.join(summed, "stake", "left").select("stake", "staked_days", F.coalesce("days_seen", F.lit(0)).alias("days_seen"), "yield_units")
+    known = F.when(F.col("known"), F.coalesce(part, F.lit(0).cast("decimal(38,0)")))
+    return by_stake(stakes, days, F.count("known").alias("days_seen"), F.sum(known).cast("long").alias("yield_units"))
 
 
 def payload_days(payloads: DataFrame) -> DataFrame:
