@@ -31,3 +31,23 @@ def test_days_go_to_stakes_and_no_exploded_stake_is_broadcast(spark, name):
     sent = list(under(tree(QUERIES[name](spark, SF)), "BroadcastExchange"))
     assert sent
     assert not any("explode" in t for below in sent for t in below)
+
+
+def test_shapes_of_wallets_take_one_exchange_of_transfers(spark):
+    found = [t for _, t in tree(QUERIES["wallet_swaps"](spark, SF)) if t.startswith("Exchange hashpartitioning(")]
+    assert any("REPARTITION_BY" in t for t in found)
+    assert not any("block_hash" in t for t in found if "ENSURE_REQUIREMENTS" in t)
+
+
+def test_drafts_are_dealt_before_they_have_hashes_and_in_few_parts(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from ledgerloom.plans import families
+
+    kept, rows = [], []
+    monkeypatch.setattr(families, "stored", lambda df, name, write=families.stored: kept.append((name, write(df, name))) or kept[-1][1])
+    got = QUERIES["family_drafts"](spark, SF)
+    assert isinstance(got, DataFrame)
+    rows = {name: df.count() for name, df in kept}
+    assert "raw" not in rows and rows["shapes"] < rows["ends"] / 10
+    assert not any("group_id" in t for _, t in tree(got) if t.startswith("Exchange hashpartitioning("))
