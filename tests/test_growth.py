@@ -51,3 +51,22 @@ def test_drafts_are_dealt_before_they_have_hashes_and_in_few_parts(spark, monkey
     rows = {name: df.count() for name, df in kept}
     assert "raw" not in rows and rows["shapes"] < rows["ends"] / 10
     assert not any("group_id" in t for _, t in tree(got) if t.startswith("Exchange hashpartitioning("))
+
+
+@pytest.mark.parametrize("name", ["swap_shape", "raw_swaps", "negative_balances", "lp_shape", "lp_warnings"])
+def test_lines_travel_once_for_what_is_grouped_by_transaction(spark, name):
+    found = [t for _, t in tree(QUERIES[name](spark, SF)) if t.startswith("Exchange hashpartitioning(")]
+    assert any("REPARTITION_BY_NUM" in t and "l_orderkey" in t for t in found)
+    assert not any("tx" in t or "direction" in t for t in found)
+
+
+def test_tasks_grow_with_the_table(spark, monkeypatch):
+    import os
+
+    from ledgerloom.sources import tables
+
+    size = os.path.getsize(f"{SF}/lineitem.parquet")
+    monkeypatch.setattr(tables, "TASK_BYTES", size // 50)
+    assert 50 <= tables.tasks(spark, SF, "lineitem") <= 52
+    monkeypatch.setattr(tables, "TASK_BYTES", size * 2)
+    assert tables.tasks(spark, SF, "lineitem") == int(spark.conf.get("spark.sql.shuffle.partitions"))
