@@ -77,3 +77,28 @@ def test_sums_differences_products_and_order_of_pairs(spark):
     for r in got.collect():
         x, y, z = Decimal(r["a"]), Decimal(r["b"]), Decimal(r["c"])
         assert (r["s"], r["d"], r["p"], r["l"]) == (plain(x + y), plain(x - y), plain(x * z), x < y)
+
+
+def test_sums_add_integers_of_64_bits_and_short_ones_need_no_lambda(spark):
+    edges = ["-0.5", "0.5", "-1", "-1.000000000000000001", "999999999.999999999", "1000000000", "9" * 36, "-" + "9" * 36 + ".999999999999999999", "1" + "0" * 36, "-" + "7" * 60]
+    rows = [(k, x) for k in range(len(edges)) for x in edges[: k + 1]]
+    df = spark.createDataFrame(rows, "k int, q string")
+    got = wide.summed(df, ["k"], {"q": "q"})
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(" in plan and not any("decimal(28,0)" in x for x in plan.split("Aggregate", 1)[1].splitlines()[:1])
+    for r in got.collect():
+        assert r["q"] == plain(sum(Decimal(x) for x in edges[: r["k"] + 1]))
+    for kind in ("decimal(38,18)", "long", "double"):
+        some = [x for x in edges[:6]] if kind != "long" else ["-1", "1000000000", "-9223372036854775808"]
+        one = spark.createDataFrame([(k, x) for k, x in enumerate(some)], "k int, t string").select("k", F.col("t").cast(kind).alias("q"))
+        want = {r["k"]: plain(Decimal(repr(r["q"])) if kind == "double" else Decimal(r["q"])) for r in one.collect()}
+        assert {r["k"]: r["q"] for r in wide.summed(one, ["k"], {"q": "q"}).collect()} == want
+
+
+def test_products_of_short_and_long_factors_add_up(spark):
+    pairs = [("1.5", "-2.25"), ("-0.000000001", "999999999.999999999"), ("0.0000000001", "7"), ("8" * 50, "0.1"), ("3", None)]
+    got = wide.products(spark.createDataFrame(pairs, "a string, b string"), {"p": ("a", "b")})
+    got = wide.product_texts(got.select("a", "b", "p_x", *(F.coalesce(f"p_{k}", F.lit(0)).alias(f"p_{k}") for k in range(18))), {"t": ([f"p_{k}" for k in range(18)], "p_x is null")}).collect()
+    for r in got:
+        assert r["t"] == plain(Decimal(r["a"]) * Decimal(r["b"] or 0))
+    assert [r["p_x"] is None for r in sorted(got, key=lambda r: [x[0] for x in pairs].index(r["a"]))] == [True, True, False, False, True]
