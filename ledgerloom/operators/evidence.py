@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import dealt
+
 #: Fixed value: the first topic of a token's transfer event.
 TRANSFER_TOPIC = "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef"
 #: Families in the order in which they are synchronised.
@@ -192,16 +194,19 @@ def lp_evidence(actions: DataFrame, transfers: DataFrame) -> DataFrame:
     return planned.join(transfers.select("tx", "asset", "direction", "transfer"), ["tx", "asset", "direction"])
 
 
-def native_snapshots(transactions: DataFrame, transfers: DataFrame, protocol: DataFrame, used: DataFrame) -> DataFrame:
+def native_snapshots(transactions: DataFrame, transfers: DataFrame, protocol: DataFrame, used: DataFrame, tasks: int | None = None) -> DataFrame:
     """What the transfer family normalises: token transfers, and native transactions of no protocol.
 
     ``shadow`` marks transfers that evidence has consumed; ``has_transfers`` marks native
     rows beside token transfers.  Within a block transactions come before transfers.
+    Rows are dealt once by transaction and once by transfer, to ``tasks`` tasks, so a task's
+    share need not grow with the tables.
     """
-    counts = transfers.groupBy("tx").agg(F.count("*").alias("transfers"))
+    transactions, protocol = dealt(transactions, tasks, "tx"), dealt(protocol.select("tx"), tasks, "tx")
+    counts = dealt(transfers.select("tx"), tasks, "tx").groupBy("tx").agg(F.count("*").alias("transfers"))
     native = transactions.join(protocol.select("tx").distinct(), "tx", "left_anti").join(counts, "tx", "left")
     native = native.select("tx", "block_number", F.lit(0).alias("kind"), F.col("tx_index").alias("at"), F.lit(False).alias("shadow"), F.col("transfers").isNotNull().alias("has_transfers"))
-    token = transfers.join(used.select("transfer").distinct().withColumn("hit", F.lit(True)), "transfer", "left")
+    token = dealt(transfers, tasks, "transfer").join(dealt(used.select("transfer"), tasks, "transfer").distinct().withColumn("hit", F.lit(True)), "transfer", "left")
     token = token.select("tx", "block_number", F.lit(1).alias("kind"), F.col("log_index").alias("at"), F.col("hit").isNotNull().alias("shadow"), F.lit(True).alias("has_transfers"))
     return native.unionByName(token).orderBy("block_number", "kind", "at")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import evidence as ev
 from ..operators import ledger, normalize, quality
-from ..sources.tables import LEGS, PRICES, RAW, legs, prices, raw_transfers, read
+from ..sources.tables import LEGS, PRICES, RAW, legs, prices, raw_transfers, read, tasks
 from .queries import _query
 
 WALLET = "0x" + "7".rjust(40, "0")
@@ -221,7 +221,7 @@ def native_snapshots(spark, sf):
     raw = raw_transfers(spark, sf).withColumn("transfer", F.struct("part", "tx", "log_index", "supplier", "amount_raw"))
     txs = read(spark, sf, "orders").select(F.concat(F.lit("0x"), F.lpad(F.col("o_orderkey").cast("string"), 64, "0")).alias("tx"), F.col("o_orderkey").alias("block_number"), F.lit(0).alias("tx_index"))
     used = raw.where("part % 5 = 0").select("transfer")
-    got = ev.native_snapshots(txs, raw.select("tx", "block_number", "log_index", "transfer"), raw.where("part % 7 = 0").select("tx"), used)
+    got = ev.native_snapshots(txs, raw.select("tx", "block_number", "log_index", "transfer"), raw.where("part % 7 = 0").select("tx"), used, tasks(spark, sf, "lineitem"))
     return got.groupBy("kind", "has_transfers", "shadow").agg(F.count("*").alias("snapshots"))
 
 

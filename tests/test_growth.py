@@ -70,3 +70,9 @@ def test_tasks_grow_with_the_table(spark, monkeypatch):
     assert 50 <= tables.tasks(spark, SF, "lineitem") <= 52
     monkeypatch.setattr(tables, "TASK_BYTES", size * 2)
     assert tables.tasks(spark, SF, "lineitem") == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_snapshots_are_dealt_to_a_number_of_tasks_that_is_not_merged_again(spark):
+    found = [t for _, t in tree(QUERIES["native_snapshots"](spark, SF)) if "REPARTITION_BY_NUM" in t]
+    assert sum(t.startswith("Exchange hashpartitioning(tx") for t in found) >= 2
+    assert sum(t.startswith("Exchange hashpartitioning(transfer") for t in found) == 2
