@@ -218,10 +218,11 @@ s AS (SELECT o_orderkey AS block_number, 0 AS kind, n IS NOT NULL AS has_transfe
   UNION ALL SELECT block_number, 1, TRUE, part % 5 = 0 FROM raw)
 SELECT kind, has_transfers, shadow, count(*) AS snapshots FROM s GROUP BY ALL""")
 def native_snapshots(spark, sf):
-    raw = raw_transfers(spark, sf).withColumn("transfer", F.struct("part", "tx", "log_index", "supplier", "amount_raw"))
+    share = tasks(spark, sf, "lineitem")
+    raw = raw_transfers(spark, sf, share).withColumn("transfer", F.struct("part", "tx", "log_index", "supplier", "amount_raw"))
     txs = read(spark, sf, "orders").select(F.concat(F.lit("0x"), F.lpad(F.col("o_orderkey").cast("string"), 64, "0")).alias("tx"), F.col("o_orderkey").alias("block_number"), F.lit(0).alias("tx_index"))
     used = raw.where("part % 5 = 0").select("transfer")
-    got = ev.native_snapshots(txs, raw.select("tx", "block_number", "log_index", "transfer"), raw.where("part % 7 = 0").select("tx"), used, tasks(spark, sf, "lineitem"))
+    got = ev.native_snapshots(txs, raw.select("tx", "block_number", "log_index", "transfer"), raw.where("part % 7 = 0").select("tx"), used, share)
     return got.groupBy("kind", "has_transfers", "shadow").agg(F.count("*").alias("snapshots"))
 
 

@@ -76,3 +76,4 @@ def test_snapshots_are_dealt_to_a_number_of_tasks_that_is_not_merged_again(spark
     found = [t for _, t in tree(QUERIES["native_snapshots"](spark, SF)) if "REPARTITION_BY_NUM" in t]
     assert sum(t.startswith("Exchange hashpartitioning(tx") for t in found) >= 2
     assert sum(t.startswith("Exchange hashpartitioning(transfer") for t in found) == 2
+    assert any("l_orderkey" in t for t in found)
