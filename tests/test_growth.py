@@ -77,3 +77,17 @@ def test_snapshots_are_dealt_to_a_number_of_tasks_that_is_not_merged_again(spark
     assert sum(t.startswith("Exchange hashpartitioning(tx") for t in found) >= 2
     assert sum(t.startswith("Exchange hashpartitioning(transfer") for t in found) == 2
     assert any("l_orderkey" in t for t in found)
+
+
+def test_entries_of_average_cost_travel_once_by_transaction_and_no_array_goes_to_python(spark):
+    from ledgerloom.operators import accounting as operator
+    from ledgerloom.plans import accounting
+
+    own = tree(operator._group_assets(accounting.entries(spark, SF), ["wallet", "tx"], True))
+    dealt = [t for _, t in own if t.startswith("Exchange hashpartitioning(")]
+    assert any("REPARTITION_BY_NUM" in t and "l_orderkey" in t for t in dealt) and not any("tx" in t or "wallet" in t or "o_custkey" in t for t in dealt)
+    assert not any(t.startswith("SortAggregate") for _, t in own)
+    steps = accounting._steps(spark, SF)
+    assert "decimal(34,0)" not in steps._jdf.queryExecution().optimizedPlan().toString()
+    sent = operator.states(steps)._jdf.queryExecution().analyzed().children().head().schema().simpleString()
+    assert "held:string" in sent

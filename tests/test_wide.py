@@ -93,3 +93,19 @@ def test_sums_add_integers_of_64_bits_and_short_ones_need_no_lambda(spark):
         one = spark.createDataFrame([(k, x) for k, x in enumerate(some)], "k int, t string").select("k", F.col("t").cast(kind).alias("q"))
         want = {r["k"]: plain(Decimal(repr(r["q"])) if kind == "double" else Decimal(r["q"])) for r in one.collect()}
         assert {r["k"]: r["q"] for r in wide.summed(one, ["k"], {"q": "q"}).collect()} == want
+
+
+def test_products_in_64_bit_cells_equal_python(spark):
+    pairs = list(zip(numbers(200, 90, seed=1), numbers(200, 36, seed=2), strict=True)) + [("9" * 18 + "." + "9" * 18, "9" * 18 + "." + "9" * 18), ("-0.5", "0.5"), ("-0.000000000000000001", "7"), ("0", "-0.0"), (None, "1"), ("1", None)]
+    df = spark.createDataFrame([(k % 9, a, b) for k, (a, b) in enumerate(pairs)], "k int, a string, b string")
+    cells = wide.product_cells(df, {"p": ("a", "b")})
+    sums = cells.groupBy("k").agg(*(F.expr(f"coalesce(sum(p_{k}), 0L) as p_{k}") for k in range(wide.CELLS)))
+    got = {r["k"]: r["t"] for r in sums.select("k", wide.expr(wide.cells_text([f"p_{k}" for k in range(wide.CELLS)])).alias("t")).collect()}
+    for k in range(9):
+        mine = [Decimal(a) * Decimal(b) for a, b in pairs[k::9] if a is not None and b is not None]
+        assert got[k] == plain(sum(mine))
+    near = df.where("length(a) < 18 and length(b) < 18 and a not like '-%' and b not like '-%'")
+    rows = wide.product_cells(near, {"p": ("a", "b")})
+    one = rows.select("a", "b", *(F.expr(f"coalesce(p_{k}, 0L) as p_{k}") for k in range(wide.CELLS)))
+    for r in one.select("a", "b", wide.expr(wide.cells_text([f"p_{k}" for k in range(wide.CELLS)])).alias("t")).collect():
+        assert r["t"] == plain(Decimal(r["a"]) * Decimal(r["b"]))
