@@ -10,11 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..sources.staging import path_of, stored
 from .ledger import action_rank
 
 PARTITION = ["chain_id", "wallet"]
+#: A wallet's entries lie in this many folders, by transaction: what few transactions change is a part of their wallets.
+SLICES = 8
+FOLDER = [*PARTITION, "slice"]
 ENTRY = ["chain_id", "wallet", "tx", "id", "group_id", "action_type", "entry_type", "direction", "asset", "quantity", "occurred_at", "transfer"]
 
 
@@ -56,11 +60,22 @@ def groups_of(entries: DataFrame) -> DataFrame:
     return entries.groupBy(*PARTITION, "group_id").agg(F.min("action_type").alias("action_type"), F.min("tx").alias("tx"), F.min("occurred_at").alias("occurred_at"), F.count("*").alias("entries"))
 
 
-def read_entries(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The stored entries; none if nothing was ever written.  A row without an id stands for an emptied partition."""
+def sliced(rows: DataFrame) -> DataFrame:
+    """Rows with the slice of their transaction."""
+    return rows.withColumn("slice", F.coalesce(F.pmod(F.crc32(F.lower("tx").cast("binary")), F.lit(SLICES)), F.lit(0)).cast("int"))
+
+
+def dealt_to_folders(rows: DataFrame) -> DataFrame:
+    """Rows with their slice, a few tasks for each folder; what is derived from them is better derived after it."""
+    return sliced(rows).hint("rebalance", *FOLDER)
+
+
+def read_entries(spark: SparkSession, path: str, like: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """The stored entries, and their ``slice`` if ``more`` names it; none if nothing was ever written.  A row without an id stands for an emptied folder."""
     hadoop, files = path_of(spark, path)
-    empty = spark.createDataFrame([], like.select(*ENTRY).schema)
-    return spark.read.schema(empty.schema).parquet(path).where("id is not null").select(*ENTRY) if files.exists(hadoop) else empty
+    schema = StructType([*like.select(*ENTRY).schema.fields, StructField("slice", IntegerType())])
+    found = spark.read.schema(schema).parquet(path).where("id is not null") if files.exists(hadoop) else spark.createDataFrame([], schema)
+    return found.select(*ENTRY, *more)
 
 
 def apply(spark: SparkSession, path: str, drafts: DataFrame, used: DataFrame | None = None) -> None:
@@ -69,10 +84,18 @@ def apply(spark: SparkSession, path: str, drafts: DataFrame, used: DataFrame | N
     ``used`` removes shadows in these partitions; wallets that the evidence names and the batch does not are merged with their own batch.
     """
     touched = drafts.select(*PARTITION).distinct()
-    mine = read_entries(spark, path, drafts).join(F.broadcast(touched) if touched.limit(100_001).count() <= 100_000 else touched, PARTITION, "left_semi")
-    replace(stored(merged(mine, drafts, used), "merged"), path)
+    mine = read_entries(spark, path, drafts, ("slice",)).join(F.broadcast(touched) if touched.limit(100_001).count() <= 100_000 else touched, PARTITION, "left_semi")
+    held = stored(mine.select(*FOLDER).distinct(), "folders")
+    replace(stored(merged(mine, drafts, used), "merged"), path, held)
+
 
+def replace(entries: DataFrame, path: str, scope: DataFrame | None = None) -> None:
+    """Write entries over the folders that they have, a few files for each; those of a hot wallet are split.
 
-def replace(entries: DataFrame, path: str) -> None:
-    """Write entries over the partitions that they have, a few files for each; those of a hot wallet are split."""
-    entries.select(*ENTRY).hint("rebalance", *PARTITION).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(path)
+    Entries that have their slice were dealt to folders before.  A folder of ``scope`` that has
+    no entry left keeps a row without an id.
+    """
+    rows = (entries if "slice" in entries.columns else dealt_to_folders(entries)).select(*ENTRY, "slice")
+    if scope is not None:
+        rows = rows.unionByName(scope.select(*FOLDER).join(rows.select(*FOLDER), FOLDER, "left_anti"), allowMissingColumns=True)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*FOLDER).parquet(path)

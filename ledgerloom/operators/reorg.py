@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import stored
 from .evidence import write_positions
-from .merge import ENTRY, PARTITION, read_entries, replace
+from .merge import ENTRY, FOLDER, PARTITION, read_entries, replace, sliced
 
 
 def marked(raw: DataFrame, chain: int, low: int, high: int) -> DataFrame:
@@ -38,25 +38,30 @@ def cascade(
 
     ``raw`` is as it was before; ``normalise(raw)`` makes entries of active rows, ``place(entries)``
     positions of ``chain_id, wallet``.  Wallets are found from the entries of the changed
-    transactions, which are the only partitions of the ledger that are rewritten.  A wallet that
-    loses its last entry loses its partition's rows and its positions.
+    transactions; of the ledger only those of their folders that hold such a transaction are
+    rewritten.  A wallet that loses its last entry loses its folders' rows and its positions.
     """
     txs = stored(changed(raw, chain, low, high), "reorged")
     like = normalise(raw.limit(0))
-    entries = read_entries(spark, ledger, like)
-    touched = stored(entries.where(F.col("chain_id") == chain).join(txs, ["chain_id", "tx"], "left_semi").select(*PARTITION).distinct(), "touched")
-    small = touched.limit(100_001).count() <= 100_000
-    mine = entries.join(F.broadcast(touched) if small else touched, PARTITION, "left_semi")
-    still = marked(raw, chain, low, high).where("status = 'ACTIVE'").join(txs, ["chain_id", "tx"], "left_semi")
-    anew = normalise(still).select(*ENTRY).join(touched, PARTITION, "left_semi")
-    result = stored(mine.join(txs, ["chain_id", "tx"], "left_anti").select(*ENTRY).unionByName(anew), "entries")
-    _replace_scope(result, ledger, touched)
-    write_positions(place(result), positions, scope=touched)
+    entries = read_entries(spark, ledger, like, ("slice",))
+    held = stored(entries.where(F.col("chain_id") == chain).join(txs, ["chain_id", "tx"], "left_semi").select(*FOLDER).distinct(), "held")
+    touched = held.select(*PARTITION).distinct()
+    still = _of(marked(raw, chain, low, high).where("status = 'ACTIVE'"), txs)
+    anew = stored(sliced(normalise(still).select(*ENTRY)).join(touched, PARTITION, "left_semi"), "anew")
+    folders = stored(held.unionByName(anew.select(*FOLDER)).distinct(), "touched")
+    mine = entries.join(_sent(folders), FOLDER, "left_semi").join(txs, ["chain_id", "tx"], "left_anti")
+    replace(stored(mine.unionByName(anew), "entries").select(*ENTRY), ledger, folders)
+    write_positions(place(read_entries(spark, ledger, like).join(_sent(touched), PARTITION, "left_semi")), positions, scope=touched)
     return touched
 
 
-def _replace_scope(entries: DataFrame, path: str, scope: DataFrame) -> None:
-    """Write entries over all partitions of the scope; one that has none left keeps a file without entries' ids."""
-    empty = scope.join(entries.select(*PARTITION), PARTITION, "left_anti")
-    rows = entries.unionByName(empty, allowMissingColumns=True)
-    replace(rows, path)
+def _of(raw: DataFrame, txs: DataFrame) -> DataFrame:
+    """Raw rows of transactions; few of them also become a filter that scans see, so that no other rows travel."""
+    few = txs.select("tx").distinct().limit(1_001).collect()
+    named = raw.where(F.col("tx").isin([r["tx"] for r in few])) if len(few) <= 1_000 else raw
+    return named.join(txs, ["chain_id", "tx"], "left_semi")
+
+
+def _sent(scope: DataFrame) -> DataFrame:
+    """A scope, sent to all tasks if it is small."""
+    return F.broadcast(scope) if scope.limit(100_001).count() <= 100_000 else scope

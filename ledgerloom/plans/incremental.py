@@ -43,10 +43,11 @@ def ledger_merge(spark, sf):
 
 def _normalise(raw: DataFrame) -> DataFrame:
     """Both ends of an active transfer as entries; a wallet is named by the end of its address."""
-    ends = F.array(*(F.struct(F.concat(F.lit("w"), F.substring(F.col(f"{c}_address"), -2, 2)).alias("wallet"), F.lit(d).alias("direction"), F.lit(k).alias("entry_type")) for c, d, k in (("from", "OUT", "SEND"), ("to", "IN", "RECEIVE"))))
+    ends = F.array(*(F.struct(F.concat(F.lit("w"), F.substring(F.col(f"{c}_address"), -2, 2)).alias("wallet"), F.lit(d).alias("direction")) for c, d in (("from", "OUT"), ("to", "IN"))))
     rows = raw.where("status = 'ACTIVE'").select("*", F.explode(ends).alias("end")).select("*", "end.*")
-    named = F.concat_ws("/", "tx", "log_index", "part", "supplier", "amount_raw", "occurred_at")
-    return rows.select("chain_id", "wallet", "tx", F.concat_ws("/", named, "direction").alias("id"), named.alias("group_id"), F.lit("TRANSFER").alias("action_type"), "entry_type", "direction", "asset", F.col("amount_raw").alias("quantity"), F.col("occurred_at").cast("timestamp").alias("occurred_at"), F.lit(None).cast("long").alias("transfer"))
+    rows = merge.dealt_to_folders(rows)  # ids are made after it, as they are long
+    named = F.concat_ws("/", F.ltrim(F.col("tx"), F.lit("0x")), "log_index", "part", "supplier", "amount_raw", "occurred_at")
+    return rows.select("chain_id", "wallet", "tx", F.concat_ws("/", named, "direction").alias("id"), named.alias("group_id"), F.lit("TRANSFER").alias("action_type"), F.when(F.col("direction") == "OUT", "SEND").otherwise("RECEIVE").alias("entry_type"), "direction", "asset", F.col("amount_raw").alias("quantity"), F.col("occurred_at").cast("timestamp").alias("occurred_at"), F.lit(None).cast("long").alias("transfer"), "slice")
 
 
 def _place(entries: DataFrame) -> DataFrame:

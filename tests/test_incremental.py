@@ -101,6 +101,29 @@ def test_reorganised_range_equals_a_full_rebuild(spark, tmp_path):
     assert untouched and untouched <= {f for f in (tmp_path / "ledger").rglob("*.parquet")}
 
 
+def test_few_reorganised_transactions_rewrite_a_part_of_a_wallet(spark, tmp_path):
+    raw = [(369, f"x{k}", k, k, "a", f"w{k % 3}", "1", "ACTIVE") for k in range(200)]
+    df = spark.createDataFrame(raw, "chain_id int, tx string, log int, block_number int, sender string, receiver string, amount string, status string")
+    at, held = str(tmp_path / "ledger"), str(tmp_path / "positions")
+    merge.replace(normalise(df), at)
+    evidence.write_positions(place(normalise(df)), held)
+    before = set((tmp_path / "ledger").rglob("*.parquet"))
+    reorg.cascade(spark, df, at, held, 369, 7, 7, normalise, place)
+    mine = {f for f in before if "wallet=a" in str(f)}
+    left = mine & set((tmp_path / "ledger").rglob("*.parquet"))
+    assert left and left != mine
+    whole = normalise(reorg.marked(df, 369, 7, 7))
+    assert sorted(merge.read_entries(spark, at, whole).collect()) == sorted(whole.select(*merge.ENTRY).collect())
+    assert sorted(map(str, evidence.read_positions(spark, held).select("wallet", "balance").collect())) == sorted(map(str, place(whole).select("wallet", "balance").collect()))
+
+
+def test_folders_that_a_merge_leaves_without_entries_are_emptied(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    merge.apply(spark, path, spark.createDataFrame([draft("a", f"x{k}", "TRANSFER", transfer=k) for k in range(30)], ENTRY))
+    merge.apply(spark, path, spark.createDataFrame([draft("a", "x0", "SWAP")], ENTRY), spark.range(30).select(F.col("id").alias("transfer")))
+    assert [(r["tx"], r["action_type"]) for r in merge.read_entries(spark, path, spark.createDataFrame([], ENTRY)).collect()] == [("x0", "SWAP")]
+
+
 def test_emptied_wallets_are_cleared_and_failures_leave_the_table(spark, tmp_path):
     path = str(tmp_path / "positions")
     rows = lambda *r: spark.createDataFrame(list(r), "chain_id int, wallet string, balance int")
