@@ -72,6 +72,17 @@ def test_tasks_grow_with_the_table(spark, monkeypatch):
     assert tables.tasks(spark, SF, "lineitem") == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@pytest.mark.parametrize("name", ["lp_positions", "sibling_coupling", "lp_shape", "lp_warnings"])
+def test_parts_and_customers_are_not_broadcast_once_they_grow(spark, monkeypatch, name):
+    from ledgerloom.sources import tables
+
+    want = sorted(map(str, QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(tables, "SENT_BYTES", 1_000)
+    got = QUERIES[name](spark, SF)
+    assert not any("part.parquet" in t or "customer.parquet" in t for below in under(tree(got), "BroadcastExchange") for t in below)
+    assert sorted(map(str, got.collect())) == want
+
+
 def test_snapshots_are_dealt_to_a_number_of_tasks_that_is_not_merged_again(spark):
     found = [t for _, t in tree(QUERIES["native_snapshots"](spark, SF)) if "REPARTITION_BY_NUM" in t]
     assert sum(t.startswith("Exchange hashpartitioning(tx") for t in found) >= 2
