@@ -16,6 +16,8 @@ from ..sources.staging import path_of, stored
 from .ledger import action_rank
 
 PARTITION = ["chain_id", "wallet"]
+#: Up to so many keys are sent to all tasks.
+FEW = 100_000
 #: A wallet's entries lie in this many folders, by transaction: what few transactions change is a part of their wallets.
 SLICES = 8
 FOLDER = [*PARTITION, "slice"]
@@ -31,12 +33,21 @@ def merged(old: DataFrame, drafts: DataFrame, used: DataFrame | None = None) ->
     ``used`` holds transfers that recorded evidence has consumed: entries of plain transfers
     that stem from them go, stored ones too; entries of a group that also has others stay.
     The result does not depend on the order of batches or on how families are dealt to them.
+    Both are read three times: store what is costly to make.  Entries travel only if another one
+    may have their id.
     """
     both = old.select(*ENTRY, F.lit(0).alias("new")).unionByName(drafts.select(*ENTRY, F.lit(1).alias("new")))
     is_fee = F.col("entry_type") == "FEE"
     rest = [c for c in ENTRY if c not in ("chain_id", "wallet", "id")]
     first = F.min(F.struct("new", "group_id", "entry_type", *(c for c in rest if c not in ("group_id", "entry_type")))).alias("e")
-    plain = both.where(~is_fee).groupBy("chain_id", "wallet", "id").agg(first).select("chain_id", "wallet", "id", *(F.col(f"e.{c}").alias(c) for c in rest))
+    of_one_id = lambda rows: rows.groupBy("chain_id", "wallet", "id").agg(first).select("chain_id", "wallet", "id", *(F.col(f"e.{c}").alias(c) for c in rest))
+    legs = both.where(~is_fee).withColumn("_id", F.xxhash64("chain_id", "wallet", "id"))
+    again = stored(legs.groupBy("_id").count().where("count > 1").select("_id"), "repeated")
+    if again.limit(FEW + 1).count() <= FEW:  # two ids of one hash are only compared once more
+        again = F.broadcast(again)
+        plain = legs.join(again, "_id", "left_anti").select(*ENTRY).unionByName(of_one_id(legs.join(again, "_id", "left_semi")).select(*ENTRY))
+    else:
+        plain = of_one_id(legs)
     tx = ["chain_id", "wallet", F.lower("tx").alias("_tx")]
     owner = F.min(F.struct(action_rank(F.col("action_type")).alias("rank"), "group_id", "action_type")).alias("owner")
     kept = F.min(F.struct("new", "id", *(c for c in rest if c not in ("group_id", "action_type")))).alias("e")
@@ -47,12 +58,13 @@ def merged(old: DataFrame, drafts: DataFrame, used: DataFrame | None = None) ->
 
 
 def without_shadows(entries: DataFrame, used: DataFrame) -> DataFrame:
-    """Entries without those plain transfers of which evidence has consumed all."""
-    marked = entries.join(used.select("transfer").distinct().withColumn("hit", F.lit(True)), "transfer", "left")
-    shadow = (F.col("action_type") == "TRANSFER") & F.coalesce("hit", F.lit(False))
-    groups = marked.where("action_type = 'TRANSFER'").groupBy(*PARTITION, "group_id").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("all")).where("all")
-    gone = marked.join(groups.select(*PARTITION, "group_id"), [*PARTITION, "group_id"], "left_semi").where(shadow).select(*PARTITION, "id")
-    return entries.join(gone, [*PARTITION, "id"], "left_anti").select(*entries.columns)
+    """Entries without those plain transfers of which evidence has consumed all; only plain transfers travel."""
+    transfer = F.coalesce(F.col("action_type") == "TRANSFER", F.lit(False))
+    mine = entries.where(transfer)
+    marked = mine.join(used.select("transfer").distinct().withColumn("hit", F.lit(True)), "transfer", "left")
+    groups = marked.groupBy(*PARTITION, "group_id").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("all")).where("all")
+    gone = marked.join(groups.select(*PARTITION, "group_id"), [*PARTITION, "group_id"], "left_semi").where("hit").select(*PARTITION, "id")
+    return entries.where(~transfer).unionByName(mine.join(gone, [*PARTITION, "id"], "left_anti").select(*entries.columns))
 
 
 def groups_of(entries: DataFrame) -> DataFrame:
@@ -83,8 +95,9 @@ def apply(spark: SparkSession, path: str, drafts: DataFrame, used: DataFrame | N
 
     ``used`` removes shadows in these partitions; wallets that the evidence names and the batch does not are merged with their own batch.
     """
+    drafts = stored(drafts.select(*ENTRY), "drafts")
     touched = drafts.select(*PARTITION).distinct()
-    mine = read_entries(spark, path, drafts, ("slice",)).join(F.broadcast(touched) if touched.limit(100_001).count() <= 100_000 else touched, PARTITION, "left_semi")
+    mine = read_entries(spark, path, drafts, ("slice",)).join(F.broadcast(touched) if touched.limit(FEW + 1).count() <= FEW else touched, PARTITION, "left_semi")
     held = stored(mine.select(*FOLDER).distinct(), "folders")
     replace(stored(merged(mine, drafts, used), "merged"), path, held)
 

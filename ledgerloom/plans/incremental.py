@@ -17,12 +17,10 @@ from .queries import _KINDS, _actions, _query
 
 def _drafts(rows: DataFrame) -> DataFrame:
     """Every leg as an entry of its action, with a fee draft of the same transaction."""
-    group = F.concat_ws("-", "tx", "action_type")
-    fields = {"chain_id": F.lit(369), "group_id": group, "direction": F.lit("OUT"), "quantity": F.col("quantity").cast("string"), "tx": F.col("tx").cast("string")}
-    rows = rows.withColumns({k: v for k, v in fields.items() if k != "tx"}).withColumn("tx", fields["tx"])
-    leg = rows.select("*", F.concat_ws("/", "tx", "line", "part", "supplier", "price", "occurred_at").alias("id"), F.lit("LEG").alias("entry_type"), F.col("part").alias("transfer"))
-    fee = rows.select("*", F.concat_ws("/", "wallet", "tx", F.lit("fee")).alias("id"), F.lit("FEE").alias("entry_type"), F.lit(None).cast("long").alias("transfer"))
-    return leg.unionByName(fee).select(*merge.ENTRY)
+    fields = {"chain_id": F.lit(369), "group_id": F.concat_ws("-", "tx", "action_type"), "direction": F.lit("OUT"), "quantity": F.col("quantity").cast("string"), "tx": F.col("tx").cast("string")}
+    leg = F.struct(F.concat_ws("/", "tx", "line", "part", "supplier", "price", "occurred_at").alias("id"), F.lit("LEG").alias("entry_type"), F.col("part").alias("transfer"))
+    fee = F.struct(F.concat_ws("/", "wallet", "tx", F.lit("fee")).alias("id"), F.lit("FEE").alias("entry_type"), F.lit(None).cast("long").alias("transfer"))
+    return rows.withColumns(fields).select("*", F.explode(F.array(leg, fee)).alias("draft")).select("*", "draft.*").select(*merge.ENTRY)
 
 
 @_query(f"""WITH {LEGS}, a AS (SELECT *, {_KINDS}[part % 7 + 1] AS action FROM legs),
@@ -35,9 +33,10 @@ def ledger_merge(spark, sf):
     """Plain transfers and swaps are stored first; the other families then take their fees, and evidence removes shadows."""
     rows = _actions(legs(spark, sf))
     early = F.col("action_type").isin("TRANSFER", "SWAP")
-    used = rows.where("part % 3 = 0").select(F.col("part").alias("transfer"))
-    first = stored(merge.merged(_drafts(rows.where(early)).limit(0), _drafts(rows.where(early))), "first-batch")
-    got = merge.merged(first, _drafts(rows.where(~early)), used)
+    batches = [stored(_drafts(rows.where(which)), "drafts") for which in (early, ~early)]
+    used = batches[0].unionByName(batches[1]).where("transfer % 3 = 0").select("transfer")
+    first = stored(merge.merged(batches[0].limit(0), batches[0]), "first-batch")
+    got = merge.merged(first, batches[1], used)
     return got.groupBy("wallet", "action_type").agg(F.count_if(F.col("entry_type") != "FEE").alias("entries"), F.count_if(F.col("entry_type") == "FEE").alias("fees"))
 
 

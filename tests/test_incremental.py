@@ -117,6 +117,22 @@ def test_few_reorganised_transactions_rewrite_a_part_of_a_wallet(spark, tmp_path
     assert sorted(map(str, evidence.read_positions(spark, held).select("wallet", "balance").collect())) == sorted(map(str, place(whole).select("wallet", "balance").collect()))
 
 
+def test_only_entries_of_repeated_ids_travel_by_id(spark, monkeypatch):
+    from test_growth import tree, under
+
+    old = spark.createDataFrame([draft("a", f"x{k}", "SWAP") for k in range(20)], ENTRY)
+    rows = [draft(w, f"x{k}", action, kind=kind) for w in "ab" for k in range(10, 30) for action, kind in (("SWAP", "SEND"), ("SWAP", "RECEIVE"), ("TRANSFER", "SEND"))]
+    rows += [(*r[:7], "IN", *r[8:]) for r in rows[::4]]  # the same ids, another content
+    few = merge.merged(old, spark.createDataFrame(rows, ENTRY))
+    by_id = [below for below in under(tree(few), "Exchange") if below[0].startswith("SortAggregate(key=[chain_id") and ", id#" in below[0].split("]")[0]]
+    assert by_id and all(any("LeftSemi" in t for t in below) for below in by_id)
+    monkeypatch.setattr(merge, "FEW", 0)
+    many = merge.merged(old, spark.createDataFrame(rows, ENTRY))
+    assert not any("LeftSemi" in t for _, t in tree(many))
+    assert sorted(few.collect()) == sorted(many.collect())
+    assert few.count() == 20 + 120 - 10
+
+
 def test_folders_that_a_merge_leaves_without_entries_are_emptied(spark, tmp_path):
     path = str(tmp_path / "ledger")
     merge.apply(spark, path, spark.createDataFrame([draft("a", f"x{k}", "TRANSFER", transfer=k) for k in range(30)], ENTRY))
