@@ -8,11 +8,11 @@ to a better group, and the group that it leaves is gone if it held nothing else.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..sources.staging import path_of, stored
+from ..sources.staging import met, path_of, stored
 from .ledger import action_rank
 
 PARTITION = ["chain_id", "wallet"]
@@ -57,6 +57,32 @@ def merged(old: DataFrame, drafts: DataFrame, used: DataFrame | None = None) ->
     return whole if used is None else without_shadows(stored(whole, "unshadowed"), used)
 
 
+def merged_by_tx(old: DataFrame, drafts: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """As :func:`merged`, of entries whose ids and groups are hashes of their lower-case transaction among others, as drafts' are.
+
+    What has one id lies in one transaction then, so rows that were dealt by it stay where they
+    are, and each is read once.  ``used`` is ``tx, transfer``.
+    """
+    both = old.select(*ENTRY, F.lit(0).alias("new")).unionByName(drafts.select(*ENTRY, F.lit(1).alias("new"))).where("entry_type is not null")
+    is_fee, tx = F.col("entry_type") == "FEE", [*PARTITION, "tx"]
+    rest = [c for c in ENTRY if c not in (*tx, "id")]
+    of = lambda kind, *first: F.min(F.when(kind, F.struct(*first, *(c for c in rest if c not in first))))
+    owner = F.min(F.when(is_fee, F.struct(action_rank(F.col("action_type")).alias("rank"), "group_id", "action_type"))).alias("owner")
+    rows = both.groupBy(*tx, is_fee.alias("is_fee"), F.when(~is_fee, F.col("id")).alias("leg")).agg(of(~is_fee, "new", "group_id", "entry_type").alias("e"), of(is_fee, "new", "id").alias("fee"), owner)
+
+    def value(c: str) -> Column:
+        of_fee = F.col(f"owner.{c}" if c in ("group_id", "action_type") else f"fee.{c}")
+        return F.when(F.col("is_fee"), of_fee).otherwise(F.col("leg" if c == "id" else f"e.{c}")).alias(c)
+
+    whole = rows.select(*tx, *(value(c) for c in ("id", *rest))).select(*ENTRY)
+    if used is None:
+        return whole
+    marked = met(whole, used.select("tx", "transfer").distinct().withColumn("hit", F.lit(True)), ["tx", "transfer"], "left")
+    plain, hit = F.coalesce(F.col("action_type") == "TRANSFER", F.lit(False)), F.coalesce("hit", F.lit(False))
+    every = F.bool_and(F.when(plain, hit)).over(Window.partitionBy(*tx, "group_id"))
+    return marked.withColumn("gone", plain & hit & every).where("not gone").select(*ENTRY)
+
+
 def without_shadows(entries: DataFrame, used: DataFrame) -> DataFrame:
     """Entries without those plain transfers of which evidence has consumed all; only plain transfers travel."""
     transfer = F.coalesce(F.col("action_type") == "TRANSFER", F.lit(False))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import wide
+from ..sources.staging import met, placed
 
 
 def _sides(transfers: DataFrame) -> DataFrame:
@@ -75,9 +76,10 @@ def inferred_protocols(transfers: DataFrame, transactions: DataFrame, staking_co
     Transfers without their transaction have no direction and make none.
     """
     on = [c for c in by if c != "wallet"]
-    named = [F.lower("tx").alias("tx") if c == "tx" else F.col(c) for c in by]
+    stay = placed(transfers) and placed(transfers) == placed(transactions)
+    named = [F.lower("tx").alias("tx") if c == "tx" and not stay else F.col(c) for c in by]
     own = transactions.select(*(c for c, n in zip(named, by, strict=True) if n in on), F.lower("from_address").alias("sender"), F.lower("to_address").alias("receiver"))
-    moved = transfers.select(*named, "asset", F.lower("token_address").alias("token"), F.lower("from_address").alias("giver"), F.lower("to_address").alias("taker")).join(own, on)
+    moved = met(transfers.select(*named, "asset", F.lower("token_address").alias("token"), F.lower("from_address").alias("giver"), F.lower("to_address").alias("taker")), own, on)
     side = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("asset"))))  # noqa: E731  sets of one transaction
     contract = staking_contract.lower()
     got = moved.groupBy(*by).agg(

@@ -102,3 +102,21 @@ def test_entries_of_average_cost_travel_once_by_transaction_and_no_array_goes_to
     assert "decimal(34,0)" not in steps._jdf.queryExecution().optimizedPlan().toString()
     sent = operator.states(steps)._jdf.queryExecution().analyzed().children().head().schema().simpleString()
     assert "held:string" in sent
+
+
+@pytest.mark.parametrize("name", ["family_ledger"])
+def test_what_belongs_to_a_transaction_is_dealt_once_and_only_addresses_travel_to_many_wallets(spark, monkeypatch, name):
+    from ledgerloom.operators import families
+
+    want = sorted(map(str, QUERIES[name](spark, SF).collect()))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(families, "SMALL", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = QUERIES[name](spark, SF)
+        found = [t for _, t in tree(got) if t.startswith("Exchange hashpartitioning(")]
+        assert sorted(map(str, got.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    dealt = [t.split("(")[1].split(")")[0] for t in found if "ENSURE_REQUIREMENTS" in t]
+    assert not any("tx#" in t or "transfer#" in t or "group_id#" in t or ("address#" in t and "wallet#" not in t) for t in dealt)
