@@ -104,7 +104,7 @@ def test_entries_of_average_cost_travel_once_by_transaction_and_no_array_goes_to
     assert "held:string" in sent
 
 
-@pytest.mark.parametrize("name", ["family_ledger", "provenance_repair", "wallet_swaps", "wallet_liquidity"])
+@pytest.mark.parametrize("name", ["family_ledger", "family_drafts", "provenance_repair", "wallet_swaps", "wallet_liquidity"])
 def test_what_belongs_to_a_transaction_is_dealt_once_and_only_addresses_travel_to_many_wallets(spark, monkeypatch, name):
     from ledgerloom.operators import families
 
